@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("packed", "quality", "retrieval")
+MODULES = ("packed", "quality", "retrieval", "behaviour")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
