@@ -7,23 +7,49 @@ has are touched; a term that is in most documents is split over tasks by AQE's s
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.functions.arrow import map_columns
+
+_words = re.compile(r"\w+").findall
 
 K1, B = 1.2, 0.75
 
 
-def postings(df: DataFrame, doc: str, tokens: Column, *keep: str) -> DataFrame:
-    """(doc, term, tf, dl, keep...). Terms are counted per document before anything is shuffled further; documents without words have no posting."""
-    rows = df.select(F.col(doc).alias("doc"), *keep, tokens.alias("ts")).withColumn("dl", F.size("ts").cast("long"))
-    return rows.select("doc", *keep, "dl", F.explode("ts").alias("term")).groupBy("doc", *keep, "dl", "term").agg(F.count("*").alias("tf"))
+def postings(df: DataFrame, doc: str, text: Column, *keep: str) -> DataFrame:
+    """(doc, keep..., dl, term, tf): words in lower case with their count in each document, and its length.
+
+    A document is counted where it is read, in one Arrow batch: its tokens are never shuffled, only whole postings leave. Documents without words
+    have no posting; null counts as empty.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (doc, *keep)}
+    rows = df.select(F.col(doc).alias("doc"), *keep, F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+
+    def make():
+        def work(*columns):
+            *ids, texts = columns
+            out = []
+            for i, t in enumerate(texts):
+                counts = Counter(_words(t))
+                head = tuple(c[i] for c in ids)
+                n = sum(counts.values())
+                out += [(*head, n, w, k) for w, k in counts.items()]
+            return list(zip(*out)) or [[]] * (len(ids) + 3)
+
+        return work
+
+    schema = ", ".join([f"doc {kinds[doc]}", *[f"{c} {kinds[c]}" for c in keep], "dl long, term string, tf long"])
+    return map_columns(rows, make, schema)
 
 
-def corpus_size(df: DataFrame, tokens: Column) -> DataFrame:
+def corpus_size(df: DataFrame, posted: DataFrame) -> DataFrame:
     """One row: number of documents and their mean length in words."""
-    return df.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens)).alias("avg_dl"))
+    return df.agg(F.count("*").alias("n_docs")).crossJoin(posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))).select("n_docs", (F.col("words") / F.col("n_docs")).alias("avg_dl"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:

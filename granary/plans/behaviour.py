@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from granary.operators import behaviour as B
 from granary.operators.ranks import at_index, cumulative
+from granary.sources.tables import table
 
 
 def _clean(spark, sf_dir):
-    return B.clean_events(spark.read.parquet(f"{sf_dir}/search_log.parquet"))
+    return B.clean_events(table(spark, sf_dir, "search_log"))
 
 
 def _people(spark, sf_dir):

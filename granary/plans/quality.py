@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import lexical, quality
+from granary.sources.tables import table
 
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def _ko(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/knowledge_objects.parquet")
+    return table(spark, sf_dir, "knowledge_objects")
 
 
 def token_stats(spark, sf_dir):

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from granary.functions import records as P
 from granary.functions import text as T
 from granary.operators import audit, sampling
+from granary.sources.tables import table
 
 
 def _ko(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/knowledge_objects.parquet")
+    return table(spark, sf_dir, "knowledge_objects")
 
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def record_keys(spark, sf_dir):
@@ -33,7 +34,7 @@ def file_kinds(spark, sf_dir):
 
 def project_links(spark, sf_dir):
     c = F.col
-    rows = spark.read.parquet(f"{sf_dir}/projects.parquet")
+    rows = table(spark, sf_dir, "projects")
     return rows.select("project_id", P.link(c("project_url")).alias("link"), P.host(c("project_url")).alias("host"), P.is_doi(c("project_doi")).alias("doi_ok"))
 
 
@@ -61,7 +62,7 @@ _CONTROLLED = ["category", "subcategories", "topics", "themes", "intended_purpos
 
 
 def vocabulary_use(spark, sf_dir):
-    checked = audit.vocabulary_check(_ko(spark, sf_dir), "rec_no", _CONTROLLED, spark.read.parquet(f"{sf_dir}/vocab_terms.parquet"))
+    checked = audit.vocabulary_check(_ko(spark, sf_dir), "rec_no", _CONTROLLED, table(spark, sf_dir, "vocab_terms"))
     return checked.groupBy("field", "known").agg(F.count("*").alias("n"), F.countDistinct(F.lower(F.trim("value"))).alias("n_values"))
 
 

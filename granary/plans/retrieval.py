@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import retrieval as R
+from granary.sources.tables import table
 
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def _ko(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/knowledge_objects.parquet")
+    return table(spark, sf_dir, "knowledge_objects")
 
 
 def _index(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return R.postings(docs, "doc_id", T.words(F.col("text"))), R.corpus_size(docs, T.words(F.col("text")))
+    posted = R.postings(docs, "doc_id", F.col("text")).persist()
+    return posted, R.corpus_size(docs, posted)
 
 
 def corpus_terms(spark, sf_dir):
@@ -32,7 +34,7 @@ def corpus_terms(spark, sf_dir):
 
 def common_words_by_lang(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("lang", F.coalesce(F.lower(F.trim("lang")), F.lit("")))
-    return R.common_terms(R.postings(docs, "doc_id", T.words(F.col("text")), "lang"), "lang", docs, 0.25, 20)
+    return R.common_terms(R.postings(docs, "doc_id", F.col("text"), "lang"), "lang", docs, 0.25, 20)
 
 
 def key_terms(spark, sf_dir):
@@ -46,7 +48,6 @@ def pseudo_queries(spark, sf_dir):
 
 def _ranked(spark, sf_dir, k):
     posted, size = _index(spark, sf_dir)
-    posted = posted.persist()
     asked = R.pseudo_queries(posted, size).persist()
     return posted, size, asked, R.top_k(R.bm25(posted, size, asked), k)
 
@@ -74,8 +75,8 @@ def rrf_fusion(spark, sf_dir):
     """BM25 over the whole text and over its first line, fused."""
     docs = _docs(spark, sf_dir)
     posted, size, asked, ranked = _ranked(spark, sf_dir, 20)
-    title = T.words(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)))
-    by_title = R.top_k(R.bm25(R.postings(docs, "doc_id", title), R.corpus_size(docs, title), asked), 20)
+    titles = R.postings(docs, "doc_id", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))).persist()
+    by_title = R.top_k(R.bm25(titles, R.corpus_size(docs, titles), asked), 20)
     fused = R.fuse([ranked, by_title], 10)
     return fused.select("query", "doc", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -83,10 +84,10 @@ def rrf_fusion(spark, sf_dir):
 def ndcg_judgments(spark, sf_dir):
     """Titles of the records searched with the judged queries, against the panel's grades."""
     ko = _ko(spark, sf_dir).select("rec_no", "_orig_id", "title", "description")
-    words = T.words(F.concat_ws(" ", "title", "description"))
-    judged = spark.read.parquet(f"{sf_dir}/judgments.parquet")
+    posted = R.postings(ko, "rec_no", F.concat_ws(" ", "title", "description")).persist()
+    judged = table(spark, sf_dir, "judgments")
     asked = judged.select(F.col("query_no").alias("query"), F.explode(F.array_distinct(T.words(F.col("query")))).alias("term")).distinct()
-    scores = R.bm25(R.postings(ko, "rec_no", words), R.corpus_size(ko, words), asked)
+    scores = R.bm25(posted, R.corpus_size(ko, posted), asked)
     # Several exports of a record are one document: the best of them counts.
     by_record = scores.join(ko.select(F.col("rec_no").alias("doc"), "_orig_id"), "doc").groupBy("query", F.col("_orig_id").alias("doc")).agg(F.max("score").alias("score"))
     grades = judged.select(F.col("query_no").alias("query"), F.explode("relevant").alias("doc", "grade"))
@@ -104,9 +105,9 @@ def graded_qrels(spark, sf_dir):
 def query_term_leakage(spark, sf_dir):
     """How many words of queries made from the text stand in the title of the same record."""
     ko = _ko(spark, sf_dir)
-    body = R.postings(ko, "rec_no", T.words(F.col("ko_content_flat")))
-    asked = R.pseudo_queries(body, R.corpus_size(ko, T.words(F.col("ko_content_flat"))))
-    leak = R.term_leakage(asked, R.postings(ko, "rec_no", T.words(F.col("title"))))
+    body = R.postings(ko, "rec_no", F.col("ko_content_flat")).persist()
+    asked = R.pseudo_queries(body, R.corpus_size(ko, body))
+    leak = R.term_leakage(asked, R.postings(ko, "rec_no", F.col("title")))
     return leak.select("n_queries", F.round("leakage", 4).alias("leakage"))
 
 

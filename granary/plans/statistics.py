@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import ranks, statistics, vectors
+from granary.sources.tables import table
 
 
 def _t(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name)
 
 
 _ITEM = ["rec_no", "field_name"]
