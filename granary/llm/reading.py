@@ -86,10 +86,12 @@ class Boosted:
     """Least-squares gradient boosting of shallow regression trees on binned features."""
 
     def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, least: int = 8):
+        # A leaf holds ``least`` texts, or an eighth of a small sample.
         self.n_trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         self.base = float(y.mean()) if len(y) else 2.0
+        least = max(1, min(self.least, len(y) // 8))
         self.trees: list[list[tuple[int, float, float]]] = []
         if not len(y):
             return self
@@ -105,14 +107,14 @@ class Boosted:
                 if rows is None:
                     continue
                 best = (1e-9, -1, 0)
-                if node < 2**self.depth - 1 and len(rows) >= 2 * self.least:
+                if node < 2**self.depth - 1 and len(rows) >= 2 * least:
                     total, count = rest[rows].sum(), len(rows)
                     for j, e in enumerate(edges):
                         if not len(e):
                             continue
                         sums = np.bincount(binned[rows, j], rest[rows], len(e) + 1).cumsum()[:-1]
                         left = np.bincount(binned[rows, j], minlength=len(e) + 1).cumsum()[:-1]
-                        ok = (left >= self.least) & (count - left >= self.least)
+                        ok = (left >= least) & (count - left >= least)
                         if ok.any():
                             gain = np.where(ok, sums**2 / np.maximum(left, 1) + (total - sums) ** 2 / np.maximum(count - left, 1), -np.inf)
                             at = int(gain.argmax())
