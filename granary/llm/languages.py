@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.arrow import map_columns
 from granary.llm.text_types import TYPES, TypeModel, decode, learn, statistics
-from granary.llm.words import FAMILIES, LABEL_CODES
+from granary.llm.words import FAMILIES, LABEL_CODES, join_letters
 
 _words = re.compile(r"[^\W\d_]+").findall
 _quoted = re.compile(r"\(?[«“„\"][^«»“”„\"\n]{1,90}[»”“\"]\)?").sub
@@ -146,6 +146,7 @@ class Units:
             text = _quoted(" ", text)
         if "(" in text:
             text = _bracketed(" ", text)
+        text = join_letters(text)
         parts = _entry_edges(text) if listed else _stops(text)
         units = []
         for part in parts:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.arrow import map_columns
 from granary.llm.text_types import TYPES, TypeModel, decode, learn, statistics
-from granary.llm.words import ALL_COMMON
+from granary.llm.words import ALL_COMMON, join_letters
 
 _words = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?").findall
 _stop = re.compile(r"[.!?…](?<=[^\W_][^\W_)\]»”\"'%].)[)\]»”\"']*(?=\s|\Z)").split
@@ -38,6 +38,7 @@ def plain(text: str) -> str:
     """Prose of a text: markup, page numbers and line-end hyphens out, blocks apart. For measuring, not for reading."""
     if "\n" in text:
         text = _page_line("", _hyphen("", text))
+    text = join_letters(text)
     if _marked(text):
         if "&lt;" in text:
             text = text.replace("&amp;", "&").replace("&lt;", "<").replace("&gt;", ">")

@@ -122,7 +122,9 @@ def statistics(text: str) -> Statistics:
     scripted = ("{" in text or "=>" in text) and len(_code(text)) * 8 >= len(tokens) + 16
     if scripted and symbols >= 0.12 and value_share < 0.2:
         votes[10] = _JUNK
-    if share < 0.5 and value_share < 0.2 and controls < 0.4:
+    if share >= 0.5:
+        votes[11] = _PROSE
+    elif value_share < 0.2 and controls < 0.4:
         # 5: short entries without sentences.
         entries = [e for e in map(str.strip, _entries(text)) if e]
         short = sum(len(e) for e in entries if len(e) <= 48 and not e.endswith(_ends) and _vowel(e))
@@ -131,7 +133,7 @@ def statistics(text: str) -> Statistics:
         wrapped = _wrapped(lines)
         if len(entries) >= 4 and short >= 0.55 * flat and sizes[len(sizes) // 2] <= 40 and not wrapped and not scripted:
             votes[5] = _LIST
-        # 11: running text without stops: evenly wrapped or long lines, few separators.
+        # 11: running text, here without stops: evenly wrapped or long lines, few separators.
         if n >= 12 and value_share < 0.1 and symbols < 0.05 and odd < 0.15 * n_letters and glued < 0.1 * n_solid and (wrapped or flat >= 60 * len(entries)):
             votes[11] = _PROSE
     # 12: hardly any letters.
@@ -144,9 +146,13 @@ def statistics(text: str) -> Statistics:
 
 
 def _wrapped(lines: list[str]) -> bool:
-    """Whether lines were broken at one width: the next line's first word mostly would not have fitted."""
+    """Whether lines were broken at one width: the next line's first word mostly would not have fitted, or all are nearly as long and of many words."""
     if len(lines) < 4:
         return False
+    sizes = list(map(len, lines[:-1]))
+    mean = sum(sizes) / len(sizes)
+    if mean >= 34 and sum((x - mean) ** 2 for x in sizes) <= len(sizes) * (0.2 * mean) ** 2 and sum(s.count(" ") for s in lines) >= 5.5 * len(lines):
+        return True
     width = sorted(map(len, lines))[int(0.9 * (len(lines) - 1))]
     full = sum(1 for s, after in zip(lines, lines[1:]) if len(s) + len(after.split(None, 1)[0]) >= width)
     return width >= 24 and full >= 0.55 * (len(lines) - 1)

@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+_letter_spaced = re.compile(r"(?<!\w)[^\W_](?: {1,3}[^\W_](?!\w)){3,}").sub
+
+
+def join_letters(text: str) -> str:
+    """Words that were set with blanks between their letters, put together."""
+    return _letter_spaced(lambda m: m[0].replace(" ", ""), text)
+
+
 # Frequent function words of the supported languages, public knowledge.
 COMMON_WORDS = {
     "en": "the of and to in a is that for on with as by at from are this be or an which but so because while over under during".split(),
