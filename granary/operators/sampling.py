@@ -41,7 +41,7 @@ def lane_ranked(df: DataFrame, by: list[str], key: str, seed: int, most: int | N
 
 def stratified(df: DataFrame, strata: list[str], key: str, target: int, seed: int = 42) -> DataFrame:
     """A sample of ``target`` rows in the proportions of the strata."""
-    want = quotas(df, strata, target).select(*strata, "quota")
+    want = quotas(df, strata, target).where("quota > 0").select(*strata, "quota")  # at most ``target`` strata have a place
     return lane_ranked(df, strata, key, seed, most=target).join(F.broadcast(want), strata).where("place <= quota").drop("quota")
 
 

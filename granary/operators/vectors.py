@@ -36,7 +36,7 @@ def centroids(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
     return packed.select(*by, "n", F.transform(mean, lambda x: x / length).alias("centroid"))
 
 
-def nearest(df: DataFrame, key: str, vector: str, every: int = 50, k: int = 10, block: int = 1024) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, every: int = 50, k: int = 10, block: int = 8192) -> DataFrame:
     """(query, rank, neighbour, cosine): the k nearest other rows of each row whose key is divisible by ``every``.
 
     Queries are read in blocks of at most ``block`` vectors, the size that is sent round at once; each batch of rows is compared with a block by one matrix product and keeps
