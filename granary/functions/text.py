@@ -172,3 +172,37 @@ def person_key(*candidates: Column) -> Column:
     """A stable pseudonym of the first candidate that is not blank; '' where all are."""
     first = F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in candidates])
     return F.coalesce(F.substring(F.sha2(first, 256), 1, 16), F.lit(""))
+
+
+def extracted(text: Column) -> Column:
+    """Text extracted from a document file, in readable lines: invisible signs, page numbers, dot leaders and repeated lines out, bullets, dashes
+    and quotes of one kind, words divided at line ends put together, a blank after colons."""
+    t = F.coalesce(text, F.lit(""))
+    for pattern, put in (
+        (r"[\x{200b}-\x{200f}\x{2060}\x{feff}]", ""), (r"\r\n?", "\n"), (r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}]", ""), ("\u00a0", " "),
+        (r"(?m)^[ \t]*(?:[Pp]age\s+)?[0-9]{1,4}(?:\s*(?:/|of)\s*[0-9]{1,4})?[ \t]*$", ""), (r"\.{4,}[ \t]*[0-9]*", " "), (r"(?m)^[ \t]*[•▪►◦‣·●][ \t]*", "- "), (r"[–—―]", "-"), (r"[“”„«»]", '"'), (r"[‘’‚]", "'"),
+        (r"([\p{L}])[-‐\x{ad}][ \t]*\n[ \t]*([\p{Ll}])", "$1$2"), (r"([\p{Ll}])([\p{Lu}][\p{Ll}])", "$1 $2"), (r":(?=[\p{L}])", ": "), (r"[ \t]+", " "),
+    ):
+        t = F.regexp_replace(t, pattern, put)
+    kept = F.array_distinct(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_join(kept, "\n")
+
+
+def reference_text(summary: Column, vision: Column, content: Column, most_chars: int) -> Column:
+    """What a field is held against: the summary, else the readings of the file, cut to a number of characters."""
+    read = F.concat_ws(" ", *[F.nullif(one_line(c), F.lit("")) for c in (vision, content)])
+    return F.left(F.coalesce(F.nullif(one_line(summary), F.lit("")), read), F.lit(most_chars))
+
+
+def clamped_list(items: Column, most_items: int, most_chars: int) -> Column:
+    """The first items without repeats (case aside, the first spelling stays), each cut to a number of characters."""
+    low = F.transform(items, lambda x: F.lower(F.trim(x)))
+    first = F.filter(items, lambda x, i: F.array_position(low, F.lower(F.trim(x))) == i + 1)
+    return F.slice(F.transform(F.filter(first, lambda x: F.trim(x) != ""), lambda x: F.left(F.trim(x), F.lit(most_chars))), 1, most_items)
+
+
+def evenly(items: Column, k: int) -> Column:
+    """At most ``k`` items at even distances, the first and last among them."""
+    n = F.size(items)
+    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / max(1, k - 1)).cast("int")))
+    return F.when(n <= k, items).otherwise(F.transform(at, lambda i: F.get(items, i)))

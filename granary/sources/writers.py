@@ -42,3 +42,12 @@ def cached(spark: SparkSession, folder: str, name: str, print_: str, make) -> Da
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def wrapped(df: DataFrame, **meta: str) -> DataFrame:
+    """One row per partition of records in an export's envelope: meta data, count, docs. For files that are read as wrapper objects."""
+    record = F.struct(*[F.col(c) for c in df.columns])
+    part = df.select(F.spark_partition_id().alias("_p"), record.alias("d"))
+    docs = part.groupBy("_p").agg(F.count("*").alias("n"), F.collect_list("d").alias("docs"))  # a partition's rows
+    head = F.struct(*[F.lit(v).alias(k) for k, v in meta.items()]) if meta else F.lit(None).cast("string")
+    return docs.select(head.alias("meta"), F.struct(F.col("n").alias("docs")).alias("counts"), "docs")
