@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from granary.functions.languages import LABEL_CODES, LANGUAGE_NAMES
+
 _letter_spaced = re.compile(r"(?<!\w)[^\W_](?: {1,3}[^\W_](?!\w)){3,}").sub
 
 
@@ -27,36 +29,4 @@ ALL_COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words)
 # Language family of each supported language.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pl": "slavic"}
 
-# Names by which a label may call a language: English name, own name, German name, ISO codes.
-LANGUAGE_NAMES = {
-    "en": "english anglais englisch en eng",
-    "fr": "french français francais französisch fr fra fre",
-    "de": "german deutsch allemand de deu ger",
-    "es": "spanish español espanol castellano spanisch es spa",
-    "it": "italian italiano italienisch it ita",
-    "nl": "dutch nederlands niederländisch flemish nl nld dut",
-    "pl": "polish polski polnisch pl pol",
-    "pt": "portuguese português portugiesisch pt por",
-    "el": "greek ελληνικά griechisch el ell gre",
-    "da": "danish dansk dänisch da dan",
-    "ro": "romanian română rumänisch ro ron rum",
-    "hu": "hungarian magyar ungarisch hu hun",
-    "sv": "swedish svenska schwedisch sv swe",
-    "fi": "finnish suomi finnisch fi fin",
-    "cs": "czech čeština tschechisch cs ces cze",
-    "sk": "slovak slovenčina slowakisch sk slk slo",
-    "sl": "slovenian slovene slovenščina slowenisch sl slv",
-    "hr": "croatian hrvatski kroatisch hr hrv",
-    "bg": "bulgarian български bulgarisch bg bul",
-    "lt": "lithuanian lietuvių litauisch lt lit",
-    "lv": "latvian latviešu lettisch lv lav",
-    "et": "estonian eesti estnisch et est",
-    "ga": "irish gaeilge irisch ga gle",
-    "mt": "maltese malti maltesisch mt mlt",
-    "ca": "catalan català katalanisch ca cat",
-    "no": "norwegian norsk norwegisch no nor nb nob",
-    "uk": "ukrainian українська ukrainisch uk ukr",
-    "ru": "russian русский russisch ru rus",
-    "tr": "turkish türkçe türkisch tr tur",
-}
-LABEL_CODES = {name: code for code, names in LANGUAGE_NAMES.items() for name in names.split()}
+__all__ = ["ALL_COMMON", "COMMON_WORDS", "FAMILIES", "LABEL_CODES", "LANGUAGE_NAMES", "join_letters"]
