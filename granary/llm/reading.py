@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.arrow import map_columns
+from granary.llm.scans import read_page
 from granary.llm.text_types import TYPES, TypeModel, decode, learn, statistics
 from granary.llm.words import ALL_COMMON, join_letters
 
 _words = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?").findall
 _stop = re.compile(r"[.!?…](?<=[^\W_][^\W_)\]»”\"'%].)[)\]»”\"']*(?=\s|\Z)").split
 _hyphen = re.compile(r"(?<=\w)[-‐¬\xad][ \t]*\n[ \t]*(?=\w)").sub
-_page_line = re.compile(r"^[ \t]*(?:[-–—\[|]*[ \t]*(?:page|p\.|seite|pagina|página|strona)?[ \t]*(?:\d{1,4}|[ivxl]{1,6})(?:[ \t]*(?:/|of|de|von|di|van|z)[ \t]*\d{1,4})?[ \t]*[-–—\]|]*|©.*)[ \t]*$", re.M | re.I).sub
 _marked = re.compile(r"[<>&\\{}\[\]*_`=~$#|]").search
 _code = re.compile(r"```.*?```|<pre.*?</pre>|\{\|.*?\|\}|<!--.*?-->|\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\$[^$\n]{1,60}\$|\[\[(?:Category|File):[^\]]*\]\]", re.S | re.I).sub
 _block = re.compile(r"</?(?:p|div|h\d|li|ul|ol|table|tr|br|pre)\b[^<>]*/?>|\\(?:item|begin\{\w+\}|end\{\w+\})|^[ \t]*(?:[-*#+•–]|\d{1,3}[.)])[ \t]+", re.I | re.M).sub
@@ -37,7 +37,10 @@ LEAST_WORDS = 60
 def plain(text: str) -> str:
     """Prose of a text: markup, page numbers and line-end hyphens out, blocks apart. For measuring, not for reading."""
     if "\n" in text:
-        text = _page_line("", _hyphen("", text))
+        page = read_page(text)
+        if page.scanned:
+            text = "\n".join(line for line, out in zip(page.lines, page.furniture) if not out)
+        text = _hyphen("", text)
     text = join_letters(text)
     if _marked(text):
         if "&lt;" in text:
@@ -53,7 +56,10 @@ def measure(text: str) -> list[float] | None:
     commas = clauses = 0
     overlap = pairs = 0.0
     before: set[str] = set()
-    for block in plain(text).split("\n\n"):
+    bare = plain(text)
+    if len(bare.split()) < LEAST_WORDS:
+        return None
+    for block in bare.split("\n\n"):
         *closed, _ = _stop(block)
         for sentence in closed:
             own = _words(sentence.lower())
@@ -69,7 +75,7 @@ def measure(text: str) -> list[float] | None:
                 overlap += len(content & before) / max(1, min(len(content), len(before)))
             before = content
     n = len(words)
-    if n < LEAST_WORDS:
+    if n < LEAST_WORDS // 3:  # hardly any of it is in sentences
         return None
     s = sorted(lengths)
     k = len(s)
