@@ -35,37 +35,36 @@ def lower_bound(histogram: dict[int, int], capacity: int) -> int:
 def complete(left: int, sizes: list[int], counts: dict[int, int], nodes: int) -> list[int]:
     """The fullest undominated filling of ``left`` from the sizes on hand.
 
-    Depth-first from large to small sizes; the best-fit filling is met first and is the
-    incumbent. A branch is cut when even a full container could not beat it, and a filling is
-    dominated when a larger single size on hand would fit in place of its parts. Ends at the
-    first filling without waste, or after ``nodes`` branches with the incumbent.
+    Depth-first from large to small sizes, so the best-fit filling is met first and is the incumbent. A branch is pruned by its waste bound:
+    when all that is left of smaller sizes cannot bring the waste below the incumbent's. It is pruned as dominated when it must end with
+    room for a size that it passed over: with that size added the same filling wastes less. Ends at the first filling without waste, or
+    after ``nodes`` branches with the incumbent.
     """
+    most = np.cumsum([s * counts[s] for s in sizes]) if sizes else np.zeros(0)  # what sizes up to each place can fill at most
     best: list[int] = []
     best_waste = left
-    budget = nodes
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(left, bisect.bisect_right(sizes, left) - 1, ())]
-    while stack and budget:
-        free, top, chosen = stack.pop()
-        budget -= 1
+    stack: list[tuple[int, int, int, tuple[int, ...]]] = [(left, len(sizes) - 1, left + 1, ())]
+    while stack and nodes:
+        free, top, passed, chosen = stack.pop()
+        nodes -= 1
         if free < best_waste:
             best_waste, best = free, list(chosen)
             if not free:
                 break
         top = min(top, bisect.bisect_right(sizes, free) - 1)
-        if top < 0:
+        if top < 0 or free - most[top] >= min(best_waste, passed):
             continue
         size = sizes[top]
-        # Without this size: only worth while if smaller ones remain.
+        on_hand = counts[size] > chosen.count(size)
         if top:
-            stack.append((free, top - 1, chosen))
-        used = chosen.count(size)
-        if counts[size] > used:
-            stack.append((free - size, top, (*chosen, size)))
+            stack.append((free, top - 1, min(passed, size) if on_hand else passed, chosen))
+        if on_hand:
+            stack.append((free - size, top, passed, (*chosen, size)))
     return best
 
 
-def plan_fillings(histogram: dict[int, int], capacity: int, nodes: int = 4000) -> list[tuple[int, list[int]]]:
-    """[(repetitions, sizes of one container)] that use up the whole histogram."""
+def plan_by_completion(histogram: dict[int, int], capacity: int, nodes: int) -> list[tuple[int, list[int]]]:
+    """Fillings around the largest size that is left, each repeated as often as the histogram allows."""
     counts = {s: n for s, n in histogram.items() if n > 0}
     sizes = sorted(counts)
     plan = []
@@ -86,6 +85,56 @@ def plan_fillings(histogram: dict[int, int], capacity: int, nodes: int = 4000) -
     return plan
 
 
+def plan_by_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Best fit decreasing over the histogram: containers of equal room and content are one entry with a count."""
+    rooms: list[int] = []  # ascending
+    groups: dict[int, list[tuple[int, list[int]]]] = {}
+
+    def put(room: int, times: int, filling: list[int]) -> None:
+        if room not in groups:
+            bisect.insort(rooms, room)
+            groups[room] = []
+        groups[room].append((times, filling))
+
+    for size in sorted(histogram, reverse=True):
+        n = histogram[size]
+        while n > 0:
+            at = bisect.bisect_left(rooms, size)
+            if at == len(rooms):
+                # No room anywhere: as many new containers as these items fill, all alike but for the last.
+                each = capacity // size
+                full, over = divmod(n, each)
+                if full:
+                    put(capacity - each * size, full, [size] * each)
+                if over:
+                    put(capacity - over * size, 1, [size] * over)
+                break
+            room = rooms[at]
+            times, filling = groups[room].pop()
+            if not groups[room]:
+                del groups[room], rooms[at]
+            used = min(times, n)
+            if times > used:
+                put(room, times - used, filling)
+            put(room - size, used, [*filling, size])
+            n -= used
+    return [entry for entries in groups.values() for entry in entries]
+
+
+def plan_fillings(histogram: dict[int, int], capacity: int, nodes: int = 4000) -> list[tuple[int, list[int]]]:
+    """[(repetitions, sizes of one container)] that use up the whole histogram.
+
+    The best-fit plan is the incumbent; bin completion replaces it where it needs fewer containers, and is not tried where best fit
+    already meets the lower bound.
+    """
+    number = lambda plan: sum(times for times, _ in plan)
+    incumbent = plan_by_best_fit(histogram, capacity)
+    if number(incumbent) == lower_bound(histogram, capacity):
+        return incumbent
+    found = plan_by_completion(histogram, capacity, nodes)
+    return found if number(found) < number(incumbent) else incumbent
+
+
 def fill_containers(sized: DataFrame, capacity: int, key: str = "doc_id", tokens: str = "tokens", lanes: int = 64) -> DataFrame:
     """(key, piece_no, piece_tokens, container_no) for items of at least one token.
 

@@ -116,6 +116,20 @@ def test_plans_are_near_the_optimum():
     assert extra <= 3
 
 
+def test_each_plan_uses_up_the_histogram():
+    rnd = random.Random(9)
+    for _ in range(40):
+        histogram = {rnd.randint(1, 50): rnd.randint(1, 400) for _ in range(rnd.randint(1, 30))}
+        for plan in (packing.plan_by_best_fit(histogram, 50), packing.plan_by_completion(histogram, 50, 500)):
+            used = defaultdict(int)
+            for times, filling in plan:
+                assert times > 0 and sum(filling) <= 50
+                for s in filling:
+                    used[s] += times
+            assert dict(used) == histogram
+    assert packing.plan_fillings({}, 50) == []
+
+
 def test_fill_containers(spark):
     rnd = random.Random(2)
     rows = [(i, rnd.choice([5, 5, 5, 40, 70, 99, 100, 101, 250])) for i in range(400)] + [(1000, 0), (1001, None), (1002, 7), (1002, 7)]
