@@ -266,12 +266,14 @@ def units_of_sample(rows: list[tuple[str, list[str], list[str]]], most_units: in
 def learn_languages(
     df: DataFrame, key: str = "rec_no", text: str = "ko_content_flat", keywords: str = "keywords", labels: str = "languages", most_rows: int = 3000, most_units: int = 3000
 ) -> LanguageModel:
-    """Fitted on at most ``most_rows`` labelled rows, taken in the order of a hash of the key, and ``most_units`` units, of which each language has an equal share at most."""
-    rows = (
-        df.where(F.size(labels) == 1)
-        .select(F.col(text).alias("t"), F.col(keywords).alias("w"), F.col(labels).alias("l"), F.xxhash64(F.col(key)).alias("h"))
-        .orderBy("h", "t").limit(most_rows).collect()
-    )
+    """Fitted on at most ``most_rows`` labelled rows, taken in the order of a hash of the key, and ``most_units`` units, of which each language has an equal share at most.
+
+    Keys alone are sorted; ``most_rows`` of them, the bound of what is broadcast, then fetch their texts.
+    """
+    labelled = df.where(F.size(labels) == 1)
+    chosen = labelled.select(F.col(key).alias("_k"), F.xxhash64(F.col(key)).alias("_h")).distinct().orderBy("_h", "_k").limit(most_rows)
+    texts = labelled.select(F.col(key).alias("_k"), F.col(text).alias("t"), F.col(keywords).alias("w"), F.col(labels).alias("l"))
+    rows = sorted(texts.join(F.broadcast(chosen), "_k").collect(), key=lambda r: (r["_h"], r["t"] or ""))[:most_rows]
     return train(*units_of_sample([(r["t"], r["w"], r["l"]) for r in rows], most_units))
 
 
