@@ -135,7 +135,7 @@ def plan_fillings(histogram: dict[int, int], capacity: int, nodes: int = 4000) -
     return found if number(found) < number(incumbent) else incumbent
 
 
-def fill_containers(sized: DataFrame, capacity: int, key: str = "doc_id", tokens: str = "tokens", lanes: int = 64) -> DataFrame:
+def fill_containers(sized: DataFrame, capacity: int, key: str = "doc_id", tokens: str = "tokens", per_lane: int = 200_000) -> DataFrame:
     """(key, piece_no, piece_tokens, container_no) for items of at least one token.
 
     ``sized`` has one row per item: its key, which may repeat, and its size. An item larger
@@ -144,8 +144,8 @@ def fill_containers(sized: DataFrame, capacity: int, key: str = "doc_id", tokens
     equal sizes fall by a hash of the key, so the outcome does not depend on partitions.
 
     The histogram has at most ``capacity`` rows, which bounds what is collected and what is
-    broadcast. Ranks within a size are counted in ``lanes`` hash lanes, so that a size that a
-    third of all items have does not land in one task.
+    broadcast. Ranks within a size are counted in hash lanes of about ``per_lane`` pieces, so that a size that a
+    third of all items have does not land in one task; the offsets of the lanes are one number each.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -155,13 +155,19 @@ def fill_containers(sized: DataFrame, capacity: int, key: str = "doc_id", tokens
     pieces = items.where("n > 0").select(
         "k", F.posexplode(F.concat(F.array_repeat(F.lit(capacity).cast("long"), full.cast("int")), F.array(F.col("n") - full * capacity))).alias("p", "size")
     )
-    pieces = pieces.select("k", (F.col("p") + 1).alias("p"), F.col("size").cast("int").alias("size"), F.pmod(F.xxhash64("k", "p"), F.lit(lanes)).cast("int").alias("lane"))
-    lane_counts = pieces.groupBy("size", "lane").count().collect()  # at most capacity * lanes rows
-    histogram: dict[int, int] = {}
-    before: dict[int, int] = {}
-    for row in sorted(lane_counts, key=lambda r: (r["size"], r["lane"])):
-        before[row["size"] * lanes + row["lane"]] = histogram.get(row["size"], 0)
-        histogram[row["size"]] = histogram.get(row["size"], 0) + row["count"]
+    pieces = pieces.select("k", (F.col("p") + 1).alias("p"), F.col("size").cast("int").alias("size"))
+    histogram: dict[int, int] = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}  # at most ``capacity`` rows
+    lanes_of = {s: -(-n // per_lane) for s, n in histogram.items()}
+    crowded = {s: k for s, k in lanes_of.items() if k > 1}
+    lanes = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in crowded.items() for x in kv]), F.col("size")), F.lit(1)) if crowded else F.lit(1)
+    pieces = pieces.withColumn("lane", F.pmod(F.xxhash64("k", "p"), lanes).cast("int"))
+    before: dict[tuple[int, int], int] = {}
+    taken_by: dict[int, int] = {}
+    if crowded:
+        counts = pieces.where(F.col("size").isin(list(crowded))).groupBy("size", "lane").count().collect()  # a row per ``per_lane`` pieces
+        for row in sorted(counts, key=lambda r: (r["size"], r["lane"])):
+            before[row["size"], row["lane"]] = taken_by.get(row["size"], 0)
+            taken_by[row["size"]] = taken_by.get(row["size"], 0) + row["count"]
     plan = plan_fillings(histogram, capacity)
 
     # Slots of each size in the order of its ranks: from which rank on, and which container that is.
@@ -184,7 +190,7 @@ def fill_containers(sized: DataFrame, capacity: int, key: str = "doc_id", tokens
         def work(keys, numbers, sizes, lane, rank):
             out = []
             for s, b, r in zip(sizes, lane, rank):
-                at = offsets[s * lanes + b] + r - 1
+                at = offsets.get((s, b), 0) + r - 1
                 i = int(np.searchsorted(from_rank[s], at, "right")) - 1
                 out.append(int(from_container[s][i] + at - from_rank[s][i]))
             return [keys, numbers, sizes, out]

@@ -147,8 +147,13 @@ def test_fill_containers(spark):
         assert sum(pieces) == size and (len(pieces) == 1 or all(s == 100 for s in pieces[:-1]))
     total = sum(s or 0 for _, s in rows)
     assert len(load) <= total / 100 * 1.05 + 1
-    again = packing.fill_containers(df.repartition(7), 100, lanes=3).collect()
+    again = packing.fill_containers(df.repartition(7), 100, per_lane=30).collect()
     assert sorted(r.piece_tokens for r in again) == sorted(r.piece_tokens for r in got)
+    loads = defaultdict(int)
+    for r in again:
+        loads[r.container_no] += r.piece_tokens
+    loads.pop(None)
+    assert sorted(loads.values()) == sorted(load.values())
     assert packing.fill_containers(df.limit(0), 100).collect() == []
     with pytest.raises(ValueError):
         packing.fill_containers(df, 0)
