@@ -162,11 +162,11 @@ def graded_measures(ranked: DataFrame, grades: DataFrame, k: int) -> DataFrame:
     )
 
 
-def shared_key_grades(df: DataFrame, doc: str, strong: list[str], weak: list[str], queries: DataFrame, most_share: float = 0.25, least_shared: int = 2) -> DataFrame:
-    """(query, doc, grade) by shared metadata: 3 the document itself, 2 a shared strong key, 1 at least ``least_shared`` weak values.
+def shared_key_grades(pool: DataFrame, df: DataFrame, doc: str, strong: list[str], weak: list[str], most_share: float = 0.25, least_shared: int = 2) -> DataFrame:
+    """(query, doc, grade) of a judging pool by shared metadata: 3 the document itself, 2 a shared strong key, 1 at least ``least_shared`` weak values, else 0.
 
-    ``strong`` are scalar columns, ``weak`` array columns. A weak value of more than ``most_share`` of all documents says nothing and is left out, which also
-    bounds the weak join. A strong key is a relation of all its documents by definition; it is only expanded for the documents of ``queries`` (query = document), and deduplicated keys keep hot ones to one row per document.
+    ``pool`` has (query, doc), both documents; ``strong`` are scalar columns, ``weak`` array columns. A weak value of more than ``most_share`` of all documents says
+    nothing and is left out. Only pairs of the pool are ever made: a project that has a third of all documents adds none.
     """
     n = df.agg(F.greatest(F.lit(1), F.floor(F.count("*") * most_share)).alias("most"))
     value = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
@@ -177,12 +177,13 @@ def shared_key_grades(df: DataFrame, doc: str, strong: list[str], weak: list[str
     )
     usable = values.groupBy("key").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).where("n <= most").select("key")
     values = values.join(usable, "key")
-    asked = queries.select(F.col("query"), F.col("query").alias("doc"))
-    pairs = lambda table: asked.join(table, "doc").select("query", "key").join(table, "key").where("doc <> query")
-    weakly = pairs(values).groupBy("query", "doc").agg(F.count("*").alias("n")).where(F.col("n") >= least_shared).select("query", "doc", F.lit(1).alias("grade"))
-    strongly = pairs(keys).select("query", "doc", F.lit(2).alias("grade")).distinct()
-    own = asked.select("query", "doc", F.lit(3).alias("grade"))
-    return weakly.unionByName(strongly).unionByName(own).groupBy("query", "doc").agg(F.max("grade").alias("grade"))
+    pairs = pool.select("query", "doc").distinct()
+    shared = lambda table: pairs.join(table.select(F.col("doc").alias("query"), "key"), "query").join(table, ["doc", "key"]).groupBy("query", "doc").agg(F.count("*").alias("n"))
+    weakly = shared(values).where(F.col("n") >= least_shared).select("query", "doc", F.lit(1).alias("grade"))
+    strongly = shared(keys).select("query", "doc", F.lit(2).alias("grade"))
+    own = pairs.where("query = doc").select("query", "doc", F.lit(3).alias("grade"))
+    best = weakly.unionByName(strongly).unionByName(own).groupBy("query", "doc").agg(F.max("grade").alias("grade"))
+    return pairs.join(best, ["query", "doc"], "left").select("query", "doc", F.coalesce("grade", F.lit(0)).alias("grade"))
 
 
 def _prefixed(name: str):
