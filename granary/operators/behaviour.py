@@ -99,6 +99,7 @@ def outcomes(events: DataFrame, gap_seconds: int = GAP, follow_seconds: int = FO
 
 def shape(query: Column) -> Column:
     """question, entity/name or topical phrase, by the words as typed."""
+    # Question words, and the look of a name.
     ask = r"(?i)\?$|^(?:how|what|why|when|where|which|can|is|are|does|do|comment|wie|c[oó]mo|hoe|wat)(?:[^\p{L}\p{N}_]|$)"
     name = r"(?:^|\s)[A-ZÀ-Þ0-9][A-ZÀ-Þ0-9_\-.]{2,}(?:\s|$)"
     return F.when(F.regexp_like(query, F.lit(ask)), "question").when(F.regexp_like(query, F.lit(name)), "entity/name").otherwise("topical phrase")

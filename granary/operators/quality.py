@@ -34,6 +34,7 @@ def duplicate_shares(items: Column) -> tuple[Column, Column]:
 
 
 def line_statistics(text: Column) -> dict[str, Column]:
+    # The marks of bullets and the signs that may end a line.
     lines, paragraphs = T.lines(text), T.paragraphs(text)
     line_share, line_chars = duplicate_shares(lines)
     para_share, para_chars = duplicate_shares(paragraphs)
