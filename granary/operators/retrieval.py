@@ -186,6 +186,34 @@ def shared_key_grades(pool: DataFrame, df: DataFrame, doc: str, strong: list[str
     return pairs.join(best, ["query", "doc"], "left").select("query", "doc", F.coalesce("grade", F.lit(0)).alias("grade"))
 
 
+def related_grades(
+    df: DataFrame, doc: str, strong: list[str], weak: list[str], queries: DataFrame, most_share: float = 0.25, least_shared: int = 2, lane_docs: int = 2000
+) -> DataFrame:
+    """(query, doc, grade) of every document that is related to a query's: 3 the document itself, 2 a shared strong key, 1 at least ``least_shared`` weak values.
+
+    ``queries`` has (query), documents of ``df``; keys are as in shared_key_grades. No pair is left out, so the result grows with queries x documents of a key.
+    Postings of a key lie in lanes of about ``lane_docs`` documents, so no task holds a hot project. Both sides carry all their keys, and a pair is graded
+    where its first shared key joins it: pairs are not shuffled.
+    """
+    n = df.agg(F.greatest(F.lit(1), F.floor(F.count("*") * most_share)).alias("most"))
+    value = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    strongs = [F.array(F.concat(F.lit(f"2{c}="), value(c))) for c in strong]
+    weaks = [F.transform(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x) != ""), lambda x, c=c: F.concat(F.lit("1"), _prefixed(c)(x))) for c in weak]
+    held = df.select(F.col(doc).alias("doc"), F.explode(F.array_compact(F.concat(*strongs, *weaks))).alias("key")).distinct().persist()
+    asked = queries.select("query").where("query IS NOT NULL").distinct()
+    wanted = held.join(asked.select(F.col("query").alias("doc")), "doc", "left_semi").select("key").distinct()
+    sizes = held.join(wanted, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n))
+    usable = sizes.where(F.startswith("key", F.lit("2")) | (F.col("n") <= F.col("most"))).select("key", F.ceil(F.col("n") / lane_docs).alias("lanes"))
+    sets = held.join(usable, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("key", "lanes"))).alias("of")).withColumn("keys", F.col("of.key")).persist()
+    postings = sets.select("doc", "keys", F.inline("of")).select("doc", F.col("keys").alias("theirs"), "key", F.pmod(F.xxhash64("doc"), "lanes").alias("lane"))
+    mine = sets.join(asked.select(F.col("query").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("query"), "keys", F.inline("of"))
+    mine = mine.select("query", "keys", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)).alias("lane"))
+    met = mine.join(postings, ["key", "lane"]).where("query <> doc").withColumn("shared", F.array_intersect("keys", "theirs")).where(F.col("key") == F.get("shared", F.lit(0)))
+    grade = F.when(F.exists("shared", lambda x: F.startswith(x, F.lit("2"))), 2).when(F.size("shared") >= least_shared, 1)
+    own = asked.select("query", F.col("query").alias("doc"), F.lit(3).alias("grade"))
+    return met.select("query", "doc", grade.alias("grade")).where("grade IS NOT NULL").unionByName(own)
+
+
 def _prefixed(name: str):
     return lambda x: F.concat(F.lit(f"{name}="), F.lower(F.trim(x)))
 

@@ -95,6 +95,13 @@ def ndcg_judgments(spark, sf_dir):
     return m.select("query", *[F.round(c, 4).alias(c) for c in m.columns if c != "query"])
 
 
+def graded_qrels(spark, sf_dir):
+    """Grades between every 50th record and all others by shared project and subjects."""
+    ko = _ko(spark, sf_dir)
+    asked = ko.where("rec_no % 50 = 0").select(F.col("rec_no").alias("query"))
+    return R.related_grades(ko, "rec_no", ["project_id", "project_acronym"], ["themes", "topics", "subcategories"], asked).withColumn("grade", F.col("grade").cast("long"))
+
+
 def graded_pool(spark, sf_dir):
     """Grades by shared project and subjects of the 20 best records for every 50th record's query."""
     ko = _ko(spark, sf_dir)
@@ -117,7 +124,7 @@ def query_term_leakage(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (corpus_terms, common_words_by_lang, key_terms, pseudo_queries, bm25_topk, known_item_rank, mrr_hit, rrf_fusion, ndcg_judgments, graded_pool, query_term_leakage)
+    for f in (corpus_terms, common_words_by_lang, key_terms, pseudo_queries, bm25_topk, known_item_rank, mrr_hit, rrf_fusion, ndcg_judgments, graded_qrels, graded_pool, query_term_leakage)
 }
 
 
@@ -174,5 +181,10 @@ ORACLES = {
  u AS (SELECT * FROM v WHERE key IN (SELECT key FROM v GROUP BY key HAVING count(*) <= greatest(1, floor(0.25 * (SELECT count(*) FROM knowledge_objects))))),
  w AS (SELECT r.query, r.doc, count(*) AS n FROM r JOIN u a ON a.doc = r.query JOIN u b ON b.doc = r.doc AND b.key = a.key GROUP BY ALL), p AS (SELECT DISTINCT r.query, r.doc FROM r JOIN s a ON a.doc = r.query JOIN s b ON b.doc = r.doc AND b.key = a.key)
  SELECT r.query, r.doc, CASE WHEN r.query = r.doc THEN 3 WHEN p.doc IS NOT NULL THEN 2 WHEN w.n >= 2 THEN 1 ELSE 0 END::BIGINT AS grade FROM r LEFT JOIN w ON w.query = r.query AND w.doc = r.doc LEFT JOIN p ON p.query = r.query AND p.doc = r.doc""",
+    "graded_qrels": """WITH s AS (SELECT DISTINCT rec_no AS doc, k AS key FROM (SELECT rec_no, unnest([CASE WHEN trim(project_id, ' ') <> '' THEN 'project_id=' || trim(project_id, ' ') END, CASE WHEN trim(project_acronym, ' ') <> '' THEN 'project_acronym=' || trim(project_acronym, ' ') END]) AS k FROM knowledge_objects) WHERE k IS NOT NULL),
+ v AS (SELECT DISTINCT doc, key FROM (SELECT rec_no AS doc, 'themes=' || lower(trim(unnest(themes), ' ')) AS key FROM knowledge_objects UNION ALL SELECT rec_no, 'topics=' || lower(trim(unnest(topics), ' ')) FROM knowledge_objects UNION ALL SELECT rec_no, 'subcategories=' || lower(trim(unnest(subcategories), ' ')) FROM knowledge_objects) WHERE key NOT IN ('themes=', 'topics=', 'subcategories=') AND key IS NOT NULL),
+ u AS (SELECT * FROM v WHERE key IN (SELECT key FROM v GROUP BY key HAVING count(*) <= greatest(1, floor(0.25 * (SELECT count(*) FROM knowledge_objects))))),
+ a AS (SELECT a.doc AS query, b.doc, 1 AS grade FROM u a JOIN u b USING (key) WHERE a.doc % 50 = 0 AND a.doc <> b.doc GROUP BY ALL HAVING count(*) >= 2 UNION ALL SELECT DISTINCT a.doc, b.doc, 2 FROM s a JOIN s b USING (key) WHERE a.doc % 50 = 0 AND a.doc <> b.doc UNION ALL SELECT rec_no, rec_no, 3 FROM knowledge_objects WHERE rec_no % 50 = 0)
+ SELECT query, doc, max(grade)::BIGINT AS grade FROM a GROUP BY ALL""",
     "query_term_leakage": "WITH " + _post("d", "knowledge_objects", "rec_no", "ko_content_flat") + ", " + _post("t", "knowledge_objects", "rec_no", "title") + ", " + _asked("d") + """, q AS (SELECT query, count(t.term) / count(*) AS share FROM asked a LEFT JOIN t_p t ON t.doc = a.query AND t.term = a.term GROUP BY query) SELECT count(*) AS n_queries, round(avg(share), 4) AS leakage FROM q""",
 }
