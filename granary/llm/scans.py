@@ -117,7 +117,7 @@ class Speller:
         self.words, self.least = vocabulary.words, vocabulary.least
         self.trie = Trie({w: n for w, n in vocabulary.words.items() if _plain_word(w.replace("'", "").replace("’", ""))})
         self.known: dict[str, tuple[tuple[str, float], ...]] = {}
-        self.joined: dict[str, bool] = {}
+        self.nearby: dict[str, tuple[tuple[str, float], ...]] = {}
 
     def printed(self, word: str) -> tuple[tuple[str, float], ...]:
         """Candidates for a misread word in lower case, best first; empty for a word that is right or unknown."""
@@ -155,11 +155,23 @@ class Speller:
     def is_word(self, word: str) -> bool:
         return self.words.get(word, 0) >= self.least and not self.printed(word) or bool(self.printed(word))
 
-    def near(self, word: str) -> str | None:
-        """The nearest known word by plain edits, for words of which no misreading is known."""
-        found = self.trie.candidates(word, 1, 1) if len(word) >= 5 else {}
-        best = min(found.items(), key=lambda x: (x[1][0], x[1][1], -x[1][2], x[0]), default=None)
-        return best[0] if best else None
+    def near(self, word: str) -> tuple[tuple[str, float], ...]:
+        """Known words one plain edit, and at most one confusion, from a word below the floor that no confusion explains, best first.
+
+        A word that differs by letters at its start or end alone is an inflected or cut form, and gives no candidate.
+        """
+        if word in self.nearby:
+            return self.nearby[word]
+        if len(self.nearby) > self.MOST:
+            self.nearby.clear()
+        out: tuple = ()
+        own = self.words.get(word, 0)
+        if len(word) >= 5 and own < self.least and not _number(word) and not self.printed(word):
+            found = self.trie.candidates(word, 1 if len(word) >= 7 else 0, 1)
+            far = {w: (e, c, n) for w, (e, c, n) in found.items() if e and n >= RATIO * max(self.least, own) and not (word.startswith(w) or word.endswith(w) or w.startswith(word) or w.endswith(word))}
+            out = tuple(sorted(((w, math.log(n) - 4.0 * e - 2.5 * c) for w, (e, c, n) in far.items() if not self.printed(w)), key=lambda x: (-x[1], x[0])))
+        self.nearby[word] = out
+        return out
 
 
 def _like(word: str, shape: str) -> str:
@@ -260,18 +272,37 @@ class Reader:
         self.speller = Speller(vocabulary)
         self.clean: set[str] = set()
         self.odd: set[str] = set()
+        self.rare: set[str] = set()
 
     def misread_words(self, text: str) -> list[str]:
         """Occurrences of misread words, in lower case."""
         words = _token(text.lower())
-        fresh = set(words) - self.clean - self.odd
-        for w in fresh:
-            (self.odd if self.speller.printed(w) else self.clean).add(w)
+        choice = self.choices(words)
+        return [w for w in words if w in choice] if choice else []
+
+    def choices(self, words: list[str]) -> dict[str, str]:
+        """{misread word: the printed one} of a text's words in lower case.
+
+        Candidates by confusions come first. Those by plain edits need a witness, as a rare word may be right: a digit or sign
+        inside the word, or the printed word elsewhere in a text that has other misread words.
+        """
+        different = set(words)
+        for w in different - self.clean - self.odd - self.rare:
+            (self.odd if self.speller.printed(w) else self.rare if self.speller.near(w) else self.clean).add(w)
         if len(self.clean) > 400_000:
             self.clean.clear()
-        if self.odd.isdisjoint(words):
-            return []
-        return [w for w in words if w in self.odd]
+        odd, rare = different & self.odd, different & self.rare
+        if not odd and not rare:
+            return {}
+        around = Counter(words)
+        # Context: a candidate that the text also has elsewhere wins over a more frequent one.
+        best = lambda found: max(found, key=lambda x: (x[1] + 3.0 * math.log1p(around[x[0]]), x[0]))[0]
+        out = {w: best(self.speller.printed(w)) for w in odd}
+        for w in rare:
+            to = best(self.speller.near(w))
+            if odd and around[to] or not _plain_word(w.replace("'", "").replace("’", "")):
+                out[w] = to
+        return out
 
     def unhyphenate(self, page: Page) -> tuple[list[str], int]:
         """Lines of text with divided words put together, and how many there were."""
@@ -370,18 +401,8 @@ class Reader:
         return self.respell(body)
 
     def respell(self, text: str) -> str:
-        around = Counter(_token(text.lower()))
-
-        def put(m: re.Match) -> str:
-            word = m[0]
-            choice = self.speller.printed(word.lower())
-            if not choice:
-                return word
-            # Context: a candidate that the text also has elsewhere wins over a more frequent one.
-            best = max(choice, key=lambda x: (x[1] + 3.0 * math.log1p(around[x[0]]), x[0]))
-            return _like(best[0], word)
-
-        return _TOKEN.sub(put, text)
+        choice = self.choices(_token(text.lower()))
+        return _TOKEN.sub(lambda m: _like(choice[m[0].lower()], m[0]) if m[0].lower() in choice else m[0], text) if choice else text
 
 
 _TOKEN = re.compile(_token.__self__.pattern)

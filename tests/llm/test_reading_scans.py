@@ -117,3 +117,18 @@ def test_noisy_edges(spark):
     fixed = {(r.rec_no, r.field_name): r.clean_text for r in scans.repair(df).collect()}
     assert fixed[50, "description"] == " ".join(LINES) and (51, "description") not in fixed and len(fixed[53, "description"]) > 50_000
     assert scans.noisy(df.limit(0)).collect() == []
+
+
+def test_plain_edits_explain_words_below_the_floor():
+    """No confusion makes "shepkerd" or "co6post"; one edit does, and the text around decides."""
+    reader = scans.Reader(vocabulary())
+    text = "\n".join(LINES)
+    assert not any(reader.speller.printed(w) for w in ("shepkerd", "rmxture", "co6post"))
+    assert [w for w, _ in reader.speller.near("shepkerd")] == ["shepherd"] and reader.speller.near("soils") == reader.speller.near("shepherds") == ()
+    read = text.replace("compost", "co6post").replace("grain", "gram")
+    assert reader.repair(read) == " ".join(LINES)
+    # Letters alone need a witness: other misread words and the printed word elsewhere.
+    once = text.replace("shepherd", "shepkerd")
+    assert "shepkerd" in reader.repair(once) and "shepkerd" in reader.repair(once.replace("grain", "gram"))
+    assert "shepkerd" not in reader.repair((once + "\n" + text).replace("grain", "gram"))
+    assert reader.find(text.replace("compost", "co6post").replace("yield", "y7eld").replace("slope", "s6ope")) == ["misread"]
