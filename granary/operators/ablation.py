@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions import text as T
+from granary.functions.arrow import map_columns
 from granary.operators import retrieval as R
 
+_words = re.compile(r"\w\w+").findall
+
 
 def bundle_mrr(df: DataFrame, key: str, bundles: dict[str, list[str]], queries: DataFrame, k: int = 10) -> DataFrame:
     """(bundle, n_queries, mrr): reciprocal rank of each query's own record when only a bundle's fields are searched.
@@ -47,3 +54,38 @@ def tfidf_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return df.select(F.col(key)).join(sums.select(F.col("doc").alias(key), F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("cosine")), key, "left")
 
 
+def tfidf_phrase_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, cosine) as tfidf_pairs, over words of at least two signs without stop words, and pairs of successive such words; all terms count.
+
+    ``key`` is unique. Both texts of a row are counted where it is read; a term leaves its batch once, with all its documents there.
+    """
+    stops = frozenset(T.STOP_WORDS)
+    kind = df.schema[key].dataType.simpleString()
+
+    def make():
+        def terms(text):
+            words = [w for w in _words(text) if w not in stops]
+            return Counter(words) + Counter(f"{x} {y}" for x, y in zip(words, words[1:]))
+
+        def work(keys, left, right):
+            at: dict[str, tuple[list, list, list]] = {}
+            for k, s, t in zip(keys, left, right):
+                x, y = terms(s), terms(t)
+                for w in x.keys() | y.keys():
+                    docs, xs, ys = at.get(w) or at.setdefault(w, ([], [], []))
+                    docs.append(k)
+                    xs.append(x.get(w, 0))
+                    ys.append(y.get(w, 0))
+            return [list(at), *(list(c) for c in zip(*at.values()))] if at else [[]] * 4
+
+        return work
+
+    lower = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    counted = map_columns(df.select(F.col(key).alias("k"), lower(a).alias("a"), lower(b).alias("b")), make, f"term string, doc array<{kind}>, x array<int>, y array<int>").persist()
+    n = df.agg((2 * F.count("*")).alias("n"))
+    sides = lambda c: F.size(F.filter(c, lambda v: v > 0))
+    freq = counted.groupBy("term").agg(F.sum(sides("x") + sides("y")).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = F.col("idf") * F.col("idf")
+    each = counted.join(freq, "term").select("idf", F.inline(F.arrays_zip("doc", "x", "y")))
+    sums = each.groupBy("doc").agg(F.sum(w * F.col("x") * F.col("y")).alias("xy"), F.sum(w * F.col("x") * F.col("x")).alias("xx"), F.sum(w * F.col("y") * F.col("y")).alias("yy"))
+    return df.select(F.col(key)).join(sums.select(F.col("doc").alias(key), F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("cosine")), key, "left")

@@ -49,6 +49,10 @@ def tfidf_similarity(spark, sf_dir):
     return ablation.tfidf_pairs(_ko(spark, sf_dir), "rec_no", "description", "ko_content_flat").select("rec_no", F.round("cosine", 5).alias("cosine"))
 
 
+def tfidf_phrase_similarity(spark, sf_dir):
+    return ablation.tfidf_phrase_pairs(_ko(spark, sf_dir), "rec_no", "description", "ko_content_flat").select("rec_no", F.round("cosine", 5).alias("cosine"))
+
+
 def sentence_chunks(spark, sf_dir):
     return sentences.sentence_chunks(_ko(spark, sf_dir), "rec_no", "ko_content_flat")
 
@@ -81,7 +85,7 @@ def rater_errors(spark, sf_dir):
     return out.select("rater", "n", *[F.round(c, 6).alias(c) for c in ("bias", "spread", "over", "under", "exact")])
 
 
-QUERIES = {f.__name__: f for f in (filter_funnel, field_mrr, field_ablation, tfidf_similarity, sentence_chunks, acronym_check, partial_correlation, mean_word_interval, weight_stability, rater_errors)}
+QUERIES = {f.__name__: f for f in (filter_funnel, field_mrr, field_ablation, tfidf_similarity, tfidf_phrase_similarity, sentence_chunks, acronym_check, partial_correlation, mean_word_interval, weight_stability, rater_errors)}
 
 
 def _bundles(bundles: dict[str, list[str]]) -> str:
@@ -110,6 +114,11 @@ ORACLES = {
     "tfidf_similarity": rf"""WITH w AS (SELECT rec_no, 'a' AS side, {plans_words(['description'])} AS ws FROM knowledge_objects UNION ALL SELECT rec_no, 'b', {plans_words(['ko_content_flat'])} FROM knowledge_objects),
  p AS (SELECT rec_no, side, term, count(*) AS tf FROM (SELECT rec_no, side, unnest(ws) AS term FROM w) GROUP BY ALL), f AS (SELECT term, ln((1 + (SELECT count(*) FROM w)) / (1 + count(*))) + 1 AS idf FROM p GROUP BY term),
  x AS (SELECT rec_no, term, idf, coalesce(max(tf) FILTER (side = 'a'), 0) AS x, coalesce(max(tf) FILTER (side = 'b'), 0) AS y FROM p JOIN f USING (term) GROUP BY ALL),
+ s AS (SELECT rec_no, sum(idf * idf * x * y) AS xy, sum(idf * idf * x * x) AS xx, sum(idf * idf * y * y) AS yy FROM x GROUP BY rec_no) SELECT k.rec_no, round(xy / nullif(sqrt(xx * yy), 0), 5) AS cosine FROM knowledge_objects k LEFT JOIN s USING (rec_no)""",
+    "tfidf_phrase_similarity": rf"""WITH v AS (SELECT rec_no, 'a' AS side, {plans_words(['description'])} AS ws FROM knowledge_objects UNION ALL SELECT rec_no, 'b', {plans_words(['ko_content_flat'])} FROM knowledge_objects),
+ w AS (SELECT rec_no, side, list_filter(ws, lambda x: length(x) > 1 AND x NOT IN ({plans._STOPS})) AS ws FROM v),
+ p AS (SELECT rec_no, side, term, count(*) AS tf FROM (SELECT rec_no, side, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w) GROUP BY ALL), f AS (SELECT term, ln((1 + (SELECT count(*) FROM w)) / (1 + count(*))) + 1 AS idf FROM p GROUP BY term),
+ x AS (SELECT rec_no, term, idf, coalesce(max(tf) FILTER (side = 'a'), 0) AS x, coalesce(max(tf) FILTER (side = 'b'), 0) AS y FROM p JOIN f USING (term) GROUP BY ALL),
  s AS (SELECT rec_no, sum(idf * idf * x * y) AS xy, sum(idf * idf * x * x) AS xx, sum(idf * idf * y * y) AS yy FROM x GROUP BY rec_no) SELECT k.rec_no, round(xy / nullif(sqrt(xx * yy), 0), 5) AS cosine FROM knowledge_objects k LEFT JOIN s USING (rec_no)""",
     "partial_correlation": _LEN + f""", r AS (SELECT {_avg('mean_word')} AS x, {_avg('ttr')} AS y, {_avg('n_words')} AS z FROM d), c AS (SELECT count(*) AS n, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM r)
  SELECT n, round(xy, 4) AS rho, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 4) AS partial_rho FROM c""",
