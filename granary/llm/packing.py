@@ -2,34 +2,87 @@
 
 All texts are reduced to a histogram of sizes, which has at most ``capacity`` entries
 however many texts there are. Bin completion with branch and bound runs on that histogram:
-a filling is found for the largest size that is left and repeated as often as the
-histogram allows, so the work does not grow with the corpus. Each text then gets its
-container from its rank among the texts of its size.
+the undominated fillings around the largest size that is left are the branches, each repeated
+as often as the histogram allows or once, and the search goes back over containers already
+closed as long as a bound leaves room for a better plan. The best-fit plan is the incumbent.
+Each text then gets its container from its rank among the texts of its size.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.arrow import map_columns
 
+Plan = list[tuple[int, list[int]]]
+
+
+def _counts(histogram: dict[int, int], capacity: int) -> np.ndarray:
+    """Number of items of each size from 0 to ``capacity``."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for size, n in histogram.items():
+        counts[size] = n
+    return counts
+
+
+def _bound(counts: np.ndarray) -> int:
+    """The waste bound L2: for each threshold, items above capacity - threshold are alone, and items above half the capacity share with no other
+    such item; what small items from the threshold on do not fit in the room beside those needs containers of its own."""
+    capacity = len(counts) - 1
+    half = capacity // 2
+    n, w = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    top = capacity - np.arange(half + 1)  # for the thresholds 0 to half
+    big, mid = n[-1] - n[top], n[top] - n[half]
+    small = w[half] - np.concatenate(([0], w[:half]))
+    free = mid * capacity - (w[top] - w[half])
+    return int((big + mid + np.maximum(0, -((free - small) // capacity))).max())
+
 
 def lower_bound(histogram: dict[int, int], capacity: int) -> int:
-    """Containers that any packing needs (the waste bound L2)."""
-    sizes = sorted(histogram)
-    best = -(-sum(s * n for s, n in histogram.items()) // capacity)
-    for alpha in [0, *[s for s in sizes if 2 * s <= capacity]]:
-        big = sum(histogram[s] for s in sizes if s > capacity - alpha)
-        mid = [s for s in sizes if 2 * s > capacity and s <= capacity - alpha]
-        small = sum(s * histogram[s] for s in sizes if alpha <= s and 2 * s <= capacity)
-        n_mid = sum(histogram[s] for s in mid)
-        free = n_mid * capacity - sum(s * histogram[s] for s in mid)
-        best = max(best, big + n_mid + max(0, -(-(small - free) // capacity)))
-    return best
+    """Containers that any packing needs."""
+    return _bound(_counts(histogram, capacity))
+
+
+def dominated(chosen: tuple[int, ...], room: int, counts: dict[int, int]) -> bool:
+    """Whether an item left over may replace some of the chosen ones of no more size, or stand in the room, so that as much is filled by no more items."""
+    singles = several = 0  # sums of one chosen item, and of two and more, as bits
+    for s in chosen:
+        several |= several << s | singles << s
+        singles |= 1 << s
+    mask = (1 << room + 1) - 1
+    for x, n in counts.items():
+        if n > chosen.count(x) and (x <= room or several >> x - room & mask or singles >> x - room & mask >> 1):
+            return True
+    return False
+
+
+def fillings(left: int, sizes: list[int], counts: dict[int, int], steps: int) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``left`` from the sizes on hand, large sizes first, until ``steps`` branches are used up; -1 sets no limit.
+
+    A branch is left when it must end with room for a size that it passed over: with that size the same filling is fuller.
+    """
+    most = np.cumsum([s * counts[s] for s in sizes]).tolist()  # what sizes up to each place can fill at most
+    stack: list[tuple[int, int, int, tuple[int, ...]]] = [(left, len(sizes) - 1, left + 1, ())]
+    while stack and steps:
+        free, top, passed, chosen = stack.pop()
+        steps -= 1
+        top = min(top, bisect.bisect_right(sizes, free) - 1)
+        if top < 0:
+            if free < passed and not dominated(chosen, free, counts):
+                yield chosen
+            continue
+        if free - most[top] >= passed:
+            continue
+        size = sizes[top]
+        on_hand = counts[size] > chosen.count(size)
+        stack.append((free, top - 1, min(passed, size) if on_hand else passed, chosen))
+        if on_hand:
+            stack.append((free - size, top, passed, (*chosen, size)))
 
 
 def complete(left: int, sizes: list[int], counts: dict[int, int], nodes: int) -> list[int]:
@@ -40,7 +93,7 @@ def complete(left: int, sizes: list[int], counts: dict[int, int], nodes: int) ->
     room for a size that it passed over: with that size added the same filling wastes less. Ends at the first filling without waste, or
     after ``nodes`` branches with the incumbent.
     """
-    most = np.cumsum([s * counts[s] for s in sizes]) if sizes else np.zeros(0)  # what sizes up to each place can fill at most
+    most = np.cumsum([s * counts[s] for s in sizes]).tolist()  # what sizes up to each place can fill at most
     best: list[int] = []
     best_waste = left
     stack: list[tuple[int, int, int, tuple[int, ...]]] = [(left, len(sizes) - 1, left + 1, ())]
@@ -63,26 +116,78 @@ def complete(left: int, sizes: list[int], counts: dict[int, int], nodes: int) ->
     return best
 
 
-def plan_by_completion(histogram: dict[int, int], capacity: int, nodes: int) -> list[tuple[int, list[int]]]:
-    """Fillings around the largest size that is left, each repeated as often as the histogram allows."""
-    counts = {s: n for s, n in histogram.items() if n > 0}
-    sizes = sorted(counts)
-    plan = []
-    while sizes:
+class Completion:
+    """Branch and bound over containers.
+
+    A branch closes one container, or as many equal ones as the histogram allows, around the largest size that is left. It is given up when the
+    containers closed so far and the waste bound of what is left reach the incumbent, or when what is left was met before with no more
+    containers closed. The search ends when the incumbent meets the bound of the whole, when no branch is left (then the plan is optimal), or
+    after ``budget`` branches. With a budget, the fillings tried at one place are those met within ``per_filling`` steps; None sets neither limit.
+    """
+
+    def __init__(self, histogram: dict[int, int], capacity: int, incumbent: Plan, budget: int | None, per_filling: int = 4000):
+        self.capacity, self.per_filling = capacity, per_filling
+        self.left = _counts(histogram, capacity)
+        self.best, self.number = incumbent, sum(times for times, _ in incumbent) + 1  # an equally good plan replaces it
+        self.goal = _bound(self.left)
+        self.steps = -1 if budget is None else budget
+        self.met: dict[bytes, int] = {}
+
+    def options(self) -> Iterator[tuple[int, list[int]]]:
+        """Fillings for the largest size left with their repetitions: the fullest one first, then all undominated ones by waste."""
+        sizes = np.flatnonzero(self.left).tolist()
+        counts = dict(zip(sizes, self.left[sizes].tolist()))
         first = sizes[-1]
         counts[first] -= 1
         rest = sizes if counts[first] else sizes[:-1]
-        filling = [first, *complete(capacity - first, rest, counts, nodes)]
-        counts[first] += 1
-        need = {s: filling.count(s) for s in set(filling)}
-        times = min(counts[s] // k for s, k in need.items())
-        plan.append((times, filling))
-        for s, k in need.items():
-            counts[s] -= times * k
-            if not counts[s]:
-                del counts[s]
-                sizes.pop(bisect.bisect_left(sizes, s))
-    return plan
+        room = self.capacity - first
+        fullest = tuple(complete(room, rest, counts, self.per_filling))
+        yield from self.repeated(first, fullest)
+        others = fillings(room, rest, counts, -1 if self.steps < 0 else self.per_filling)
+        for chosen in sorted((c for c in others if c != fullest), key=lambda c: (-sum(c), len(c), [-s for s in c])):
+            yield from self.repeated(first, chosen)
+
+    def repeated(self, first: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, list[int]]]:
+        filling = [first, *chosen]
+        times = min(int(self.left[s]) // filling.count(s) for s in set(filling))
+        yield times, filling
+        if times > 1:
+            yield 1, filling
+
+    def put(self, times: int, filling: list[int], sign: int) -> None:
+        for s in filling:
+            self.left[s] -= sign * times
+
+    def run(self) -> Plan:
+        path: list[tuple[int, list[int]]] = []
+        closed = 0
+        stack = [self.options()] if self.left.any() else []
+        while stack and self.number > self.goal:
+            option = next(stack[-1], None) if self.steps else None
+            if option is None:
+                stack.pop()
+                if path:
+                    times, filling = path.pop()
+                    self.put(times, filling, -1)
+                    closed -= times
+                continue
+            self.steps -= 1
+            times, filling = option
+            self.put(times, filling, 1)
+            path.append(option)
+            closed += times
+            state = self.left.tobytes() if self.capacity < 64 else hash(self.left.tobytes()).to_bytes(8, "big", signed=True)
+            if not self.left.any():
+                if closed < self.number:
+                    self.best, self.number = list(path), closed
+            elif closed + _bound(self.left) < self.number and self.met.get(state, closed + 1) > closed:
+                self.met[state] = closed
+                stack.append(self.options())
+                continue
+            path.pop()
+            self.put(times, filling, -1)
+            closed -= times
+        return self.best
 
 
 def plan_by_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -121,18 +226,14 @@ def plan_by_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int
     return [entry for entries in groups.values() for entry in entries]
 
 
-def plan_fillings(histogram: dict[int, int], capacity: int, nodes: int = 4000) -> list[tuple[int, list[int]]]:
-    """[(repetitions, sizes of one container)] that use up the whole histogram.
+def plan_fillings(histogram: dict[int, int], capacity: int, budget: int | None = 3_000) -> Plan:
+    """[(repetitions, sizes of one container)] that use up the whole histogram, by bin completion with the best-fit plan as incumbent.
 
-    The best-fit plan is the incumbent; bin completion replaces it where it needs fewer containers, and is not tried where best fit
-    already meets the lower bound.
+    With ``budget`` None the plan is optimal, whatever time that takes; else the search ends after so many branches with the best plan met.
+    Where the plan meets ``lower_bound`` it is optimal in any case.
     """
-    number = lambda plan: sum(times for times, _ in plan)
     incumbent = plan_by_best_fit(histogram, capacity)
-    if number(incumbent) == lower_bound(histogram, capacity):
-        return incumbent
-    found = plan_by_completion(histogram, capacity, nodes)
-    return found if number(found) < number(incumbent) else incumbent
+    return Completion(histogram, capacity, incumbent, budget).run()
 
 
 def fill_containers(sized: DataFrame, capacity: int, key: str = "doc_id", tokens: str = "tokens", per_lane: int = 200_000) -> DataFrame:
@@ -144,8 +245,8 @@ def fill_containers(sized: DataFrame, capacity: int, key: str = "doc_id", tokens
     equal sizes fall by a hash of the key, so the outcome does not depend on partitions.
 
     The histogram has at most ``capacity`` rows, which bounds what is collected and what is
-    broadcast. Ranks within a size are counted in hash lanes of about ``per_lane`` pieces, so that a size that a
-    third of all items have does not land in one task; the offsets of the lanes are one number each.
+    broadcast. Ranks within a size follow the hash; they are counted in lanes, ranges of the hash of about ``per_lane`` pieces, so that a size that a
+    third of all items have does not land in one task. The offsets of the lanes are one number each, and the lanes change no rank.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -155,51 +256,52 @@ def fill_containers(sized: DataFrame, capacity: int, key: str = "doc_id", tokens
     pieces = items.where("n > 0").select(
         "k", F.posexplode(F.concat(F.array_repeat(F.lit(capacity).cast("long"), full.cast("int")), F.array(F.col("n") - full * capacity))).alias("p", "size")
     )
-    pieces = pieces.select("k", (F.col("p") + 1).alias("p"), F.col("size").cast("int").alias("size"))
+    pieces = pieces.select("k", (F.col("p") + 1).alias("p"), F.col("size").cast("int").alias("size"), F.xxhash64("k", F.col("p") + 1).alias("h"))
     histogram: dict[int, int] = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}  # at most ``capacity`` rows
-    lanes_of = {s: -(-n // per_lane) for s, n in histogram.items()}
-    crowded = {s: k for s, k in lanes_of.items() if k > 1}
-    lanes = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in crowded.items() for x in kv]), F.col("size")), F.lit(1)) if crowded else F.lit(1)
-    pieces = pieces.withColumn("lane", F.pmod(F.xxhash64("k", "p"), lanes).cast("int"))
+    # Lanes are powers of two; the leading bits of the hash are the lane.
+    bits = {s: (-(-n // per_lane) - 1).bit_length() for s, n in histogram.items() if n > per_lane}
+    lane = F.lit(0)
+    if bits:
+        of_size = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in bits.items() for x in kv]), F.col("size")), F.lit(0))
+        pieces = pieces.withColumn("bits", of_size)
+        lane = F.when(F.col("bits") > 0, F.expr("shiftright(h, 64 - bits)").cast("int")).otherwise(0)
+    pieces = pieces.select("k", "p", "size", "h", lane.alias("lane"))
     before: dict[tuple[int, int], int] = {}
-    taken_by: dict[int, int] = {}
-    if crowded:
-        counts = pieces.where(F.col("size").isin(list(crowded))).groupBy("size", "lane").count().collect()  # a row per ``per_lane`` pieces
+    if bits:
+        counts = pieces.where(F.col("size").isin(list(bits))).groupBy("size", "lane").count().collect()  # a row per ``per_lane`` pieces
+        taken_by: dict[int, int] = {}
         for row in sorted(counts, key=lambda r: (r["size"], r["lane"])):
             before[row["size"], row["lane"]] = taken_by.get(row["size"], 0)
             taken_by[row["size"]] = taken_by.get(row["size"], 0) + row["count"]
     plan = plan_fillings(histogram, capacity)
 
     # Slots of each size in the order of its ranks: from which rank on, and which container that is.
-    starts: dict[int, list[int]] = {s: [] for s in histogram}
-    firsts: dict[int, list[int]] = {s: [] for s in histogram}
+    slots: list[tuple[int, int, int]] = []
     taken = dict.fromkeys(histogram, 0)
     container = 1
     for times, filling in plan:
         for size in filling:
-            starts[size].append(taken[size])
-            firsts[size].append(container)
+            slots.append((size, taken[size], container))
             taken[size] += times
         container += times
-    slots = spark.sparkContext.broadcast(({s: np.array(v) for s, v in starts.items()}, {s: np.array(v) for s, v in firsts.items()}, before))
+    ordered = np.array(sorted(slots), np.int64).reshape(-1, 3)
+    shared = spark.sparkContext.broadcast((ordered, before))
     kind = sized.schema[key].dataType.simpleString()
 
     def make():
-        from_rank, from_container, offsets = slots.value
+        by_slot, offsets = shared.value
+        places = (by_slot[:, 0] << 44) + by_slot[:, 1]  # a size is below 2 ** 19, a rank below 2 ** 44
 
-        def work(keys, numbers, sizes, lane, rank):
-            out = []
-            for s, b, r in zip(sizes, lane, rank):
-                at = offsets.get((s, b), 0) + r - 1
-                i = int(np.searchsorted(from_rank[s], at, "right")) - 1
-                out.append(int(from_container[s][i] + at - from_rank[s][i]))
-            return [keys, numbers, sizes, out]
+        def work(keys, numbers, sizes, lanes, ranks):
+            at = np.array(ranks, np.int64) - 1
+            if offsets:
+                at += np.array([offsets.get(x, 0) for x in zip(sizes, lanes)], np.int64)
+            i = np.searchsorted(places, (np.array(sizes, np.int64) << 44) + at, "right") - 1
+            return [keys, numbers, sizes, (by_slot[i, 2] + at - by_slot[i, 1]).tolist()]
 
         return work
 
-    from pyspark.sql import Window
-
-    ranked = pieces.withColumn("r", F.row_number().over(Window.partitionBy("size", "lane").orderBy(F.xxhash64("k"), "k", "p")))
+    ranked = pieces.withColumn("r", F.row_number().over(Window.partitionBy("size", "lane").orderBy("h", "k", "p")))
     filled = map_columns(ranked.select("k", "p", "size", "lane", "r"), make, f"k {kind}, piece_no int, piece_tokens int, container_no long")
     empty = items.where("n <= 0").select("k", F.lit(1).alias("piece_no"), F.lit(0).alias("piece_tokens"), F.lit(None).cast("long").alias("container_no"))
     return filled.unionByName(empty).withColumnRenamed("k", key)

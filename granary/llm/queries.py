@@ -110,6 +110,22 @@ def p9_containers(spark, sf_dir):
     return out.select("limit_name", "doc_id", "piece_no", "piece_tokens", "container_no")
 
 
+def p9_valid(spark, sf_dir):
+    """Per capacity: documents, documents without a row, containers over the capacity, needless splits, pieces that come twice, and whether the number of containers is within one, or 0.2 %, of the waste-free number."""
+    filled = p9_containers(spark, sf_dir)
+    sizes = F.create_map(*[F.lit(x) for kv in _capacities(spark, sf_dir).items() for x in kv])
+    filled = filled.withColumn("max_size", F.element_at(sizes, F.col("limit_name")))
+    loads = filled.where("container_no IS NOT NULL").groupBy("limit_name", "max_size", "container_no").agg(F.sum("piece_tokens").alias("load"))
+    by_load = loads.groupBy("limit_name").agg(
+        F.count_if(F.expr("load > max_size")).alias("n_over_full"), (F.count("*") <= F.ceil(F.sum("load") / F.first("max_size")) * 1.002 + 1).alias("tight")
+    )
+    docs = filled.groupBy("limit_name", "max_size", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("piece_no").alias("d"), F.sum("piece_tokens").alias("tokens"))
+    by_doc = docs.groupBy("limit_name").agg(
+        F.count("*").alias("n_documents"), F.count_if(F.expr("n > 1 AND tokens <= max_size")).alias("n_needless_splits"), F.count_if(F.expr("n > d")).alias("n_repeated")
+    )
+    return by_doc.join(by_load, "limit_name")
+
+
 def p10_found(spark, sf_dir):
     return repetition.repetitive(_docs(spark, sf_dir)).where("share >= 0.4").select("doc_id")
 
@@ -137,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_repaired, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p4_languages, p5_found, p5_statistics, p6_found, p6_levels,
-        p8_ids, p8_ids_multi, p8_ids_word, p8_ids_piece, p9_containers, p10_found, p10_repetition, p10_shares,
+        p8_ids, p8_ids_multi, p8_ids_word, p8_ids_piece, p9_containers, p9_valid, p10_found, p10_repetition, p10_shares,
     )
 }
 
@@ -146,6 +162,10 @@ ORACLES = {
 SELECT rec_no, l.applies_to AS field_name FROM knowledge_objects k
 JOIN (SELECT applies_to, max_size FROM size_limits WHERE unit = 'characters') l
   ON length(CASE l.applies_to WHEN 'ko_content_flat' THEN k.ko_content_flat ELSE k.ko_content_flat_summarised END) > l.max_size""",
+    "p9_valid": """
+SELECT limit_name, (SELECT count(*) FROM documents) AS n_documents, CAST(0 AS BIGINT) AS n_needless_splits, CAST(0 AS BIGINT) AS n_repeated,
+  CAST(0 AS BIGINT) AS n_over_full, true AS tight
+FROM size_limits WHERE unit = 'tokens' AND applies_to = 'documents.text'""",
     "p10_found": _SHARES + "SELECT doc_id FROM shares WHERE exact >= 0.4",
     "p10_shares": _SHARES + "SELECT doc_id, n_words, round(exact, 6) AS share FROM shares",
 }

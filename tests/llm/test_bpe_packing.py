@@ -1,7 +1,7 @@
 import base64
 import os
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -96,37 +96,39 @@ def best_possible(sizes, capacity):
     return best
 
 
-def test_plans_are_near_the_optimum():
+def uses_up(plan, histogram, capacity):
+    used = defaultdict(int)
+    for times, filling in plan:
+        assert times > 0 and sum(filling) <= capacity
+        for s in filling:
+            used[s] += times
+    return dict(used) == histogram
+
+
+def test_plans_without_a_budget_are_optimal():
     rnd = random.Random(1)
-    extra = 0
-    for _ in range(60):
-        sizes = [rnd.randint(1, 30) for _ in range(rnd.randint(1, 9))]
+    for _ in range(300):
+        capacity = rnd.choice([20, 30, 50, 100])
+        sizes = [rnd.randint(1, capacity) if rnd.random() < 0.3 else rnd.randint(max(1, capacity // 8), capacity // 2) for _ in range(rnd.randint(6, 12))]
         histogram = {s: sizes.count(s) for s in sizes}
-        plan = packing.plan_fillings(histogram, 30)
-        assert all(sum(f) <= 30 for _, f in plan)
-        used = defaultdict(int)
-        for times, filling in plan:
-            for s in filling:
-                used[s] += times
-        assert dict(used) == histogram
-        n, low = sum(t for t, _ in plan), packing.lower_bound(histogram, 30)
-        best = best_possible(sizes, 30)
-        assert low <= best <= n
-        extra += n - best
-    assert extra <= 3
+        plan = packing.plan_fillings(histogram, capacity, None)
+        assert uses_up(plan, histogram, capacity)
+        best = best_possible(sizes, capacity)
+        assert packing.lower_bound(histogram, capacity) <= best == sum(t for t, _ in plan)
+
+
+def test_search_goes_back_over_closed_containers():
+    histogram = {11: 1, 10: 1, 8: 2, 7: 3, 6: 1, 5: 1, 4: 2, 3: 1}
+    assert sum(t for t, _ in packing.plan_by_best_fit(histogram, 20)) >= sum(t for t, _ in packing.plan_fillings(histogram, 20)) == 4
 
 
 def test_each_plan_uses_up_the_histogram():
     rnd = random.Random(9)
     for _ in range(40):
         histogram = {rnd.randint(1, 50): rnd.randint(1, 400) for _ in range(rnd.randint(1, 30))}
-        for plan in (packing.plan_by_best_fit(histogram, 50), packing.plan_by_completion(histogram, 50, 500)):
-            used = defaultdict(int)
-            for times, filling in plan:
-                assert times > 0 and sum(filling) <= 50
-                for s in filling:
-                    used[s] += times
-            assert dict(used) == histogram
+        fit, found = packing.plan_by_best_fit(histogram, 50), packing.plan_fillings(histogram, 50, 300)
+        assert uses_up(fit, histogram, 50) and uses_up(found, histogram, 50)
+        assert packing.lower_bound(histogram, 50) <= sum(t for t, _ in found) <= sum(t for t, _ in fit)
     assert packing.plan_fillings({}, 50) == []
 
 
@@ -148,12 +150,8 @@ def test_fill_containers(spark):
     total = sum(s or 0 for _, s in rows)
     assert len(load) <= total / 100 * 1.05 + 1
     again = packing.fill_containers(df.repartition(7), 100, per_lane=30).collect()
-    assert sorted(r.piece_tokens for r in again) == sorted(r.piece_tokens for r in got)
-    loads = defaultdict(int)
-    for r in again:
-        loads[r.container_no] += r.piece_tokens
-    loads.pop(None)
-    assert sorted(loads.values()) == sorted(load.values())
+    # Lanes and partitions change no row; repeated rows may change places.
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     assert packing.fill_containers(df.limit(0), 100).collect() == []
     with pytest.raises(ValueError):
         packing.fill_containers(df, 0)
