@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,3 +33,21 @@ def session(master: str | None = None, partitions: int | None = None, memory: st
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder that all executors share for checkpoints, as the cluster names it; None where it names none."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist what an operator reads twice. It stays until ``release``, as the operator's result is computed later; lost blocks are made again."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(df)
+    return df
+
+
+def release() -> None:
+    """Free all that operators kept, once their results are written."""
+    while _kept:
+        df = _kept.pop()
+        if df.sparkSession.sparkContext._jsc is not None:
+            df.unpersist()
