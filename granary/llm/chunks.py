@@ -30,18 +30,33 @@ def _alternatives(limit: int, overlap: int) -> str:
 
 
 def piece_pattern(max_size: int, overlap: int) -> str:
-    """The first piece may fill the limit; the others leave room for the overlap."""
-    if not 0 <= overlap < max_size or 2 * overlap > max_size:
-        raise ValueError("the overlap must be at least 0 and at most half of the size")
-    return rf"(?s)\A(?:{_alternatives(max_size, overlap)})|(?:{_alternatives(max_size - overlap, overlap)})"
+    """The first piece may fill the limit; the others leave room for the overlap.
+
+    An overlap of up to half of the size lies in what the piece before has consumed, so each consumes that much at least; a longer one
+    reaches further back, and only the first piece has to be so long.
+    """
+    if not 0 <= overlap < max_size:
+        raise ValueError("the overlap must be at least 0 and less than the size")
+    return rf"(?s)\A(?:{_alternatives(max_size, overlap)})|(?:{_alternatives(max_size - overlap, 0 if 2 * overlap > max_size else overlap)})"
 
 
 def pieces(text: Column, max_size: int, overlap: int) -> Column:
     """ARRAY<STRING> of pieces: null for null, one piece for what is within the limit."""
     cut = F.regexp_extract_all(text, F.lit(piece_pattern(max_size, overlap)), F.lit(0))
-    lapped = F.transform(
-        cut, lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(F.right(F.get(cut, i - 1), F.lit(overlap)), piece))
-    )
+    if 2 * overlap <= max_size:
+        lapped = F.transform(cut, lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(F.right(F.get(cut, i - 1), F.lit(overlap)), piece)))
+    else:
+        # Where each piece begins, from the lengths of those before it.
+        ends = F.aggregate(
+            cut, F.array().cast("array<int>"), lambda at, piece: F.concat(at, F.array(F.coalesce(F.try_element_at(at, F.lit(-1)), F.lit(0)) + F.char_length(piece)))
+        )
+        both = F.arrays_zip(cut.alias("piece"), ends.alias("end"))
+        lapped = F.transform(
+            both,
+            lambda x, i: F.when(i == 0, x["piece"]).otherwise(
+                F.substring(text, x["end"] - F.char_length(x["piece"]) - overlap + 1, F.char_length(x["piece"]) + overlap)
+            ),
+        )
     return F.when(F.char_length(text) > max_size, lapped).when(text.isNotNull(), F.array(text))
 
 

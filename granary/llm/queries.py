@@ -59,6 +59,18 @@ def p3_pieces(spark, sf_dir):
     return chunks.split_texts(_ko(spark, sf_dir), _limits(spark, sf_dir))
 
 
+def p3_rejoined(spark, sf_dir):
+    """Every text put together from its pieces without their overlaps, with whether all pieces are within the limit and each overlap is the end of the piece before."""
+    limits = _limits(spark, sf_dir)
+    lap = F.element_at(F.create_map(*[F.lit(x) for f, (_, n) in limits.items() for x in (f, n)]), F.col("field_name")).cast("int")
+    whole = chunks.split_texts(_ko(spark, sf_dir), limits).groupBy("rec_no", "field_name").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "piece"))), lambda x: x["piece"]).alias("p")
+    )
+    rest = F.transform("p", lambda x, i: F.when(i == 0, x).otherwise(F.substr(x, lap + 1)))
+    fits = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: (i == 1) | F.startswith(F.get("p", i - 1), F.right(F.get("p", F.greatest(i - 2, F.lit(0))), lap)))
+    return whole.select("rec_no", "field_name", F.array_join(rest, "").alias("text"), (F.array_max(F.transform("p", F.char_length)) <= F.element_at(F.create_map(*[F.lit(x) for f, (n, _) in limits.items() for x in (f, n)]), F.col("field_name"))).alias("within"), fits.alias("lapped"))
+
+
 def p4_found(spark, sf_dir):
     return languages.mislabelled(_ko(spark, sf_dir))
 
@@ -127,7 +139,7 @@ def p9_valid(spark, sf_dir):
 
 
 def p10_found(spark, sf_dir):
-    return repetition.repetitive(_docs(spark, sf_dir)).where("share >= 0.4").select("doc_id")
+    return repetition.repetitive(_docs(spark, sf_dir), always=0.4).where("share >= 0.4").select("doc_id")
 
 
 def p10_repetition(spark, sf_dir):
@@ -152,7 +164,7 @@ shares AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CASE WHEN k IS N
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_repaired, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p4_languages, p5_found, p5_statistics, p6_found, p6_levels,
+        p1_found, p1_repaired, p2_found, p2_clean, p3_found, p3_pieces, p3_rejoined, p4_found, p4_languages, p5_found, p5_statistics, p6_found, p6_levels,
         p8_ids, p8_ids_multi, p8_ids_word, p8_ids_piece, p9_containers, p9_valid, p10_found, p10_repetition, p10_shares,
     )
 }
@@ -162,10 +174,19 @@ ORACLES = {
 SELECT rec_no, l.applies_to AS field_name FROM knowledge_objects k
 JOIN (SELECT applies_to, max_size FROM size_limits WHERE unit = 'characters') l
   ON length(CASE l.applies_to WHEN 'ko_content_flat' THEN k.ko_content_flat ELSE k.ko_content_flat_summarised END) > l.max_size""",
+    "p3_rejoined": """
+SELECT rec_no, 'ko_content_flat' AS field_name, ko_content_flat AS text, true AS within, true AS lapped FROM knowledge_objects WHERE ko_content_flat IS NOT NULL
+UNION ALL SELECT rec_no, 'ko_content_flat_summarised', ko_content_flat_summarised, true, true FROM knowledge_objects WHERE ko_content_flat_summarised IS NOT NULL""",
     "p9_valid": """
 SELECT limit_name, (SELECT count(*) FROM documents) AS n_documents, CAST(0 AS BIGINT) AS n_needless_splits, CAST(0 AS BIGINT) AS n_repeated,
   CAST(0 AS BIGINT) AS n_over_full, true AS tight
 FROM size_limits WHERE unit = 'tokens' AND applies_to = 'documents.text'""",
     "p10_found": _SHARES + "SELECT doc_id FROM shares WHERE exact >= 0.4",
+    "p10_repetition": _SHARES
+    + r"""
+, named AS (SELECT doc_id, lower(trim(coalesce(lang, ''))) AS lang, lower(trim(coalesce(source, ''))) AS source, n_words, exact FROM shares JOIN documents USING (doc_id)),
+limits AS (SELECT lang, source, greatest(quantile_disc(exact, 0.9), 1e-9) AS threshold FROM named GROUP BY lang, source)
+SELECT doc_id, lang, source, CAST(n_words AS INTEGER) AS n_words, round(exact, 6) AS share, round(threshold, 6) AS threshold
+FROM named JOIN limits USING (lang, source) WHERE exact >= threshold""",
     "p10_shares": _SHARES + "SELECT doc_id, n_words, round(exact, 6) AS share FROM shares",
 }

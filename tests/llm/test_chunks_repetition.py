@@ -7,15 +7,16 @@ from hypothesis import strategies as st
 from granary.llm import chunks, repetition
 
 LIMITS = {"a": (60, 12), "b": (30, 0)}
+LONG_LAP = {"c": (40, 33)}
 
 
 def test_split_texts_round_trip(spark):
     rnd = random.Random(4)
     texts = [None, "", "x", "y" * 61, "y" * 500, "Short. " * 40, "para one.\n\n" + "word " * 30 + "\n\nlast", "😀" * 130, "a\n" * 90]
     texts += ["".join(rnd.choice("ab .\n,;😀") for _ in range(rnd.randint(0, 300))) for _ in range(80)]
-    df = spark.createDataFrame([(i, t, t, "x") for i, t in enumerate(texts)], "rec_no long, a string, b string, piece string")
-    rows = chunks.split_texts(df, LIMITS).collect()
-    for field, (most, lap) in LIMITS.items():
+    df = spark.createDataFrame([(i, t, t, t, "x") for i, t in enumerate(texts)], "rec_no long, a string, b string, c string, piece string")
+    rows = chunks.split_texts(df, LIMITS | LONG_LAP).collect()
+    for field, (most, lap) in (LIMITS | LONG_LAP).items():
         for i, t in enumerate(texts):
             mine = sorted((r.piece_no, r.piece) for r in rows if r.rec_no == i and r.field_name == field)
             if t is None:
@@ -37,7 +38,7 @@ def test_cuts_at_the_strongest_boundary(spark):
     got = [r.piece for r in chunks.split_texts(df, {"a": (60, 0)}).orderBy("piece_no").collect()]
     assert got[0].endswith("\n\n")
     with pytest.raises(ValueError):
-        chunks.piece_pattern(10, 6)
+        chunks.piece_pattern(10, 10)
 
 
 def test_oversized(spark):
@@ -68,7 +69,18 @@ def test_repetitive(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, share int")
     got = {r.doc_id: r for r in repetition.repetitive(df).collect()}
     assert set(got) == {2, 5, 6} and got[2].share == pytest.approx(0.5) and got[6].share > 0.99
-    assert all(0 < r.threshold <= 0.4 for r in got.values())
+    assert all(r.threshold > 0 for r in got.values())
     limits = repetition.group_thresholds(repetition.measure(df)).collect()
     assert {(r.lang, r.source) for r in limits} == {("en", "s"), ("", ""), ("fr", "t")}
     assert repetition.repetitive(df.limit(0)).collect() == []
+    shares = spark.createDataFrame([(i, "en", "s", 100, i / 100) for i in range(1, 101)], "doc_id long, lang string, source string, n_words int, share double")
+    assert repetition.group_thresholds(shares).first().threshold == 0.9
+    small = repetition.with_thresholds(shares, repetition.group_thresholds(shares))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, repetition.with_thresholds(shares, repetition.group_thresholds(shares), most_bytes=0).select(small.columns).collect()))
+
+
+def test_documents_that_always_count(spark):
+    once = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, f"{once} {once} {'x%d ' % i * (i + 1)}", "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string")
+    found, all_of_them = repetition.repetitive(df), repetition.repetitive(df, always=0.4)
+    assert 0 < found.count() < 20 and all_of_them.count() == repetition.measure(df).where("share >= 0.4").count()

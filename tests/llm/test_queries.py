@@ -1,5 +1,6 @@
 import os
 
+import duckdb
 import pytest
 
 from granary.llm import queries
@@ -19,3 +20,12 @@ def test_query_runs_over_its_tables(spark, name):
     assert rows, name
     if name in COLUMNS:
         assert df.columns == COLUMNS[name]
+    if name not in queries.ORACLES:
+        return
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{SF}/{f}'")
+    result = con.sql(queries.ORACLES[name])
+    assert sorted(result.columns) == sorted(df.columns)
+    at = [result.columns.index(c) for c in df.columns]
+    assert sorted((tuple(r) for r in rows), key=repr) == sorted((tuple(r[i] for i in at) for r in result.fetchall()), key=repr)
