@@ -3,21 +3,26 @@
 Misread words are found by intersecting a Levenshtein automaton with a trie of the corpus
 vocabulary. The automaton knows, beside the plain edits, the merges and splits of letters
 that scanners make ("rn" for "m"), so its candidates are complete for them. Candidates are
-ranked by their frequency and by the text around; page furniture is dropped and lines are
-joined into paragraphs again.
+ranked by their frequency, by the words next to them and by the rest of the text; page
+furniture is dropped and lines are joined into paragraphs again.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.arrow import map_columns
+from granary.session import keep
 from granary.llm.text_types import TypeModel, TypeOf, learn, statistics
 
 KINDS = ("hyphenation", "misread", "page_number", "running_header")
@@ -98,12 +103,40 @@ class Trie:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Document frequencies of the corpus' words; words below ``least`` are not held."""
+    """Document frequencies of the corpus' words; words below ``least`` are not held. ``pairs`` counts neighbouring words, in hashed cells."""
 
     words: dict[str, int]
     least: int
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
 
+#: Cells in which pairs of neighbouring words are counted, a power of two.
+CELLS = 1 << 20
+
+
+class Pairs:
+    """Cells of pairs of neighbouring words; remembers the words' codes."""
+
+    def __init__(self, cells: int = CELLS):
+        self.mask, self.codes = cells - 1, {}
+
+    def code(self, word: str) -> int:
+        if word not in self.codes:
+            if len(self.codes) > 500_000:
+                self.codes.clear()
+            self.codes[word] = zlib.crc32(word.encode())
+        return self.codes[word]
+
+    def cell(self, a: str, b: str) -> int:
+        return (self.code(a) * 2654435761 + self.code(b)) & self.mask
+
+    def cells(self, words: list[str]) -> np.ndarray:
+        codes = np.fromiter(map(self.code, words), np.int64, len(words))
+        return (codes[:-1] * 2654435761 + codes[1:]) & self.mask
+
+
+#: What counts as often where a word's frequency is judged by itself; the same in a corpus of any size.
+FEW = 3
 #: How much more frequent the printed word must be than the one read.
 RATIO = 12
 
@@ -117,7 +150,7 @@ class Speller:
         self.words, self.least = vocabulary.words, vocabulary.least
         self.trie = Trie({w: n for w, n in vocabulary.words.items() if _plain_word(w.replace("'", "").replace("’", ""))})
         self.known: dict[str, tuple[tuple[str, float], ...]] = {}
-        self.nearby: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.nearby: dict[tuple[str, int], tuple[tuple[str, float], ...]] = {}
 
     def printed(self, word: str) -> tuple[tuple[str, float], ...]:
         """Candidates for a misread word in lower case, best first; empty for a word that is right or unknown."""
@@ -129,12 +162,12 @@ class Speller:
         self.known[word] = out  # while its candidates are asked for themselves
         if len(word) >= 3 and not _number(word):
             own = max(1, self.words.get(word, 0))
-            strange = any(c in "†|$ﬁﬂ" for c in word) or (any(c.isdigit() for c in word) and own < 50 * self.least)
+            strange = any(c in "†|$ﬁﬂ" for c in word) or (any(c.isdigit() for c in word) and own < 50 * FEW)
             # Where a sign that no word has stands in a word, any known word will do; else the printed word must be far more frequent.
             floor = self.least if strange and own < self.least else RATIO * own
             if own < self.least or own * RATIO <= self._most:
                 found = self._explanations(word, 1, floor)
-                if not found and own < 8 * self.least:
+                if not found and own < 8 * FEW:
                     found = self._explanations(word, 4, floor)
                 if found:
                     out = tuple(sorted(((w, math.log(n) - 2.5 * c) for w, (c, n) in found.items()), key=lambda x: (-x[1], x[0])))
@@ -155,22 +188,22 @@ class Speller:
     def is_word(self, word: str) -> bool:
         return self.words.get(word, 0) >= self.least and not self.printed(word) or bool(self.printed(word))
 
-    def near(self, word: str) -> tuple[tuple[str, float], ...]:
-        """Known words one plain edit, and at most one confusion, from a word below the floor that no confusion explains, best first.
+    def near(self, word: str, edits: int = 1) -> tuple[tuple[str, float], ...]:
+        """Known words so many plain edits, and at most one confusion, from a word below the floor that no confusion explains, best first.
 
         A word that differs by letters at its start or end alone is an inflected or cut form, and gives no candidate.
         """
-        if word in self.nearby:
-            return self.nearby[word]
+        if (word, edits) in self.nearby:
+            return self.nearby[word, edits]
         if len(self.nearby) > self.MOST:
             self.nearby.clear()
         out: tuple = ()
         own = self.words.get(word, 0)
-        if len(word) >= 5 and own < self.least and not _number(word) and not self.printed(word):
-            found = self.trie.candidates(word, 1 if len(word) >= 7 else 0, 1)
+        if len(word) >= (5 if edits == 1 else 8) and own < self.least and not _number(word) and not self.printed(word):
+            found = self.trie.candidates(word, 1 if edits == 1 and len(word) >= 7 else 0, edits)
             far = {w: (e, c, n) for w, (e, c, n) in found.items() if e and n >= RATIO * max(self.least, own) and not (word.startswith(w) or word.endswith(w) or w.startswith(word) or w.endswith(word))}
             out = tuple(sorted(((w, math.log(n) - 4.0 * e - 2.5 * c) for w, (e, c, n) in far.items() if not self.printed(w)), key=lambda x: (-x[1], x[0])))
-        self.nearby[word] = out
+        self.nearby[word, edits] = out
         return out
 
 
@@ -252,13 +285,20 @@ def read_page(text: str) -> Page:
     headers = 0
     for at in _clusters([c for c in candidates if c[0]]):
         # Not as neighbours; a line of running text hardly comes twice as a whole.
-        if at[-1] - at[0] >= 2 and not all(_stop_end(lines[i]) for i in at):
+        if at[-1] - at[0] >= 2 and not all(_stop_end(lines[i]) for i in at) and 2 * sum(_goes_on(lines, furniture, i) for i in at) < len(at):
             headers += 1
             for i in at:
                 furniture[i] = True
     return Page(lines, furniture, numbers, headers, width, True)
 
 
+def _goes_on(lines: list[str], furniture: list[bool], i: int) -> bool:
+    """Whether the text must run from this line into the next: the one before has ended its sentence, and the next begins in the middle of one."""
+    before = next((lines[j] for j in range(i - 1, -1, -1) if lines[j] and not furniture[j]), "")
+    after = next((lines[j] for j in range(i + 1, len(lines)) if lines[j] and not furniture[j]), "")
+    return bool(_stop_end(before)) and after[:1].islower()
+
+
 def _alone(lines: list[str], i: int) -> bool:
     """A bare number is a page number unless its neighbours are as short: then it is a cell."""
     around = [lines[j] for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(lines) and lines[j]]
@@ -270,6 +310,9 @@ class Reader:
 
     def __init__(self, vocabulary: Vocabulary):
         self.speller = Speller(vocabulary)
+        self.pairs, self.cells = vocabulary.pairs, Pairs(len(vocabulary.pairs))
+        # What other pairs in the same cell may account for.
+        self.noise = 2.0 * float(self.pairs.mean())
         self.clean: set[str] = set()
         self.odd: set[str] = set()
         self.rare: set[str] = set()
@@ -277,33 +320,65 @@ class Reader:
     def misread_words(self, text: str) -> list[str]:
         """Occurrences of misread words, in lower case."""
         words = _token(text.lower())
-        choice = self.choices(words)
+        choice = self.choices(words, text)
         return [w for w in words if w in choice] if choice else []
 
-    def choices(self, words: list[str]) -> dict[str, str]:
+    def beside(self, a: str, b: str) -> float:
+        """How often a word stands before another in the corpus, beyond what shares its cell."""
+        return max(0.0, float(self.pairs[self.cells.cell(a, b)]) - self.noise) if a and b else 0.0
+
+    def context(self, word: str, sides: list[tuple[str, str]]) -> tuple[float, bool]:
+        """(log-frequency of a word beside the words around its places, whether both sides know it at one place)."""
+        total, both = 0.0, False
+        for a, b in sides:
+            left, right = self.beside(a, word), self.beside(word, b)
+            total = max(total, math.log1p(left) + math.log1p(right))
+            both = both or min(left, right) >= FEW
+        return total, both
+
+    def choices(self, words: list[str], text: str = "") -> dict[str, str]:
         """{misread word: the printed one} of a text's words in lower case.
 
         Candidates by confusions come first. Those by plain edits need a witness, as a rare word may be right: a digit or sign
-        inside the word, or the printed word elsewhere in a text that has other misread words.
+        inside the word, or, in a text that has other misread words, the printed word elsewhere, or words on both sides that the corpus has beside the
+        printed word and not beside the one read, which must stand in small letters. Two plain edits are tried with that last witness alone.
         """
         different = set(words)
         for w in different - self.clean - self.odd - self.rare:
-            (self.odd if self.speller.printed(w) else self.rare if self.speller.near(w) else self.clean).add(w)
-        if len(self.clean) > 400_000:
+            (self.odd if self.speller.printed(w) else self.rare if self.speller.words.get(w, 0) < self.speller.least and len(w) >= 5 else self.clean).add(w)
+        if len(self.clean) + len(self.rare) > 400_000:
             self.clean.clear()
+            self.rare.clear()
         odd, rare = different & self.odd, different & self.rare
         if not odd and not rare:
             return {}
         around = Counter(words)
-        # Context: a candidate that the text also has elsewhere wins over a more frequent one.
-        best = lambda found: max(found, key=lambda x: (x[1] + 3.0 * math.log1p(around[x[0]]), x[0]))[0]
-        out = {w: best(self.speller.printed(w)) for w in odd}
+        sides: dict[str, list[tuple[str, str]]] = {}
+        for i, w in enumerate(words):
+            if w in odd or w in rare:
+                sides.setdefault(w, []).append((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
+
+        def best(w: str, found: tuple) -> str:
+            if len(found) == 1:
+                return found[0][0]
+            return max(found, key=lambda x: (x[1] + 3.0 * math.log1p(around[x[0]]) + self.context(x[0], sides[w])[0], x[0]))[0]
+
+        out = {w: best(w, self.speller.printed(w)) for w in odd}
         for w in rare:
-            to = best(self.speller.near(w))
-            if odd and around[to] or not _plain_word(w.replace("'", "").replace("’", "")):
-                out[w] = to
+            near = self.speller.near(w)
+            if near:
+                to = best(w, near)
+                if not _plain_word(w.replace("'", "").replace("’", "")) or odd and (around[to] or self.witnessed(w, to, sides[w], text)):
+                    out[w] = to
+            elif odd and len(w) >= 8 and any(a and b for a, b in sides[w]) and (far := self.speller.near(w, 2)):
+                to = best(w, far)
+                if self.witnessed(w, to, sides[w], text):
+                    out[w] = to
         return out
 
+    def witnessed(self, word: str, printed: str, sides: list[tuple[str, str]], text: str) -> bool:
+        return word in text and self.context(printed, sides)[1] and not any(self.beside(a, word) >= FEW or self.beside(word, b) >= FEW for a, b in sides)
+
     def unhyphenate(self, page: Page) -> tuple[list[str], int]:
         """Lines of text with divided words put together, and how many there were."""
         lines: list[str] = []
@@ -401,7 +476,7 @@ class Reader:
         return self.respell(body)
 
     def respell(self, text: str) -> str:
-        choice = self.choices(_token(text.lower()))
+        choice = self.choices(_token(text.lower()), text)
         return _TOKEN.sub(lambda m: _like(choice[m[0].lower()], m[0]) if m[0].lower() in choice else m[0], text) if choice else text
 
 
@@ -417,37 +492,46 @@ def _fields(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
 def learn_vocabulary(
     df: DataFrame, key: str = "rec_no", fields: tuple[str, ...] = ("description", "ko_content_flat"), typed: str = "ko_content_flat", least: int = 3, share: float = 5e-5
 ) -> tuple[Vocabulary, TypeModel]:
-    """Vocabulary with document frequencies over all texts of the fields, and the label model of ``typed``, in one pass.
+    """Vocabulary with document frequencies and pairs over all texts of the fields, and the label model of ``typed``, in one pass.
 
     Only words of at least max(``least``, ``share`` x texts) texts are collected. A text has some hundred different words, so at
-    most (different words of an average text) / ``share`` words can be that frequent, whatever the size of the corpus.
+    most (different words of an average text) / ``share`` words can be that frequent, whatever the size of the corpus. Pairs of neighbouring words are
+    counted in ``CELLS`` cells, once a task, so each task adds at most that many small rows to the shuffle.
     """
+    schema = pa.schema([("w", pa.string()), ("n", pa.int64())])
 
-    def make():
-        def work(_, names, texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, counted = Pairs(), np.zeros(CELLS, np.int64)
+        for batch in batches:
             seen: Counter = Counter()
-            for f, t in zip(names, texts):
+            for f, t in zip(batch["f"].to_pylist(), batch["t"].to_pylist()):
                 if t.isspace():
                     continue
-                seen.update({w for w in _token(t.lower()) if len(w) < 40})
+                words = _token(t.lower())
+                seen.update(set(words))
                 seen["\0"] += 1
+                if len(words) > 1:
+                    np.add.at(counted, pairs.cells(words), 1)
                 if f == typed:
                     seen[f"\0{statistics(t).pattern}"] += 1
-            return [list(seen), list(seen.values())]
-
-        return work
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
+        used = np.flatnonzero(counted)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array([f"\1{i}" for i in used.tolist()], pa.string()), pa.array(counted[used])], schema=schema)
 
-    counts = map_columns(_fields(df, key, fields), make, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).persist()
+    counts = keep(_fields(df, key, fields).select("f", "t").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
     texts = counts.where(F.col("w") == "\0").collect()
     floor = max(least, int(share * (texts[0]["n"] if texts else 0)))
-    words, patterns = {}, {}
-    for w, n in counts.where((F.col("n") >= floor) | F.startswith("w", F.lit("\0"))).toLocalIterator():
-        if w[:1] != "\0":
+    words, patterns, pairs = {}, {}, np.zeros(CELLS, np.int64)
+    for w, n in counts.where((F.col("n") >= floor) | (F.substring("w", 1, 1) < " ")).toLocalIterator():
+        if w[:1] == "\1":
+            pairs[int(w[1:])] = n
+        elif w[:1] != "\0":
             words[w] = n
         elif len(w) > 1:
             patterns[int(w[1:])] = n
     counts.unpersist()
-    return Vocabulary(words, floor), learn(patterns)
+    return Vocabulary(words, floor, np.minimum(pairs, 2**31 - 1).astype(np.int32)), learn(patterns)
 
 
 def _map_texts(df: DataFrame, key: str, fields: tuple[str, ...], typed: str, vocabulary: Vocabulary, types: TypeModel, work_one, schema: str, left_out: tuple[str, ...]) -> DataFrame:

@@ -132,3 +132,26 @@ def test_plain_edits_explain_words_below_the_floor():
     assert "shepkerd" in reader.repair(once) and "shepkerd" in reader.repair(once.replace("grain", "gram"))
     assert "shepkerd" not in reader.repair((once + "\n" + text).replace("grain", "gram"))
     assert reader.find(text.replace("compost", "co6post").replace("yield", "y7eld").replace("slope", "s6ope")) == ["misread"]
+
+
+def test_neighbouring_words_decide():
+    """Two plain edits, or one without another witness, count where the corpus has the printed word between the same neighbours."""
+    import numpy as np
+
+    words = vocabulary().words
+    pairs, cells = np.zeros(1 << 16, np.int64), scans.Pairs(1 << 16)
+    np.add.at(pairs, cells.cells([w.strip(".,").lower() for line in LINES for w in line.split()] * 40), 1)
+    reader, blind = scans.Reader(scans.Vocabulary(words, 3, pairs)), scans.Reader(vocabulary())
+    text = "\n".join(LINES).replace("grain", "gram")
+    for read in ("cooqezative", "coope4atlve", "coopeqative"):
+        assert reader.repair(text.replace("cooperative", read)) == " ".join(LINES), read
+    assert "cooqezative" in blind.repair(text.replace("cooperative", "cooqezative"))
+    # A name in capitals, or other neighbours, stay.
+    assert "Cooqezative" in reader.repair(text.replace("cooperative", "Cooqezative"))
+    assert "cooqezative" in reader.repair(text + "\nzone cooqezative slope")
+    assert reader.beside("the", "compost") == 0 or reader.beside("the", "compost") > reader.beside("compost", "the")
+
+
+def test_a_repeated_start_of_a_sentence_is_no_heading():
+    lines = ["The phytosanitary monitoring", "improves the leaf colour of the mountain zone in dry years.", "The phytosanitary monitoring", "restores the grain quality along the slope of the region."]
+    assert scans.Reader(vocabulary()).find("\n".join(lines)) == []
