@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from granary.functions.arrow import map_columns
 from granary.llm.text_types import TYPES, TypeModel, decode, learn, statistics
 from granary.llm.words import FAMILIES, LABEL_CODES, join_letters
+from granary.session import keep
 
 _words = re.compile(r"[^\W\d_]+").findall
-_quoted = re.compile(r"\(?[«“„\"][^«»“”„\"\n]{1,90}[»”“\"]\)?").sub
-_bracketed = re.compile(r"\([^()]{1,60}\)").sub
-_stops = re.compile(r"[.!?…](?<=[^\W\d_][^\W\d_)\]»”\"'].)(?=[\s)»”\"]|\Z)|\n[ \t]*\n+").split
-_entry_edges = re.compile(r"[\n;|>•▪]+|, |  +").split
+_quoted = re.compile(r"\(?[«“„\"][^«»“”„\"\n]+[»”“\"]\)?").sub
+_bracketed = re.compile(r"\([^()\n]+\)").sub
+_word_spans = re.compile(r"[^\W\d_]+").finditer
+_stops = re.compile(r"[.!?…](?<=[^\W\d_][^\W\d_)\]»”\"'].)(?=[\s)»”\"]|\Z)|\n[ \t]*\n+")
+_entry_edges = re.compile(r"[\n;|>•▪]+|, |  +")
 _label_edges = re.compile(r"[,;/|+&]").split
 
 FAMILY_NAMES = tuple(sorted(set(FAMILIES.values())))
@@ -135,35 +137,52 @@ def log_odds(scores: np.ndarray) -> np.ndarray:
     return fam[:, _FAMILY_OF] + inner
 
 
+Unit = tuple[tuple[int, int], list[str]]  # where it stands, and its words in lower case
+
+#: Takes the place of what is left out, so that positions stay those of the text.
+_GAP = "\ue000"
+
+
+def _parts(edges: re.Pattern, text: str) -> list[tuple[int, int]]:
+    spans, start = [], 0
+    for m in edges.finditer(text):
+        spans.append((start, m.start()))
+        start = m.end()
+    return [*spans, (start, len(text))]
+
+
 class Units:
     """Cuts a text into the units that get a language: sentences, entries of a list, or runs of a dozen words where there are no stops."""
 
     RUN = 12
 
     @staticmethod
-    def of_text(text: str, listed: bool) -> list[tuple[str, list[str]]]:
+    def of_text(text: str, listed: bool) -> list[Unit]:
+        blank = lambda m: " " + _GAP * (len(m[0]) - 1)
         if any(c in text for c in "«“„\""):
-            text = _quoted(" ", text)
+            text = _quoted(blank, text)
         if "(" in text:
-            text = _bracketed(" ", text)
-        text = join_letters(text)
-        parts = _entry_edges(text) if listed else _stops(text)
-        units = []
-        for part in parts:
+            text = _bracketed(blank, text)
+        text = join_letters(text, _GAP)
+        units: list[Unit] = []
+        for start, end in _parts(_entry_edges if listed else _stops, text):
+            part = text[start:end]
             words = _words(part.lower())
             if not words:
                 continue
             if len(words) <= 40 or listed:
-                units.append((part, words))
+                units.append(((start, end), words))
                 continue
-            for i in range(0, len(words), Units.RUN):
-                run = words[i : i + Units.RUN]
-                units.append((" ".join(run), run))
+            spans = [m.span() for m in _word_spans(part)]
+            for i in range(0, len(spans), Units.RUN):
+                run = spans[i : i + Units.RUN]
+                units.append(((start + run[0][0], start + run[-1][1]), [part[x:y].lower() for x, y in run]))
         return units
 
     @staticmethod
-    def of_keywords(items: list[str]) -> list[tuple[str, list[str]]]:
-        return [(p, w) for item in items for p in _entry_edges((item or "").replace('"', " ").replace(" / ", "\n")) if (w := _words(p.lower()))]
+    def of_keywords(items: list[str]) -> list[Unit]:
+        """The place of an entry is that of its item, counted from 0."""
+        return [((i, i + 1), w) for i, item in enumerate(items) for p in _entry_edges.split((item or "").replace('"', " ").replace(" / ", "\n")) if (w := _words(p.lower()))]
 
 
 class Labeller:
@@ -215,79 +234,129 @@ def smooth(log_p: np.ndarray, words: list[int], switch: float) -> np.ndarray:
     return path
 
 
-def judge(units: list[tuple[str, list[str]]], scores: np.ndarray, form: str) -> list[tuple[str, float, int, int, list[int]]]:
-    """[(language, confidence, units, words, positions)] in order of words; the first is the document's.
+@dataclass(frozen=True)
+class Found:
+    """A language of a text: its confidence, how many units and words it has, and its passages as (start, end, words, confidence)."""
+
+    lang: str
+    confidence: float
+    n_units: int
+    n_words: int
+    passages: list[tuple[int, int, int, float]]
+
+
+PASSAGE = ("start_char", "end_char", "n_words", "confidence")
+
+#: Below this mean probability, no language of the machines is named.
+UNSURE = 0.4
 
-    ``form`` is ``prose``, ``list`` or ``keywords``. Another language counts with two whole
-    sentences, or with three entries that make a fifth of the list, and with a quarter of the main language's words; a title,
-    a quoted phrase or a name never does.
+
+def judge(units: list[Unit], scores: np.ndarray, form: str) -> list[Found]:
+    """Languages in the order of their words; the first is the document's.
+
+    ``form`` is ``prose``, ``list`` or ``keywords``. Another language counts with two whole sentences, however long the rest is, or with three entries that
+    make a fifth of the list and have a quarter of the main language's words; a title, a quoted phrase or a name never does. Units of a language that does not
+    count go with the passage around them. A text that no machine is sure of is ``und``.
     """
     log_p = log_odds(scores)
-    sizes = [len(w) for _, w in units]
+    sizes = np.array([len(w) for _, w in units], float)
     path = smooth(log_p, sizes, 4.0 if form == "prose" else 12.0)
+    chance = np.exp(log_p)
     found = []
     for lang in np.unique(path):
         at = np.flatnonzero(path == lang)
-        n_words = sum(sizes[i] for i in at)
-        whole = sum(1 for i in at if sizes[i] >= 4) if form == "prose" else len(at)
-        weight = np.array([sizes[i] for i in at], float)
-        sure = float((np.exp(log_p[at, lang]) * weight).sum() / weight.sum())
-        found.append((n_words, LANGUAGES[lang], sure, len(at), whole, at.tolist()))
-    found.sort(key=lambda r: (-r[0], r[1]))
+        whole = int((sizes[at] >= 4).sum()) if form == "prose" else len(at)
+        sure = float((chance[at, lang] * sizes[at]).sum() / sizes[at].sum())
+        found.append((int(sizes[at].sum()), int(lang), sure, whole))
+    found.sort(key=lambda r: (-r[0], LANGUAGES[r[1]]))
+    most = found[0][0]
+    if form == "prose":
+        named = [r for i, r in enumerate(found) if i == 0 or r[3] >= 2 and r[2] >= 0.6]
+    else:
+        named = [r for i, r in enumerate(found) if i == 0 or r[3] >= 3 and r[3] >= 0.2 * len(units) and r[2] >= 0.6 and r[0] >= 0.25 * most]
+    kept = {r[1] for r in named}
+    of = [int(x) for x in path]
+    for i, lang in enumerate(of):
+        if lang not in kept:
+            of[i] = of[i - 1] if i else next((x for x in of if x in kept), found[0][1])
+    passages: dict[int, list[tuple[int, int, int, float]]] = {lang: [] for lang in kept}
+    start = 0
+    for i in range(1, len(of) + 1):
+        if i == len(of) or of[i] != of[start]:
+            run = slice(start, i)
+            weight = sizes[run]
+            sure = float((chance[run, of[start]] * weight).sum() / weight.sum())
+            passages[of[start]].append((units[start][0][0], units[i - 1][0][1], int(weight.sum()), sure))
+            start = i
     out = []
-    for rank, (n_words, lang, sure, n_units, whole, at) in enumerate(found):
-        enough = whole >= 2 if form == "prose" else whole >= 3 and whole >= 0.2 * len(units)
-        if rank == 0 or enough and sure >= 0.6 and n_words >= 0.25 * found[0][0]:
-            out.append((lang, sure, n_units, n_words, at))
+    for n_words, lang, sure, _ in named:
+        name = LANGUAGES[lang] if sure >= UNSURE else "und"
+        out.append(Found(name, sure, int((path == lang).sum()), n_words, passages[lang]))
     return out
 
 
-def units_of_sample(rows: list[tuple[str, list[str], list[str]]], most_units: int) -> tuple[list, list, list, list]:
-    """Units with label, row number and style, of (text, keywords, labels) rows: a third of each language's share are keywords, the style of lists."""
+def sampled_units(text: str | None, keywords: list[str] | None, per_row: int) -> list[tuple[bool, list[str]]]:
+    """(prose?, words) of at most ``per_row`` sentences and as many keywords of a row, drawn by a hash over the whole text, none longer than 40 words."""
+    drawn = lambda units: sorted((u for u in units if len(u) <= 40), key=lambda u: (zlib.crc32(" ".join(u).encode()), u))[:per_row]
+    cut = [(True, u) for u in drawn([w for _, w in Units.of_text(text or "", False) if len(w) >= 4])]
+    return cut + [(False, u) for u in drawn([w for _, w in Units.of_keywords(keywords or [])])]
+
+
+def units_of_sample(rows: list[tuple[list[tuple[bool, list[str]]], list[str]]], most_units: int) -> tuple[list, list, list, list]:
+    """Units with label, row number and style, of (units, labels) rows: a third of each language's share are keywords, the style of lists."""
     units, langs, numbers, prose = [], [], [], []
     share = most_units // len(LANGUAGES)
-    room = {(lang, form): share * part // 3 for lang in LANGUAGES for form, part in (("prose", 2), ("keywords", 1))}
-    for number, (text, keywords, labels) in enumerate(rows):
+    room = {(lang, form): share * part // 3 for lang in LANGUAGES for form, part in ((True, 2), (False, 1))}
+    for number, (cut, labels) in enumerate(rows):
         codes = [c for c in label_codes(labels) if c in FAMILIES]
         if len(codes) != 1:
             continue
-        cut = [("prose", w) for _, w in Units.of_text(text or "", False)[:6] if len(w) >= 4]
-        cut += [("keywords", w) for _, w in Units.of_keywords(keywords or [])[:6]]
         for form, words in cut:
             if room[codes[0], form] > 0:
                 room[codes[0], form] -= 1
                 units.append(words)
                 langs.append(codes[0])
                 numbers.append(number)
-                prose.append(form == "prose")
+                prose.append(form)
     return units, langs, numbers, prose
 
 
 def learn_languages(
-    df: DataFrame, key: str = "rec_no", text: str = "ko_content_flat", keywords: str = "keywords", labels: str = "languages", most_rows: int = 3000, most_units: int = 3000
+    df: DataFrame, key: str = "rec_no", text: str = "ko_content_flat", keywords: str = "keywords", labels: str = "languages", most_rows: int = 3000, most_units: int = 3000, per_row: int = 6
 ) -> LanguageModel:
     """Fitted on at most ``most_rows`` labelled rows, taken in the order of a hash of the key, and ``most_units`` units, of which each language has an equal share at most.
 
-    Keys alone are sorted; ``most_rows`` of them, the bound of what is broadcast, then fetch their texts.
+    Keys alone are sorted; ``most_rows`` of them, the bound of what is broadcast, then draw ``per_row`` sentences and keywords each from their whole texts. Only
+    these units, of at most 40 words, reach the driver.
     """
     labelled = df.where(F.size(labels) == 1)
     chosen = labelled.select(F.col(key).alias("_k"), F.xxhash64(F.col(key)).alias("_h")).distinct().orderBy("_h", "_k").limit(most_rows)
     texts = labelled.select(F.col(key).alias("_k"), F.col(text).alias("t"), F.col(keywords).alias("w"), F.col(labels).alias("l"))
-    rows = sorted(texts.join(F.broadcast(chosen), "_k").collect(), key=lambda r: (r["_h"], r["t"] or ""))[:most_rows]
-    return train(*units_of_sample([(r["t"], r["w"], r["l"]) for r in rows], most_units))
+
+    def draw():
+        def work(hashes, contents, items, names):
+            cut = [sampled_units(t, w, per_row) for t, w in zip(contents, items)]
+            return [hashes, [[{"prose": p, "words": w} for p, w in c] for c in cut], names]
+
+        return work
+
+    drawn = map_columns(texts.join(F.broadcast(chosen), "_k").select("_h", "t", "w", "l"), draw, "h long, units array<struct<prose:boolean,words:array<string>>>, l array<string>")
+    # Rows of one key repeat; the limit counts rows, so that repeats do not break the bound.
+    rows = drawn.orderBy("h", F.xxhash64("units")).limit(most_rows).collect()
+    return train(*units_of_sample([([(u["prose"], u["words"]) for u in r["units"]], r["l"]) for r in rows], most_units))
 
 
 def identify(
     df: DataFrame, key: str = "rec_no", text: str = "ko_content_flat", keywords: str = "keywords", labels: str = "languages",
     model: LanguageModel | None = None, types: TypeModel | None = None,
 ) -> DataFrame:
-    """(key, content_class, labelled, lang, confidence, is_main, n_units, n_words, first_unit, agrees).
+    """(key, content_class, labelled, lang, confidence, is_main, n_units, n_words, passages, agrees).
 
     One row per language that a record is written in: its main one, and each other with whole
     passages. ``labelled`` holds the codes that the record's labels name, ``agrees`` whether these
-    are exactly the languages found, ``first_unit`` the position of the first passage. The text is
-    ``text``, or ``keywords`` where that is null or blank. A record with neither, or without letters, gives no row. Narrow
-    after two bounded fits: the sample of labelled rows, and the counts of vote patterns.
+    are exactly the languages found. ``passages`` are the stretches in the language as (start_char, end_char, n_words, confidence), of characters from 0, end
+    excluded, or of positions in the keywords. The text is ``text``, or ``keywords`` where that is null or blank. A record with neither, or without letters, gives no row.
+    ``und`` stands for a language that no machine is sure of. Narrow after two bounded fits: the sample of labelled rows, and the counts of vote patterns.
     """
     kind = df.schema[key].dataType.simpleString()
     model = model or learn_languages(df, key, text, keywords, labels)
@@ -314,15 +383,17 @@ def identify(
             for k, pattern, form, codes, units in cut:
                 found = judge(units, scores[at : at + len(units)], form)
                 at += len(units)
-                rows.append((k, pattern, form, codes, [{"lang": x[0], "confidence": x[1], "n_units": x[2], "n_words": x[3], "first_unit": x[4][0]} for x in found]))
+                rows.append((k, pattern, form, codes, [{"lang": x.lang, "confidence": x.confidence, "n_units": x.n_units, "n_words": x.n_words, "passages": [dict(zip(PASSAGE, p)) for p in x.passages]} for x in found]))
             return list(zip(*rows))
 
         return work
 
     columns = [F.col(c).alias(a) for c, a in ((key, "k"), (text, "t"), (keywords, "w"), (labels, "l"))]
-    found = "array<struct<lang:string,confidence:double,n_units:int,n_words:int,first_unit:int>>"
+    passages = "array<struct<start_char:int,end_char:int,n_words:int,confidence:double>>"
+    found = f"array<struct<lang:string,confidence:double,n_units:int,n_words:int,passages:{passages}>>"
     # Texts are read once: a text with votes for a list is cut both ways, and its type, known when all votes are counted, picks one.
-    read_once = map_columns(df.select(*columns), read, f"k {kind}, pattern long, form string, labelled array<string>, found {found}").persist()
+    read_once = map_columns(df.select(*columns), read, f"k {kind}, pattern long, form string, labelled array<string>, found {found}")
+    read_once = keep(read_once)
     if types is None:
         counts = read_once.where("form = 'prose'").groupBy("pattern").count().collect()  # one row per vote pattern, a few hundred
         types = learn({r["pattern"]: r["count"] for r in counts})
@@ -341,12 +412,12 @@ def identify(
                     if form != ("list" if kind_of == "list" and _LISTED & set(decode(p)) else "prose"):
                         continue
                 agrees = sorted(x["lang"] for x in langs) == named
-                rows += [(k, kind_of, named, x["lang"], x["confidence"], i == 0, x["n_units"], x["n_words"], x["first_unit"], agrees) for i, x in enumerate(langs)]
+                rows += [(k, kind_of, named, x["lang"], x["confidence"], i == 0, x["n_units"], x["n_words"], x["passages"], agrees) for i, x in enumerate(langs)]
             return list(zip(*rows)) or [[]] * 10
 
         return work
 
-    schema = f"k {kind}, content_class string, labelled array<string>, lang string, confidence double, is_main boolean, n_units int, n_words int, first_unit int, agrees boolean"
+    schema = f"k {kind}, content_class string, labelled array<string>, lang string, confidence double, is_main boolean, n_units int, n_words int, passages {passages}, agrees boolean"
     return map_columns(read_once, pick, schema).withColumnRenamed("k", key)
 
 
@@ -354,3 +425,8 @@ def mislabelled(df: DataFrame, key: str = "rec_no", **options) -> DataFrame:
     """(key, lang) of each record whose labels are not exactly its languages; tables and junk are left out."""
     rows = identify(df, key, **options)
     return rows.where("NOT agrees AND (content_class IS NULL OR content_class NOT IN ('table', 'junk'))").select(key, "lang")
+
+
+def passages(df: DataFrame, key: str = "rec_no", **options) -> DataFrame:
+    """(key, lang, confidence, start_char, end_char, n_words): one row per stretch of a record in one language. Repeated rows repeat."""
+    return identify(df, key, **options).select(key, "lang", F.inline("passages")).select(key, "lang", "confidence", "start_char", "end_char", "n_words")

@@ -79,6 +79,10 @@ def p4_languages(spark, sf_dir):
     return languages.identify(_ko(spark, sf_dir))
 
 
+def p4_passages(spark, sf_dir):
+    return languages.passages(_ko(spark, sf_dir))
+
+
 def p5_found(spark, sf_dir):
     return text_types.classify(_ko(spark, sf_dir)).where("content_class <> 'prose'").select("rec_no", "content_class")
 
@@ -164,7 +168,7 @@ shares AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CASE WHEN k IS N
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_repaired, p2_found, p2_clean, p3_found, p3_pieces, p3_rejoined, p4_found, p4_languages, p5_found, p5_statistics, p6_found, p6_levels,
+        p1_found, p1_repaired, p2_found, p2_clean, p3_found, p3_pieces, p3_rejoined, p4_found, p4_languages, p4_passages, p5_found, p5_statistics, p6_found, p6_levels,
         p8_ids, p8_ids_multi, p8_ids_word, p8_ids_piece, p9_containers, p9_valid, p10_found, p10_repetition, p10_shares,
     )
 }

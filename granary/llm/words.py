@@ -9,9 +9,14 @@ from granary.functions.languages import LABEL_CODES, LANGUAGE_NAMES
 _letter_spaced = re.compile(r"(?<!\w)[^\W_](?: {1,3}[^\W_](?!\w)){3,}").sub
 
 
-def join_letters(text: str) -> str:
-    """Words that were set with blanks between their letters, put together."""
-    return _letter_spaced(lambda m: m[0].replace(" ", ""), text)
+def join_letters(text: str, pad: str = "") -> str:
+    """Words that were set with blanks between their letters, put together; ``pad`` stands behind them for each blank left out."""
+
+    def joined(m: re.Match) -> str:
+        word = m[0].replace(" ", "")
+        return word + pad * (len(m[0]) - len(word))
+
+    return _letter_spaced(joined, text)
 
 
 # Frequent function words of the supported languages, public knowledge.

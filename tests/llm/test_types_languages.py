@@ -70,29 +70,45 @@ def test_labels_of_any_spelling():
 
 
 def test_families_then_pairs():
-    rows = [(t, k, l) for _, t, k, l in corpus()]
+    rows = [(languages.sampled_units(t, k, 6), l) for _, t, k, l in corpus()]
     model = languages.train(*languages.units_of_sample(rows, 700))
     lab = languages.Labeller(model)
     for lang, text in SAMPLES.items():
         units = languages.Units.of_text(text, False)
         found = languages.judge(units, lab.scores([w for _, w in units]), "prose")
-        assert found[0][0] == lang and found[0][1] > 0.5, lang
+        assert found[0].lang == lang and found[0].confidence > 0.5, lang
     mixed = SAMPLES["fr"] + " " + SAMPLES["pl"]
     units = languages.Units.of_text(mixed, False)
-    assert {f[0] for f in languages.judge(units, lab.scores([w for _, w in units]), "prose")} == {"fr", "pl"}
+    assert {f.lang for f in languages.judge(units, lab.scores([w for _, w in units]), "prose")} == {"fr", "pl"}
     quoted = SAMPLES["fr"] + " («nitrate leaching of the farm»)."
     units = languages.Units.of_text(quoted, False)
-    assert [f[0] for f in languages.judge(units, lab.scores([w for _, w in units]), "prose")] == ["fr"]
+    assert [f.lang for f in languages.judge(units, lab.scores([w for _, w in units]), "prose")] == ["fr"]
 
 
 def test_pair_machines_on_held_out_text():
-    rows = [(t, k, l) for _, t, k, l in corpus()]
+    rows = [(languages.sampled_units(t, k, 6), l) for _, t, k, l in corpus()]
     model = languages.train(*languages.units_of_sample(rows, 700))
     lab = languages.Labeller(model)
     new = {"de": "Der Schäfer verbessert das Wasser der Region", "nl": "De schaapherder verbetert het water van de streek", "es": "El pastor mejora el agua de la comarca", "it": "Il pastore migliora l'acqua della zona"}
     for lang, t in new.items():
         units = languages.Units.of_text(t, False)
-        assert languages.judge(units, lab.scores([w for _, w in units]), "prose")[0][0] == lang
+        assert languages.judge(units, lab.scores([w for _, w in units]), "prose")[0].lang == lang
+
+
+def test_passages_stand_where_they_are_in_the_text(spark):
+    text = SAMPLES["fr"] * 12 + " " + SAMPLES["pl"] + " " + SAMPLES["pl"] + " (" + "note " * 20 + ") H e l l o.\n"
+    df = spark.createDataFrame([*corpus(), (900, text, None, ["fr"])], "rec_no long, ko_content_flat string, keywords array<string>, languages array<string>")
+    got = sorted((r.start_char, r.end_char, r.lang) for r in languages.passages(df).collect() if r.rec_no == 900)
+    assert [x[2] for x in got][:2] == ["fr", "pl"] and got[0][0] == 0
+    assert SAMPLES["pl"].rstrip(".!? ") in text[got[1][0] : got[1][1]] and abs(got[1][0] - len(SAMPLES["fr"] * 12)) <= 2
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+
+
+def test_sample_is_drawn_from_the_whole_text():
+    text = " ".join(f"The farm number {chr(97 + i)} looks after its soil." for i in range(26)) + " " + "w " * 50
+    drawn = languages.sampled_units(text, None, 6)
+    first = [w for _, w in languages.Units.of_text(text, False)[:6]]
+    assert len(drawn) == 6 and [w for _, w in drawn] != first and all(p and len(w) <= 40 for p, w in drawn)
 
 
 def test_identify_edges(spark):
