@@ -8,9 +8,13 @@ calibrated on predictions for sources that the trees had not seen.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from granary.functions.arrow import map_columns
 from granary.llm.scans import read_page
 from granary.llm.text_types import TYPES, TypeModel, decode, learn, statistics
 from granary.llm.words import ALL_COMMON, join_letters
+from granary.session import keep
 
 _words = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?").findall
 _stop = re.compile(r"[.!?…](?<=[^\W_][^\W_)\]»”\"'%].)[)\]»”\"']*(?=\s|\Z)").split
@@ -29,7 +34,7 @@ _inline = re.compile(r"<[^<>]{0,200}>?|&#?\w{1,8};|\\(?:cite|ref|footnote|label)
 
 FEATURES = (
     "n_words_log", "sentence_mean", "sentence_p10", "sentence_median", "sentence_p90", "sentence_sd", "short_sentences", "long_sentences",
-    "word_mean", "word_p75", "word_p95", "long_words", "very_long_words", "distinct_share", "common_share", "commas", "clauses", "overlap",
+    "word_mean", "word_p75", "word_p95", "long_words", "very_long_words", "distinct_share", "common_share", "commas", "clauses", "overlap", "rarity_mean", "rarity_p90", "rare_share",
 )
 LEAST_WORDS = 60
 
@@ -49,7 +54,26 @@ def plain(text: str) -> str:
     return text
 
 
-def measure(text: str) -> list[float] | None:
+class Rarity:
+    """How rare words are in the corpus: -log of the share of texts that have them, by cells of a hash; 0 for all without a corpus."""
+
+    CELLS = 1 << 18
+    MOST_WORDS = 500_000
+
+    def __init__(self, texts_with: np.ndarray | None = None, texts: int = 0):
+        # Words that share a cell with others count as more frequent by these others' mean.
+        self.of_cell = None if texts_with is None or not texts else -np.log(np.maximum(texts_with - texts_with.mean(), 1.0) / texts)
+        self.known: dict[str, float] = {}
+
+    def __call__(self, word: str) -> float:
+        if word not in self.known:
+            if len(self.known) > self.MOST_WORDS:  # only memory depends on it
+                self.known.clear()
+            self.known[word] = 0.0 if self.of_cell is None else float(self.of_cell[zlib.crc32(word.encode()) % self.CELLS])
+        return self.known[word]
+
+
+def measure(text: str, rarity: Rarity | None = None) -> list[float] | None:
     """Features of a text; None where it is out of scope: under 60 words, or no sentences with a stop."""
     lengths: list[int] = []
     words: list[str] = []
@@ -81,11 +105,13 @@ def measure(text: str) -> list[float] | None:
     k = len(s)
     w = sorted(map(len, words))
     mean = n / k
+    different = set(words)
+    rare = sorted(map(rarity, different)) if rarity else [0.0]
     return [
         np.log(n), mean, s[k // 10], s[k // 2], s[min(k - 1, 9 * k // 10)], (sum(x * x for x in s) / k - mean * mean) ** 0.5 if k > 1 else 0.0,
         sum(1 for x in s if x <= 8) / k, sum(1 for x in s if x > 24) / k, sum(w) / n, w[3 * n // 4], w[min(n - 1, 95 * n // 100)],
-        sum(1 for x in w if x > 7) / n, sum(1 for x in w if x > 11) / n, len(set(words)) / n, sum(1 for x in words if x in ALL_COMMON) / n,
-        commas / k, clauses / k, overlap / max(pairs, 1),
+        sum(1 for x in w if x > 7) / n, sum(1 for x in w if x > 11) / n, len(different) / n, sum(1 for x in words if x in ALL_COMMON) / n,
+        commas / k, clauses / k, overlap / max(pairs, 1), sum(rare) / len(rare), rare[9 * (len(rare) - 1) // 10], sum(1 for x in rare if x > 4.6) / len(rare),
     ]
 
 
@@ -167,10 +193,10 @@ class ReadingModel:
         return grade, 1 + (raw > low) + (raw > high)
 
 
-def fit(x: np.ndarray, y: np.ndarray, sources: list[str]) -> ReadingModel:
-    """Cross-validated by source; with one source, or very few texts, by position."""
-    names = sorted(set(sources))
-    folds = np.array([names.index(s) for s in sources], int) if len(names) > 1 else np.arange(len(y)) % 4
+def fit(x: np.ndarray, y: np.ndarray, sources: list[str], most_folds: int = 10) -> ReadingModel:
+    """Cross-validated by source, several sources in one fold where there are more than ``most_folds``; with one source by position."""
+    names = sorted(set(sources), key=lambda s: (zlib.crc32(s.encode()), s))
+    folds = np.array([names.index(s) % most_folds for s in sources], int) if len(names) > 1 else np.arange(len(y)) % 4
     raw = np.zeros(len(y))
     for f in np.unique(folds):
         out = folds == f
@@ -190,18 +216,53 @@ def _fields(df: DataFrame, key: str, fields: tuple[str, ...], *more) -> DataFram
     return df.select(F.col(key).alias("k"), *more, F.inline(each)).where(F.length("t") > 0)
 
 
-def learn_reading(df: DataFrame, panel: DataFrame, key: str = "rec_no", fields: tuple[str, ...] = ("description", "ko_content_flat"), source: str = "ko_upload_source", most_texts: int = 1500) -> ReadingModel:
+def learn_rarity(df: DataFrame, key: str = "rec_no", fields: tuple[str, ...] = ("description", "ko_content_flat")) -> tuple[np.ndarray, int]:
+    """(texts that have a word of each cell, texts) over all texts of the fields. Counted once a task, so each task shuffles at most a small row per cell, and as many reach the driver."""
+    schema = pa.schema([("c", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, texts = np.zeros(Rarity.CELLS, np.int64), 0
+        for batch in batches:
+            seen: Counter = Counter()
+            for t in batch["t"].to_pylist():
+                seen.update(set(_words(t.lower())))
+                texts += 1
+            cells = np.fromiter((zlib.crc32(w.encode()) % Rarity.CELLS for w in seen), np.int64, len(seen))
+            np.add.at(counts, cells, np.fromiter(seen.values(), np.int64, len(seen)))
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([texts, *counts[used].tolist()], pa.int64())], schema=schema)
+
+    counted = _fields(df, key, fields).select("t").mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    c, n = counted["c"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
+    cells = np.zeros(Rarity.CELLS, np.int64)
+    cells[c[c >= 0]] = n[c >= 0]
+    return cells, int(n[c < 0].sum())
+
+
+def learn_reading(
+    df: DataFrame, panel: DataFrame, key: str = "rec_no", fields: tuple[str, ...] = ("description", "ko_content_flat"), source: str = "ko_upload_source", most_texts: int = 1500,
+    frequencies: tuple[np.ndarray, int] | None = None,
+) -> ReadingModel:
     """Fitted on at most ``most_texts`` texts of the panel, taken in the order of a hash; repeated ratings count once each, a grade is the
-    median of its raters. That bound is also what makes the broadcast of the sampled keys safe."""
+    median of its raters. That bound is also what makes the broadcast of the sampled keys safe. Texts are measured where they are; only features reach the driver."""
     graded = panel.where("band BETWEEN 1 AND 3").groupBy(F.col("rec_no").alias("k"), F.col("field_name").alias("f")).agg(F.percentile("band", F.lit(0.5)).alias("band"))
     sample = graded.orderBy(F.xxhash64("k", "f"), "k", "f").limit(most_texts)
     texts = _fields(df, key, fields, F.coalesce(F.col(source), F.lit("")).alias("s")).join(F.broadcast(sample), ["k", "f"])
-    x, y, s = [], [], []
-    for r in sorted(texts.collect(), key=lambda r: (r["k"], r["f"], r["t"])):
-        m = measure(r["t"])
-        if m is not None:
-            x.append(m), y.append(round(r["band"])), s.append(r["s"])
-    return fit(np.array(x).reshape(-1, len(FEATURES)), np.array(y, float), s)
+    shared = df.sparkSession.sparkContext.broadcast(frequencies or (None, 0))
+
+    def work_on():
+        rarity = Rarity(*shared.value)
+
+        def work(keys, sources, bands, texts):
+            return [keys, sources, bands, [measure(t, rarity) for t in texts]]
+
+        return work
+
+    hashed = texts.select(F.xxhash64("k", "f").alias("h"), "s", "band", "t")
+    measured = map_columns(hashed, work_on, "h long, s string, band double, x array<double>").where("x IS NOT NULL")
+    # Rows of one key repeat; the limit counts rows, so that repeats do not break the bound.
+    rows = measured.orderBy("h", "x").limit(most_texts).collect()
+    return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([round(r["band"]) for r in rows], float), [r["s"] for r in rows])
 
 
 def reading_levels(
@@ -214,16 +275,20 @@ def reading_levels(
     are no prose. Repeated rows repeat. Texts are read once and whole; what is kept of each is its features. An empty panel gives band 2 to all.
     """
     kind = df.schema[key].dataType.simpleString()
-    model = model or learn_reading(df, panel, key, fields, **options)
+    frequencies = learn_rarity(df, key, fields)
+    model = model or learn_reading(df, panel, key, fields, frequencies=frequencies, **options)
+    shared = df.sparkSession.sparkContext.broadcast(frequencies)
 
     def read():
+        rarity = Rarity(*shared.value)
+
         def work(keys, names, texts):
             rows = []
             for k, f, t in zip(keys, names, texts):
                 if t.isspace():
                     continue
                 pattern = statistics(t).pattern if f == typed else None
-                m = measure(t)
+                m = measure(t, rarity)
                 if m is None and pattern is None:
                     continue
                 rows.append((k, f, pattern, m))
@@ -231,7 +296,7 @@ def reading_levels(
 
         return work
 
-    read_once = map_columns(_fields(df, key, fields), read, f"k {kind}, f string, pattern long, x array<double>").persist()
+    read_once = keep(map_columns(_fields(df, key, fields), read, f"k {kind}, f string, pattern long, x array<double>"))
     if types is None:
         counts = read_once.where("pattern IS NOT NULL").groupBy("pattern").count().collect()  # one row per vote pattern, a few hundred
         types = learn({r["pattern"]: r["count"] for r in counts})
@@ -240,16 +305,16 @@ def reading_levels(
         known: dict[int, bool] = {}
 
         def work(keys, names, patterns, xs):
-            keep = []
+            kept = []
             for i, p in enumerate(patterns):
                 if p is not None and p not in known:
                     known[p] = TYPES[int(types.posterior(decode(p)).argmax())] == "prose"
                 if p is None or known[p]:
-                    keep.append(i)
-            if not keep:
+                    kept.append(i)
+            if not kept:
                 return [[]] * 4
-            grades, bands = model.grade(np.array([xs[i] for i in keep]))
-            return [[keys[i] for i in keep], [names[i] for i in keep], grades.tolist(), bands.tolist()]
+            grades, bands = model.grade(np.array([xs[i] for i in kept]))
+            return [[keys[i] for i in kept], [names[i] for i in kept], grades.tolist(), bands.tolist()]
 
         return work
 
