@@ -189,6 +189,17 @@ def encoder(tokenizer: str, folder: str):
     return lambda texts: [bpe.encode(t) if t else [] for t in texts]
 
 
+def decode_documents(df: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = DEFAULT_TOKENIZERS) -> DataFrame:
+    """(key, text): the text of every list of ids of a rank file; '' for an empty or null list. Bytes that are no UTF-8 become the replacement sign, ids that the file lacks nothing."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def make():
+        tokens = {rank: raw for raw, rank in ByteBpe.load(rank_file(tokenizer, folder)).ranks.items()}
+        return lambda keys, rows: [keys, [b"".join(tokens.get(i, b"") for i in row or ()).decode("utf-8", "replace") for row in rows]]
+
+    return map_columns(df.select(F.col(key).alias("k"), F.col(ids).alias("t")), make, f"k {kind}, text string").withColumnRenamed("k", key)
+
+
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = DEFAULT_TOKENIZERS) -> DataFrame:
     """(key, tokens): the number of ids of every text, 0 for null and empty ones."""
     kind = df.schema[key].dataType.simpleString()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import bpe, chunks, languages, markup, packing, reading, repetition, scans, text_types
+from granary.session import keep
 from granary.sources.tables import table
 
 
@@ -108,17 +109,22 @@ def p8_ids_multi(spark, sf_dir):
     return bpe.encode_documents(_docs(spark, sf_dir), tokenizer="byte_bpe_multi_50k")
 
 
-def p8_ids_word(spark, sf_dir):
+def p8_library_ids_word(spark, sf_dir):
     return bpe.encode_documents(_docs(spark, sf_dir), tokenizer="word_bpe_49k")
 
 
-def p8_ids_piece(spark, sf_dir):
+def p8_library_ids_piece(spark, sf_dir):
     return bpe.encode_documents(_docs(spark, sf_dir), tokenizer="piece_bpe_32k")
 
 
+def p8_decoded(spark, sf_dir):
+    """Every text again from its ids."""
+    return bpe.decode_documents(bpe.encode_documents(_docs(spark, sf_dir)))
+
+
 def p9_containers(spark, sf_dir):
     """(limit_name, doc_id, piece_no, piece_tokens, container_no) for every capacity; the tokens are counted once."""
-    sized = bpe.count_tokens(_docs(spark, sf_dir)).persist()
+    sized = keep(bpe.count_tokens(_docs(spark, sf_dir)))
     parts = [packing.fill_containers(sized, size).withColumn("limit_name", F.lit(name)) for name, size in _capacities(spark, sf_dir).items()]
     out = parts[0]
     for p in parts[1:]:
@@ -169,7 +175,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_repaired, p2_found, p2_clean, p3_found, p3_pieces, p3_rejoined, p4_found, p4_languages, p4_passages, p5_found, p5_statistics, p6_found, p6_levels,
-        p8_ids, p8_ids_multi, p8_ids_word, p8_ids_piece, p9_containers, p9_valid, p10_found, p10_repetition, p10_shares,
+        p8_ids, p8_ids_multi, p8_decoded, p8_library_ids_word, p8_library_ids_piece, p9_containers, p9_valid, p10_found, p10_repetition, p10_shares,
     )
 }
 
@@ -181,6 +187,7 @@ JOIN (SELECT applies_to, max_size FROM size_limits WHERE unit = 'characters') l
     "p3_rejoined": """
 SELECT rec_no, 'ko_content_flat' AS field_name, ko_content_flat AS text, true AS within, true AS lapped FROM knowledge_objects WHERE ko_content_flat IS NOT NULL
 UNION ALL SELECT rec_no, 'ko_content_flat_summarised', ko_content_flat_summarised, true, true FROM knowledge_objects WHERE ko_content_flat_summarised IS NOT NULL""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_valid": """
 SELECT limit_name, (SELECT count(*) FROM documents) AS n_documents, CAST(0 AS BIGINT) AS n_needless_splits, CAST(0 AS BIGINT) AS n_repeated,
   CAST(0 AS BIGINT) AS n_over_full, true AS tight
