@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.functions.arrow import map_columns
 from granary.operators import retrieval as R
+from granary.session import keep
 
 _words = re.compile(r"\w\w+").findall
 
@@ -22,16 +23,10 @@ def bundle_mrr(df: DataFrame, key: str, bundles: dict[str, list[str]], queries:
     """
     each = F.array(*[F.struct(F.lit(b).alias("bundle"), F.concat_ws(" ", *fields).alias("text")) for b, fields in bundles.items()])
     texts = df.select(F.col(key).alias("k"), F.inline(each))
-    posted = R.postings(texts, "k", F.col("text"), "bundle").persist()
-    sizes = texts.groupBy("bundle").agg(F.count("*").alias("n_docs")).join(posted.groupBy("bundle").agg(F.sum("tf").alias("words")), "bundle").select("bundle", "n_docs", (F.col("words") / F.col("n_docs")).alias("avg_dl"))
-    asked = queries.select("query", "term").distinct()
-    hit = posted.join(asked.select("term").distinct(), "term", "left_semi")
-    freq = hit.groupBy("bundle", "term").agg(F.count("*").alias("df"))
-    weighted = hit.join(freq, ["bundle", "term"]).join(F.broadcast(sizes), "bundle")  # one row per bundle
-    norm = F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("dl") / F.col("avg_dl"))
-    scores = asked.join(weighted.select("bundle", "doc", "term", (R.idf(F.col("df"), F.col("n_docs")) * F.col("tf") * (R.K1 + 1) / norm).alias("w")), "term").groupBy("bundle", "query", "doc").agg(F.sum("w").alias("score"))
-    ranked = R.top_k(scores.withColumn("query", F.struct("bundle", "query")), k)
-    best = ranked.where(F.col("doc") == F.col("query.query")).select(F.col("query.bundle").alias("bundle"), F.col("query.query").alias("query"), (1.0 / F.col("rank")).alias("rr"))
+    posted = keep(R.postings(texts, "k", F.col("text"), "bundle"))
+    asked = keep(queries.select("query", "term").distinct())
+    ranked = R.search(texts, "k", F.col("text"), posted, asked, k, part="bundle")
+    best = ranked.where(F.col("doc") == F.col("query")).select(F.col("part").alias("bundle"), "query", (1.0 / F.col("rank")).alias("rr"))
     every = asked.select("query").distinct().crossJoin(F.broadcast(df.sparkSession.createDataFrame([(b,) for b in bundles], "bundle string")))
     return every.join(best, ["bundle", "query"], "left").groupBy("bundle").agg(F.count("*").alias("n_queries"), F.avg(F.coalesce("rr", F.lit(0.0))).alias("mrr"))
 
@@ -45,7 +40,7 @@ def tfidf_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, cosine) of two texts of a row by tf-idf over both columns, smoothed as ln((1+n)/(1+df)) + 1; null where a side has no words."""
     each = F.array(F.struct(F.lit("a").alias("side"), F.col(a).alias("text")), F.struct(F.lit("b").alias("side"), F.col(b).alias("text")))
     texts = df.select(F.col(key).alias("k"), F.inline(each))
-    posted = R.postings(texts, "k", F.col("text"), "side").persist()
+    posted = keep(R.postings(texts, "k", F.col("text"), "side"))
     n = texts.agg(F.count("*").alias("n"))
     freq = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     wide = posted.join(freq, "term").groupBy("doc", "term", "idf").agg(F.sum(F.when(F.col("side") == "a", F.col("tf")).otherwise(0)).alias("x"), F.sum(F.when(F.col("side") == "b", F.col("tf")).otherwise(0)).alias("y"))
@@ -81,7 +76,7 @@ def tfidf_phrase_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
         return work
 
     lower = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    counted = map_columns(df.select(F.col(key).alias("k"), lower(a).alias("a"), lower(b).alias("b")), make, f"term string, doc array<{kind}>, x array<int>, y array<int>").persist()
+    counted = keep(map_columns(df.select(F.col(key).alias("k"), lower(a).alias("a"), lower(b).alias("b")), make, f"term string, doc array<{kind}>, x array<int>, y array<int>"))
     n = df.agg((2 * F.count("*")).alias("n"))
     sides = lambda c: F.size(F.filter(c, lambda v: v > 0))
     freq = counted.groupBy("term").agg(F.sum(sides("x") + sides("y")).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -11,10 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.functions.arrow import map_columns
 from granary.functions.numeric import wilson
-
-#: Signs of robots in an agent's name, and outcomes that count as failures.
-ROBOTS = r"(?i)bot|crawl|spider|curl|wget|python|scrapy|monitor"
+from granary.operators.inference import poisson_weights
+from granary.operators.ranks import quantiles
+from granary.session import keep
+
+# Signs of robots in an agent's name, question words, the look of a name, and outcomes that count as failures.
+ROBOT_SIGNS = ("bot", "crawl", "spider", "scrap", "curl", "wget", "python-requests", "postman", "monitor", "uptime", "headless")
+QUESTION = r"(?i)\?$|^(?:how|what|why|when|where|which|can|is|are|does|do|comment|wie|c[oó]mo|hoe|wat)(?:[^\p{L}\p{N}_]|$)"
+NAME = r"(?:^|\s)[A-ZÀ-Þ0-9][A-ZÀ-Þ0-9_\-.]{2,}(?:\s|$)"
 FAILURES = ("zero", "reformulated", "repeat", "page_2")
 GAP, FOLLOW, OVERLAP = 1800, 120, 0.2
 
@@ -42,10 +48,25 @@ def clean_events(events: DataFrame) -> DataFrame:
     return last.select("event_no", *[F.col(f"e.{f}").alias(f) for f in fields]).where("t IS NOT NULL")
 
 
+ROBOTS = f"(?i){'|'.join(ROBOT_SIGNS)}"
+
+
 def by_people(events: DataFrame) -> DataFrame:
+    """Events of known actors whose agent is no robot."""
     return events.where(~F.regexp_like("agent", F.lit(ROBOTS)) & (F.col("actor") != ""))
 
 
+def typed_by_people(events: DataFrame, least_chars: int = 3, most_chars: int = 120) -> DataFrame:
+    """Searches whose text a person may have typed: of a usual length, with a letter, by an agent that is no robot."""
+    asked = F.trim("raw")
+    return events.where(F.length(asked).between(least_chars, most_chars) & F.regexp_like(asked, F.lit(r"\p{L}")) & ~F.regexp_like("agent", F.lit(ROBOTS)))
+
+
+def span_days(events: DataFrame) -> DataFrame:
+    """One row: days between the first and the last event."""
+    return events.agg(((F.max("t") - F.min("t")) / 86_400_000_000).alias("days"))
+
+
 def with_neighbours(events: DataFrame, payload: str = "query", bucket_seconds: int = 21_600) -> DataFrame:
     """Adds prev_t, next_t and next_payload of the same actor, in the order of (t, event_no)."""
     rows = events.withColumn("b", F.floor(F.col("t") / (bucket_seconds * 1_000_000)))
@@ -99,10 +120,7 @@ def outcomes(events: DataFrame, gap_seconds: int = GAP, follow_seconds: int = FO
 
 def shape(query: Column) -> Column:
     """question, entity/name or topical phrase, by the words as typed."""
-    # Question words, and the look of a name.
-    ask = r"(?i)\?$|^(?:how|what|why|when|where|which|can|is|are|does|do|comment|wie|c[oó]mo|hoe|wat)(?:[^\p{L}\p{N}_]|$)"
-    name = r"(?:^|\s)[A-ZÀ-Þ0-9][A-ZÀ-Þ0-9_\-.]{2,}(?:\s|$)"
-    return F.when(F.regexp_like(query, F.lit(ask)), "question").when(F.regexp_like(query, F.lit(name)), "entity/name").otherwise("topical phrase")
+    return F.when(F.regexp_like(query, F.lit(QUESTION)), "question").when(F.regexp_like(query, F.lit(NAME)), "entity/name").otherwise("topical phrase")
 
 
 def failure_rates(labelled: DataFrame, key: Column, least: int = 1) -> DataFrame:
@@ -136,24 +154,22 @@ def cluster_bootstrap(labelled: DataFrame, rounds: int = 1000, seed: int = 42) -
     Every actor draws a Poisson(1) weight per round from a hash of its key, so that no actor list is gathered: each batch adds up
     ``rounds`` weighted sums per arm, and only these vectors are shuffled.
     """
-    from granary.functions.arrow import map_columns
-
-    per_actor = in_one_arm(labelled).groupBy("arm", "actor").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("outcome").isin(*FAILURES).cast("double")).alias("f"))
+    per_actor = keep(in_one_arm(labelled).groupBy("arm", "actor").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("outcome").isin(*FAILURES).cast("double")).alias("f")))
     keyed = per_actor.select("arm", F.xxhash64("actor", F.lit(seed)).alias("h"), "n", "f")
 
     def make():
         def work(arms, hashes, n, f):
             sums: dict[str, np.ndarray] = {}
-            for a, h, x, y in zip(arms, hashes, n, f):
-                w = np.random.Generator(np.random.PCG64(h & (2**63 - 1))).poisson(1.0, rounds)
-                s = sums.setdefault(a, np.zeros((2, rounds)))
-                s[0] += w * x
-                s[1] += w * y
+            values, names = np.array([n, f]), np.array(arms, object)
+            for at, weights in poisson_weights(hashes, rounds):
+                for a in sorted(set(arms[at])):
+                    mine = names[at] == a
+                    sums[a] = sums.get(a, 0.0) + values[:, at][:, mine] @ weights[mine]
             return [*zip(*[(a, r, s[0, r], s[1, r]) for a, s in sums.items() for r in range(rounds)])] or [[]] * 4
 
         return work
 
     sums = map_columns(keyed, make, "arm string, r int, n double, f double").groupBy("arm", "r").agg((F.sum("f") / F.nullif(F.sum("n"), F.lit(0.0))).alias("rate"))
     seen = per_actor.groupBy("arm").agg((F.sum("f") / F.sum("n")).alias("rate"))
-    spread = sums.groupBy("arm").agg(F.percentile("rate", F.lit(0.025)).alias("low"), F.percentile("rate", F.lit(0.975)).alias("high"), F.count("*").alias("rounds"))
+    spread = quantiles(sums, "rate", ["arm"], {"low": 0.025, "high": 0.975}).withColumnRenamed("n", "rounds")
     return seen.join(spread, "arm")

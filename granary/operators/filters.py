@@ -29,11 +29,14 @@ def has_any(values: Column, wanted: list[str]) -> Column:
     return F.coalesce(F.arrays_overlap(F.transform(values, lambda x: F.lower(F.trim(x))), F.array(*[F.lit(w.lower()) for w in wanted])), F.lit(False))
 
 
-def extraction_failed(text: Column, least_chars: int = 200) -> Column:
-    """Short, with several marks of page controls, or made of short lines."""
-    # Words that page controls leave behind.
-    controls = r"(?i)\b(?:cookies?|login|log in|sign in|menu|share|home|search|subscribe|javascript)\b"
+# What page controls and legal footers leave behind.
+PAGE_MARKERS = ("impressum", "datenschutz", "cookies", "terms", "richtlinien", "youtube", "google llc", "sign in")
+
+
+def extraction_failed(text: Column, least_chars: int = 80, least_lines: int = 20, short_line: int = 18, most_short: float = 0.6) -> Column:
+    """Short or null, with two or more different page markers, or of many lines that are mostly short."""
     t = F.coalesce(text, F.lit(""))
-    lines = T.lines(t)
-    short = F.size(F.filter(lines, lambda x: F.length(x) < 25))
-    return (F.length(F.trim(t)) < least_chars) | (F.regexp_count(t, F.lit(controls)) >= 5) | ((F.size(lines) >= 8) & (short >= 0.7 * F.size(lines)))
+    hits = sum((F.contains(F.lower(t), F.lit(m)).cast("int") for m in PAGE_MARKERS), F.lit(0))
+    lines = F.transform(T.lines(t), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    short = F.size(F.filter(lines, lambda x: F.length(x) <= short_line))
+    return (F.length(t) < least_chars) | (hits >= 2) | ((F.size(lines) >= least_lines) & (short > most_short * F.size(lines)))

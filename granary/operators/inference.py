@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.arrow import map_columns
-from granary.operators.ranks import average_rank, cumulative
+from granary.operators.ranks import average_rank, cumulative, quantiles
+from granary.session import keep
+
+
+def _poisson_table(bits: int = 16) -> np.ndarray:
+    """Poisson(1) draws for all values of so many random bits."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(steps, (np.arange(1 << bits) + 0.5) / (1 << bits)).astype(np.float32)
+
+
+def poisson_weights(hashes: list[int], rounds: int, block: int = 256) -> Iterator[tuple[slice, np.ndarray]]:
+    """(rows, rows x rounds of Poisson(1) weights) for blocks of hashed rows: each weight is a mixture of the row's hash and the round's number, so it does not
+    depend on partitions."""
+    table = _poisson_table()
+    seeds = np.array(hashes, np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        turns = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for start in range(0, len(seeds), block):
+            x = seeds[start : start + block, None] + turns
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            yield slice(start, start + block), table[(x ^ (x >> np.uint64(31))) >> np.uint64(48)]
 
 
 def _weighted_sums(df: DataFrame, key: str, values: list[str], rounds: int, seed: int) -> DataFrame:
@@ -17,12 +39,10 @@ def _weighted_sums(df: DataFrame, key: str, values: list[str], rounds: int, seed
 
     def make():
         def work(hashes, *columns):
-            sums = np.zeros((1 + len(columns), rounds))
-            for i, h in enumerate(hashes):
-                w = np.random.Generator(np.random.PCG64(h & (2**63 - 1))).poisson(1.0, rounds)
-                sums[0] += w
-                for j, c in enumerate(columns, 1):
-                    sums[j] += w * c[i]
+            matrix = np.array([[1.0] * len(hashes), *columns])
+            sums = np.zeros((len(matrix), rounds))
+            for at, weights in poisson_weights(hashes, rounds):
+                sums += matrix[:, at] @ weights
             return [list(range(rounds)), *sums.tolist()]
 
         return work
@@ -38,7 +58,7 @@ def mean_interval(df: DataFrame, key: str, value: str, rounds: int = 1000, alpha
     """One row: n, mean, low, high; under five values low and high are the mean."""
     point = df.where(F.col(value).isNotNull()).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
     means = _weighted_sums(df, key, [value], rounds, seed).select((F.col("s0") / F.col("n")).alias("m"))
-    spread = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+    spread = quantiles(means, "m", [], {"lo": alpha / 2, "hi": 1 - alpha / 2}).drop("n")
     few = F.col("n") < 5
     return point.crossJoin(spread).select("n", "mean", F.when(few, F.col("mean")).otherwise(F.col("lo")).alias("low"), F.when(few, F.col("mean")).otherwise(F.col("hi")).alias("high"))
 
@@ -58,7 +78,8 @@ def significance(p: Column) -> Column:
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """One row: n, rho, rho with the ranks of z held fixed; null where it is not defined."""
-    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (x, y, z))).select(x, y, z).persist()
+    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (x, y, z))).select(x, y, z)
+    rows = keep(rows)
     for c in (x, y, z):
         rows = rows.join(cumulative(rows.select(c), c).select(c, average_rank(F.col("below"), F.col("n")).alias(f"_r{c}")), c)
     r = rows.agg(F.count("*").alias("n"), F.corr(f"_r{x}", f"_r{y}").alias("xy"), F.corr(f"_r{x}", f"_r{z}").alias("xz"), F.corr(f"_r{y}", f"_r{z}").alias("yz"))
@@ -96,7 +117,8 @@ def lowest_lasting(bins: DataFrame, order: str, low: str, rate: str, target: flo
 def rank_stability(df: DataFrame, key: str, indicators: list[str], weightings: dict[str, dict[str, float]], nominal: dict[str, float]) -> DataFrame:
     """(weighting, n, rho, mean_shift, max_shift, over_tenth): how the ranking of rows moves when the indicators are weighed differently."""
     mean = lambda w: sum((F.col(c) * w.get(c, 0.0) for c in indicators), F.lit(0.0)) / sum(w.get(c, 0.0) for c in indicators)
-    base = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in indicators)).select(key, F.round(mean(nominal), 9).alias("_base"), *[F.round(mean(w), 9).alias(f"_w_{n}") for n, w in weightings.items()]).persist()
+    base = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in indicators)).select(key, F.round(mean(nominal), 9).alias("_base"), *[F.round(mean(w), 9).alias(f"_w_{n}") for n, w in weightings.items()])
+    base = keep(base)
     rank = lambda c: cumulative(base.select(c), c).select(c, average_rank(F.col("below"), F.col("n")).alias(f"_r{c}"))
     rows = base.join(rank("_base"), "_base")
     out = None

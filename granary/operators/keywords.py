@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.arrow import map_columns
+from granary.session import keep
 
 #: Candidate separators as patterns, and whether one is commonly a separator.
 CANDIDATES = {
@@ -158,7 +159,7 @@ def infer_separators(df: DataFrame, key: str, fields: tuple[str, ...], source: s
         return work
 
     counts = map_columns(_fields(df, key, fields, source), make, "s string, f string, c string, piece string, n long")
-    counts = counts.groupBy("piece", "s", "f", "c").agg(F.sum("n").alias("n")).persist()
+    counts = keep(counts.groupBy("piece", "s", "f", "c").agg(F.sum("n").alias("n")))
     whole = counts.where("c = ''").select("piece").distinct().withColumn("whole", F.lit(True))
     judged = counts.where("c <> ''").join(whole, "piece", "left")
     is_piece = ~F.startswith("piece", F.lit("\x01"))
@@ -184,7 +185,7 @@ def split_values(
     """
     kind = df.schema[key].dataType.simpleString()
     rows = _fields(df, key, fields, source)
-    accepted = infer_separators(df, key, fields, source).where("accepted").groupBy("s", "f").agg(F.collect_set("separator").alias("separators")).persist()
+    accepted = keep(infer_separators(df, key, fields, source).where("accepted").groupBy("s", "f").agg(F.collect_set("separator").alias("separators")))
     head = accepted.limit(most_sources + 1).collect()
     known: dict[tuple[str, str], frozenset[str]] = {}
     if len(head) > most_sources:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.operators.ranks import spearman
 from granary.operators.statistics import area_under_curve
+from granary.session import keep
 
 
 def fold(key: Column, folds: int, seed: int = 42) -> Column:
@@ -19,7 +20,7 @@ def fold(key: Column, folds: int, seed: int = 42) -> Column:
 
 def gate_probabilities(df: DataFrame, key: str, vector: str, label: str, folds: int = 5) -> DataFrame:
     """(key, label, p): out-of-fold probability of each row by logistic regression on its vector. One fit per fold over all other rows."""
-    rows = df.where(F.col(vector).isNotNull()).select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"), fold(F.col(key), folds).alias("fold")).persist()
+    rows = keep(df.where(F.col(vector).isNotNull()).select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"), fold(F.col(key), folds).alias("fold")))
     out = None
     for f in range(folds):
         model = LogisticRegression(regParam=0.01, maxIter=50).fit(rows.where(F.col("fold") != f))
@@ -51,7 +52,7 @@ def grade_models(df: DataFrame, features: list[str], targets: list[str], kind: s
 
 def cross_validated(df: DataFrame, key: str, group: str, features: list[str], target: str, folds: int = 4) -> DataFrame:
     """(key, target, prediction) where a row's model has not seen its group; predictions are clipped to 1..5."""
-    rows = df.where(F.col(target).isNotNull()).select(key, F.col(target).cast("double").alias(target), array_to_vector(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])).alias("features"), fold(F.col(group), folds).alias("fold")).persist()
+    rows = keep(df.where(F.col(target).isNotNull()).select(key, F.col(target).cast("double").alias(target), array_to_vector(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])).alias("features"), fold(F.col(group), folds).alias("fold")))
     out = None
     for f in sorted(r["fold"] for r in rows.select("fold").distinct().collect()):  # at most ``folds``
         train = rows.where(F.col("fold") != f)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.audit import long_values
-from granary.operators.ranks import at_index, cumulative
+from granary.operators.ranks import at_index, cumulative, quantiles
 
 
 def expected_fields(df: DataFrame, key: str, fields: list[str], expected_at: float = 0.95) -> DataFrame:
@@ -35,8 +35,9 @@ def _filled(c: Column, kind: str) -> Column:
 def metric_ranges(df: DataFrame, metrics: list[str], low: float = 0.01, high: float = 0.99, least: int = 20) -> DataFrame:
     """(metric, n, low, middle, high) of metrics that vary and have at least ``least`` values."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))).where("v IS NOT NULL")
-    q = long.groupBy("metric").agg(F.count("*").alias("n"), F.min("v").alias("_a"), F.max("v").alias("_z"), F.percentile("v", F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias("_q"))
-    return q.where((F.col("n") >= least) & (F.col("_a") < F.col("_z"))).select("metric", "n", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("low", "middle", "high"))])
+    spread = long.groupBy("metric").agg(F.min("v").alias("_a"), F.max("v").alias("_z"))
+    q = quantiles(long, "v", ["metric"], {"low": low, "middle": 0.5, "high": high}).join(spread, "metric")
+    return q.where((F.col("n") >= least) & (F.col("_a") < F.col("_z"))).select("metric", "n", "low", "middle", "high")
 
 
 def outside_ranges(df: DataFrame, key: str, metrics: list[str], ranges: DataFrame, most: int = 8) -> DataFrame:
@@ -55,11 +56,11 @@ def outside_ranges(df: DataFrame, key: str, metrics: list[str], ranges: DataFram
 
 def group_reference(df: DataFrame, group: str, value: str, least: int = 30) -> DataFrame:
     """(group, n, p5, p10, p95): quantiles of groups with at least ``least`` rows; smaller groups get those of the whole table."""
-    q = lambda: F.percentile(value, F.array(F.lit(0.05), F.lit(0.1), F.lit(0.95)))
-    own = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), q().alias("_own"))
-    whole = df.agg(q().alias("_all"))
-    used = own.crossJoin(F.broadcast(whole)).withColumn("_q", F.when(F.col("n") >= least, F.col("_own")).otherwise(F.col("_all")))
-    return used.select(group, "n", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("p5", "p10", "p95"))])
+    shares = {"p5": 0.05, "p10": 0.1, "p95": 0.95}
+    own = quantiles(df, value, [group], shares)
+    whole = quantiles(df, value, [], {f"_{k}": v for k, v in shares.items()}).drop("n")  # one row
+    used = own.crossJoin(F.broadcast(whole))
+    return used.select(group, "n", *[F.when(F.col("n") >= least, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in shares])
 
 
 def stale_before(df: DataFrame, year: str, share: float = 0.05) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.session import keep
+
 
 def cumulative(df: DataFrame, value: str, by: list[str] | None = None, weight: Column | None = None, partitions: int | None = None) -> DataFrame:
     """(by..., value, n, below, total): how many rows of the group have the value, a smaller one, and are there at all. Null values are left out."""
@@ -16,7 +18,8 @@ def cumulative(df: DataFrame, value: str, by: list[str] | None = None, weight: C
     n = F.count("*") if weight is None else F.sum(weight)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = counts.repartitionByRange(parts, *by, value).withColumn("_p", F.spark_partition_id()).persist()
+    ordered = counts.repartitionByRange(parts, *by, value).withColumn("_p", F.spark_partition_id())
+    ordered = keep(ordered)
     inside = Window.partitionBy("_p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     sums = ordered.groupBy(*by, "_p").agg(F.sum("n").alias("_n"))  # a number for each group and partition
     along = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -37,6 +40,19 @@ def at_index(cum: DataFrame, value: str, by: list[str], position: Column, name:
     return found
 
 
+def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """(by..., n, one column per share): quantiles with linear interpolation between places, exact, null values aside.
+
+    Each is read off the cumulative counts at the two places around it, so no group is gathered: what is shuffled are distinct values with their counts.
+    """
+    cum = cumulative(df, value, by)
+    place = {name: (F.col("total") - 1) * share for name, share in shares.items()}
+    at = lambda i: F.max(F.when((i >= F.col("below")) & (i < F.col("below") + F.col("n")), F.col(value).cast("double")))
+    ends = [c for name, i in place.items() for c in (at(F.floor(i)).alias(f"_a_{name}"), at(F.ceil(i)).alias(f"_z_{name}"), F.max(i - F.floor(i)).alias(f"_f_{name}"))]
+    out = cum.groupBy(*by).agg(F.max("total").alias("n"), *ends)
+    return out.select(*by, "n", *[(F.col(f"_a_{x}") + (F.col(f"_z_{x}") - F.col(f"_a_{x}")) * F.col(f"_f_{x}")).alias(x) for x in shares])
+
+
 def ranked_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     """(x, y, rx, ry): rows where both are known, with average ranks."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.functions.arrow import map_columns
+from granary.session import keep
 
 _words = re.compile(r"\w+").findall
 
@@ -85,22 +89,182 @@ def top_k(scores: DataFrame, k: int, by: str = "score", places: int = 6) -> Data
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def middle_rank(scores: DataFrame, targets: DataFrame, size: DataFrame, places: int = 6) -> DataFrame:
-    """(query, doc, rank): rank of each query's own document; ties share the middle, documents without a word of the query score 0.
-
-    The zero block is counted, not built: a document that scores 0 stands after all that score, in the middle of the rest.
+class _Block:
+    """A block of queries against documents that are read once: for each part of the corpus and each term, which queries have it and what it weighs."""
+
+    CHUNK = 512  # documents whose scores are held at once
+
+    def __init__(self, names: list, weights: dict[tuple, tuple[list[int], float]], lengths: dict):
+        self.names, self.lengths = names, lengths
+        self.of: dict = {p: {} for p in lengths}
+        for (p, term), (queries, w) in weights.items():
+            self.of[p][term] = np.array(queries, np.int64), w
+
+    def scores(self, part, texts: list[str]) -> np.ndarray:
+        """Queries x documents."""
+        out = np.zeros((len(self.names), len(texts)))
+        terms, mean = self.of.get(part), self.lengths.get(part)
+        if not terms:
+            return out
+        at: dict[str, tuple[list[int], list[float]]] = {}
+        for i, t in enumerate(texts):
+            counts = Counter(_words(t))
+            fixed = K1 * (1 - B + B * sum(counts.values()) / mean)
+            for w in counts.keys() & terms.keys():
+                docs, tfs = at.setdefault(w, ([], []))
+                docs.append(i)
+                tfs.append(counts[w] * (K1 + 1) / (counts[w] + fixed))
+        for w in sorted(at):
+            queries, weight = terms[w]
+            docs, tfs = at[w]
+            out[np.ix_(queries, np.array(docs))] += weight * np.array(tfs)
+        return out
+
+
+def _blocks(posted: DataFrame, df: DataFrame, queries: DataFrame, part: str | None, block: int) -> Iterator[_Block]:
+    """Blocks of at most about ``block`` queries, cut by a hash; each with the weights of its terms in each part of the corpus. What is collected are a block's terms."""
+    by = [part] if part else []
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n")).collect()  # one row per part
+    words = {tuple(r[c] for c in by): r["w"] for r in posted.groupBy(*by).agg(F.sum("tf").alias("w")).collect()}
+    n_docs = {tuple(r[c] for c in by): r["n"] for r in sizes}
+    lengths = {(p[0] if p else None): (words.get(p) or 0) / n for p, n in n_docs.items() if n and words.get(p)}
+    wanted = keep(queries.select("query", "term").distinct())
+    blocks = -(-wanted.select("query").distinct().count() // block)
+    for b in range(blocks):
+        mine = wanted.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        freq = posted.join(mine.select("term").distinct(), "term", "left_semi").groupBy(*by, "term").agg(F.count("*").alias("df"))
+        asked: dict[str, list[int]] = {}
+        at: dict = {}
+        for r in mine.orderBy("query", "term").toLocalIterator():
+            asked.setdefault(r["term"], []).append(at.setdefault(r["query"], len(at)))
+        weights = {}
+        for r in freq.toLocalIterator():
+            p = tuple(r[c] for c in by)
+            weights[p[0] if p else None, r["term"]] = asked[r["term"]], float(np.log1p((n_docs[p] - r["df"] + 0.5) / (r["df"] + 0.5)))
+        yield _Block(list(at), weights, lengths)
+
+
+def _scan(df: DataFrame, doc: str, text: Column, part: str | None, block: _Block, make, schema: str) -> DataFrame:
+    """Reads every document once; ``make()`` gives (take, flush) of a task: take(part, documents, scores) for each chunk, flush() for its rows at the end."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    shared = df.sparkSession.sparkContext.broadcast(block)
+    rows = df.select((F.col(part) if part else F.lit(None).cast("string")).alias("p"), F.col(doc).alias("d"), F.lower(F.coalesce(text, F.lit(""))).alias("t"))
+    parsed = _parse_datatype_string(schema)
+    out = to_arrow_schema(parsed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        take, flush = make(queries)
+        for batch in batches:
+            parts, docs, texts = (c.to_pylist() for c in batch.columns)
+            for p in sorted(set(parts), key=str):
+                at = [i for i, x in enumerate(parts) if x == p]
+                for start in range(0, len(at), queries.CHUNK):
+                    chunk = at[start : start + queries.CHUNK]
+                    take(p, [docs[i] for i in chunk], queries.scores(p, [texts[i] for i in chunk]))
+        for columns in flush():
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+    return rows.mapInArrow(run, parsed)
+
+
+def search(df: DataFrame, doc: str, text: Column, posted: DataFrame, queries: DataFrame, k: int, part: str | None = None, block: int = 4096, places: int = 6) -> DataFrame:
+    """(part, query, doc, score, rank): the k documents that BM25 scores best for each query, exhaustively; of equal scores (to ``places`` decimals) the smaller documents.
+
+    Queries (query, term) go round in blocks; each task reads its documents once, scores them against a whole block and keeps k a query, so the shuffle
+    holds k rows per query and task instead of all scored pairs. ``posted`` are the postings of the same documents, for frequencies. With ``part``, each
+    part of the corpus is searched on its own; without, the column is null.
     """
-    s = scores.withColumn("s", F.round("score", places))
-    own = targets.select("query", F.col("doc").alias("own"))
-    mine = s.join(own, [s["query"] == own["query"], s["doc"] == own["own"]]).select(s["query"], F.col("s").alias("mine"))
-    joined = own.join(mine, "query", "left").join(s.select("query", F.col("doc").alias("other"), "s"), "query", "left").crossJoin(F.broadcast(size))
-    counted = joined.groupBy("query", "own", "mine", "n_docs").agg(
-        F.sum(F.when(F.col("s") > F.coalesce("mine", F.lit(0.0)), 1).otherwise(0)).alias("above"),
-        F.sum(F.when((F.col("s") == F.col("mine")) & (F.col("other") != F.col("own")), 1).otherwise(0)).alias("ties"),
-        F.count("s").alias("scored"),
-    )
-    rank = F.when(F.col("scored") == 0, F.col("n_docs").cast("double")).when(F.col("mine").isNull(), 1 + F.col("above") + (F.col("n_docs") - F.col("scored") - 1) / 2.0).otherwise(1 + F.col("above") + F.col("ties") / 2.0)
-    return counted.select("query", F.col("own").alias("doc"), rank.alias("rank"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (doc, *([part] if part else []))}
+    query_kind = queries.schema["query"].dataType.simpleString()
+    out = None
+    for b in _blocks(posted, df, queries, part, block):
+
+        def make(queries):
+            best: dict = {}
+
+            def prune(p):
+                q, d, s = (np.concatenate(c) for c in zip(*best[p]))
+                order = np.lexsort((np.array(d.tolist()), -np.round(s, places), q))
+                q, d, s = q[order], d[order], s[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+                best[p] = [(q[place < k], d[place < k], s[place < k])]
+
+            def take(p, docs, scores):
+                n = min(k, scores.shape[1])
+                shown = np.round(scores, places)
+                least = np.partition(shown, -n, axis=1)[:, -n]
+                q, i = np.nonzero((shown >= least[:, None]) & (scores > 0))
+                if len(q):
+                    names = np.empty(len(docs), object)
+                    names[:] = docs
+                    best.setdefault(p, []).append((q, names[i], scores[q, i]))
+                    if sum(len(x[0]) for x in best[p]) > 8 * k * len(queries.names):
+                        prune(p)
+
+            def flush():
+                for p in best:
+                    prune(p)
+                    ((q, d, s),) = best[p]
+                    yield [[p] * len(q), [queries.names[i] for i in q.tolist()], d.tolist(), s.tolist()]
+
+            return take, flush
+
+        schema = f"part {kinds.get(part, 'string')}, query {query_kind}, doc {kinds[doc]}, score double"
+        found = _scan(df, doc, text, part, b, make, schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return df.sparkSession.createDataFrame([], f"part {kinds.get(part, 'string')}, query {query_kind}, doc {kinds[doc]}, score double, rank int")
+    w = Window.partitionBy("part", "query").orderBy(F.round("score", places).desc(), "doc")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def own_ranks(df: DataFrame, doc: str, text: Column, posted: DataFrame, queries: DataFrame, block: int = 4096, places: int = 6) -> DataFrame:
+    """(query, rank): where each query's own document, the one of the same name, stands among all; ties share the middle, documents without a word of the
+    query score 0 and share the end.
+
+    Own scores are made first; then each task counts, per query, its documents above them, equal to them and with any score, and only these counts are shuffled.
+    """
+    kind = queries.schema["query"].dataType.simpleString()
+    n_docs = df.count()
+    out = None
+    for b in _blocks(posted, df, queries, None, block):
+        targets = df.join(F.broadcast(df.sparkSession.createDataFrame([(x,) for x in b.names], f"{doc} {kind}")), doc, "left_semi")  # a block's names
+
+        def own(queries):
+            at = {x: i for i, x in enumerate(queries.names)}
+            found: dict = {}
+
+            def take(_, docs, scores):
+                found.update({at[d]: float(np.round(scores[at[d], i], places)) for i, d in enumerate(docs)})
+
+            return take, lambda: [[list(found), list(found.values())]] if found else []
+
+        mine = np.zeros(len(b.names))
+        for r in _scan(targets, doc, text, None, b, own, "i int, s double").collect():
+            mine[r["i"]] = r["s"]
+        sent = df.sparkSession.sparkContext.broadcast(mine)
+
+        def count(queries, sent=sent):
+            sums = np.zeros((3, len(queries.names)), np.int64)
+
+            def take(_, docs, scores):
+                shown, line = np.round(scores, places), sent.value[:, None]
+                sums[0] += (shown > line).sum(1)
+                sums[1] += ((shown == line) & (scores > 0)).sum(1)
+                sums[2] += (scores > 0).sum(1)
+
+            return take, lambda: [[queries.names, sent.value.tolist(), *sums.tolist()]]
+
+        counts = _scan(df, doc, text, None, b, count, f"query {kind}, mine double, above long, equal long, scored long")
+        out = counts if out is None else out.unionByName(counts)
+    if out is None:
+        return df.sparkSession.createDataFrame([], f"query {kind}, rank double")
+    sums = out.groupBy("query", "mine").agg(*[F.sum(c).alias(c) for c in ("above", "equal", "scored")])
+    rank = F.when(F.col("scored") == 0, F.lit(float(n_docs))).when(F.col("mine") <= 0, 1 + F.col("above") + (F.lit(n_docs) - F.col("scored") - 1) / 2.0).otherwise(1 + F.col("above") + (F.col("equal") - 1) / 2.0)
+    return sums.select("query", rank.alias("rank"))
 
 
 def fuse(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -199,12 +363,12 @@ def related_grades(
     value = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     strongs = [F.array(F.concat(F.lit(f"2{c}="), value(c))) for c in strong]
     weaks = [F.transform(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x) != ""), lambda x, c=c: F.concat(F.lit("1"), _prefixed(c)(x))) for c in weak]
-    held = df.select(F.col(doc).alias("doc"), F.explode(F.array_compact(F.concat(*strongs, *weaks))).alias("key")).distinct().persist()
+    held = keep(df.select(F.col(doc).alias("doc"), F.explode(F.array_compact(F.concat(*strongs, *weaks))).alias("key")).distinct())
     asked = queries.select("query").where("query IS NOT NULL").distinct()
     wanted = held.join(asked.select(F.col("query").alias("doc")), "doc", "left_semi").select("key").distinct()
     sizes = held.join(wanted, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n))
     usable = sizes.where(F.startswith("key", F.lit("2")) | (F.col("n") <= F.col("most"))).select("key", F.ceil(F.col("n") / lane_docs).alias("lanes"))
-    sets = held.join(usable, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("key", "lanes"))).alias("of")).withColumn("keys", F.col("of.key")).persist()
+    sets = keep(held.join(usable, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("key", "lanes"))).alias("of")).withColumn("keys", F.col("of.key")))
     postings = sets.select("doc", "keys", F.inline("of")).select("doc", F.col("keys").alias("theirs"), "key", F.pmod(F.xxhash64("doc"), "lanes").alias("lane"))
     mine = sets.join(asked.select(F.col("query").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("query"), "keys", F.inline("of"))
     mine = mine.select("query", "keys", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)).alias("lane"))

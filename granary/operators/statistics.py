@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.numeric import bands
-from granary.operators.ranks import average_rank, cumulative
+from granary.operators.ranks import average_rank, cumulative, quantiles
+from granary.session import keep
 
 
 def cohens_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,8 +23,12 @@ def cohens_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.select("n", "agreement", F.when(F.col("pe") >= 1, 1.0).otherwise((F.col("agreement") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
 
 
-def fleiss_kappa(votes: DataFrame, items: list[str], vote: str, raters: int) -> DataFrame:
-    """One row: n_items, agreement, kappa over items that exactly ``raters`` judged."""
+def fleiss_kappa(votes: DataFrame, items: list[str], vote: str, raters: int, order: str | None = None) -> DataFrame:
+    """One row: n_items, agreement, kappa. Items with fewer than ``raters`` votes are left out; items with more give their first ones by the column ``order``, and are left out without it."""
+    if order:
+        # A rater's place among an item's votes: as many rows as raters, never a hot group.
+        place = F.row_number().over(Window.partitionBy(*items).orderBy(order, vote))
+        votes = votes.where(F.col(vote).isNotNull()).withColumn("_i", place).where(F.col("_i") <= raters).drop("_i")
     counts = votes.groupBy(*items, vote).agg(F.count("*").alias("c"))
     per_item = counts.groupBy(*items).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).where(F.col("m") == raters)
     p = per_item.agg(F.count("*").alias("n_items"), F.avg((F.col("sq") - raters) / (raters * (raters - 1))).alias("agreement"))
@@ -93,7 +98,8 @@ def drift(df: DataFrame, value: str, is_new: str) -> DataFrame:
 def cumulative_sum(counts: DataFrame, value: str, x: str) -> DataFrame:
     """(value, x_up_to): running sum of x over distinct values, in two levels as in ``cumulative``."""
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = counts.repartitionByRange(parts, value).withColumn("_p", F.spark_partition_id()).persist()
+    ordered = counts.repartitionByRange(parts, value).withColumn("_p", F.spark_partition_id())
+    ordered = keep(ordered)
     inside = Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     sums = ordered.groupBy("_p").agg(F.sum(x).alias("_n"))
     offsets = sums.select("_p", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
@@ -138,20 +144,91 @@ def band_counts(df: DataFrame, value: Column, edges: list[float], labels: list[s
 
 def effect_table(df: DataFrame, group: str, value: str, is_after: Column, threshold: float) -> DataFrame:
     """(group, median and quartile range before and after, share below the threshold before and after, change of the median)."""
-    before, after = F.when(~is_after, F.col(value)), F.when(is_after, F.col(value))
-    out = df.groupBy(group).agg(
-        *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for c, n in ((before, "b"), (after, "a"))],
-        *[(100.0 * F.avg((c < threshold).cast("double"))).alias(n) for c, n in ((before, "below_before"), (after, "below_after"))],
-    )
-    m = lambda n, i: F.get(n, F.lit(i))
+    rows = df.where(is_after.isNotNull()).select(group, is_after.alias("_after"), F.col(value).alias("_v"))
+    q = quantiles(rows, "_v", [group, "_after"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    side = lambda after: [F.max(F.when(F.col("_after") == after, F.struct("q1", "q2", "q3"))).alias("a" if after else "b")]
+    below = rows.groupBy(group).agg(*[(100.0 * F.avg(F.when(F.col("_after") == after, (F.col("_v") < threshold).cast("double")))).alias(n) for after, n in ((False, "below_before"), (True, "below_after"))])
+    out = q.groupBy(group).agg(*side(False), *side(True)).join(below, group, "right")
     return out.select(
-        group, m("b", 1).alias("median_before"), m("a", 1).alias("median_after"), (m("b", 2) - m("b", 0)).alias("iqr_before"), (m("a", 2) - m("a", 0)).alias("iqr_after"),
-        (m("a", 1) - m("b", 1)).alias("change"), "below_before", "below_after",
+        group, F.col("b.q2").alias("median_before"), F.col("a.q2").alias("median_after"), (F.col("b.q3") - F.col("b.q1")).alias("iqr_before"), (F.col("a.q3") - F.col("a.q1")).alias("iqr_after"),
+        (F.col("a.q2") - F.col("b.q2")).alias("change"), "below_before", "below_after",
     )
 
 
 def tail(df: DataFrame, group: str, value: str, share: float = 0.05) -> DataFrame:
-    """(group, cut, n, mean): rows of each group at or below its quantile. The exact quantile comes from counts of equal values."""
-    cut = df.groupBy(group).agg(F.percentile(value, F.lit(share)).alias("cut"))
+    """(group, cut, n, mean): rows of each group at or below its quantile, which is exact and interpolated. Cuts are one small row per group."""
+    cut = quantiles(df, value, [group], {"cut": share}).select(group, "cut")
     return df.join(cut, group).where(F.col(value) <= F.col("cut")).groupBy(group, "cut").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
+
+def summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, missing, mean, std, min, q1, q2, q3, max) of numeric columns; std is the sample's, null for one value."""
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])))
+    moments = each.groupBy("column").agg(
+        F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    q = quantiles(each, "v", ["column"], {"q1": 0.25, "q2": 0.5, "q3": 0.75}).drop("n")
+    return moments.join(q, "column", "left").select("column", "n", "missing", "mean", "std", "min", "q1", "q2", "q3", "max")
+
+
+def categories(df: DataFrame, columns: list[str], most: int = 20) -> DataFrame:
+    """(column, n_distinct, value, n) of columns with at most ``most`` values, one row per value; of others one row with null value. Nulls are no value."""
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))).where("value IS NOT NULL")
+    counts = each.groupBy("column", "value").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("column").agg(F.count("*").alias("n_distinct"), F.sum("n").alias("_all"))  # one row per column
+    small = counts.join(F.broadcast(sizes.where(F.col("n_distinct") <= most)), "column").select("column", "n_distinct", "value", "n")
+    return small.unionByName(sizes.where(F.col("n_distinct") > most).select("column", "n_distinct", F.lit(None).cast("string").alias("value"), F.col("_all").alias("n")))
+
+
+def flag_means(df: DataFrame, flags: list[str], value: str) -> DataFrame:
+    """(flag, n, pct, mean_with, mean_without): the share of rows that have a flag, and the mean of a value with and without it. Null flags are left out."""
+    each = df.select(F.col(value).cast("double").alias("v"), F.inline(F.array(*[F.struct(F.lit(c).alias("flag"), F.col(c).cast("boolean").alias("on")) for c in flags]))).where("on IS NOT NULL")
+    return each.groupBy("flag").agg(
+        F.count("*").alias("n"), (100.0 * F.avg(F.col("on").cast("double"))).alias("pct"), F.avg(F.when(F.col("on"), F.col("v"))).alias("mean_with"), F.avg(F.when(~F.col("on"), F.col("v"))).alias("mean_without")
+    )
+
+
+def paired_win_share(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n, win_share: how often a pair's first value is the larger, a tie counting half. Pairs with a null are left out."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return rows.agg(F.count("*").alias("n"), F.avg(F.when(F.col(a) > F.col(b), 1.0).when(F.col(a) == F.col(b), 0.5).otherwise(0.0)).alias("win_share"))
+
+
+def wasserstein(df: DataFrame, value: str, is_new: str) -> DataFrame:
+    """One row: the area between the two samples' cumulative shares. Values are counted up in two levels and joined to the next greater one."""
+    rows = df.where(F.col(value).isNotNull())
+    counts = rows.groupBy(value).agg(F.sum(F.col(is_new).cast("long")).alias("x"), F.count("*").alias("c"))
+    up = cumulative_sum(counts, value, "x").join(cumulative_sum(counts, value, "c"), value)
+    total = rows.agg(F.sum(F.col(is_new).cast("long")).alias("n_new"), F.count("*").alias("n"))
+    # The area is the sum over values v of v times how much the distance changes there, in two runs: after the value and before it.
+    gap = lambda x, c: F.abs(x / F.col("n_new") - (c - x) / (F.col("n") - F.col("n_new")))
+    here = up.join(counts, value).crossJoin(F.broadcast(total))
+    after, before = gap(F.col("x_up_to"), F.col("c_up_to")), gap(F.col("x_up_to") - F.col("x"), F.col("c_up_to") - F.col("c"))
+    return here.agg(F.sum(F.col(value).cast("double") * (before - after)).alias("distance"))
+
+
+def principal_weights(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(indicator, weight): squared loadings of the first principal component of the standardised columns; from one aggregate of correlations."""
+    import numpy as np
+
+    pairs = {(r["a"], r["b"]): r["corr"] for r in correlations(df, columns).collect()}  # one row per pair of columns
+    m = np.eye(len(columns))
+    for (a, b), r in pairs.items():
+        m[columns.index(a), columns.index(b)] = m[columns.index(b), columns.index(a)] = r or 0.0
+    loads = np.linalg.eigh(m)[1][:, -1] ** 2
+    return df.sparkSession.createDataFrame([(c, float(x)) for c, x in zip(columns, loads)], "indicator string, weight double")
+
+
+def redundant_pairs(df: DataFrame, columns: list[str], cut: float = 0.9) -> DataFrame:
+    """(a, b, corr): pairs of columns whose correlation is at least ``cut`` either way, and (a, null, null) for a column that does not vary."""
+    found = correlations(df, columns).where(F.abs("corr") >= cut)
+    spread = df.agg(*[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(c) for c in columns])
+    flat = spread.select(F.inline(F.array(*[F.struct(F.lit(c).alias("a"), F.col(c).alias("flat")) for c in columns]))).where("flat")
+    return found.unionByName(flat.select("a", F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("corr")))
+
+
+def problem_raters(votes: DataFrame, items: list[str], rater: str, vote: str, least_share: float = 0.6) -> DataFrame:
+    """(rater, n, agreement, problem): how often a rater gives the item's majority grade, among items with at least two votes."""
+    grades = panel_grades(votes, items, vote).where("n_votes >= 2").select(*items, "grade")
+    per = votes.where(F.col(vote).isNotNull()).join(grades, items).groupBy(rater).agg(F.count("*").alias("n"), F.avg((F.col(vote) == F.col("grade")).cast("double")).alias("agreement"))
+    return per.select(rater, "n", "agreement", (F.col("agreement") < least_share).alias("problem"))

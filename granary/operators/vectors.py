@@ -36,34 +36,44 @@ def centroids(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
     return packed.select(*by, "n", F.transform(mean, lambda x: x / length).alias("centroid"))
 
 
-def nearest(df: DataFrame, key: str, vector: str, every: int = 50, k: int = 10, block: int = 8192) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, every: int = 50, k: int = 10, most_bytes: int = 128_000_000) -> DataFrame:
     """(query, rank, neighbour, cosine): the k nearest other rows of each row whose key is divisible by ``every``.
 
-    Queries are read in blocks of at most ``block`` vectors, the size that is sent round at once; each batch of rows is compared with a block by one matrix product and keeps
-    k candidates per query, so the shuffle holds k rows per query and batch. Rows without a vector are left out; equal cosines fall by key.
+    Queries go round in blocks of at most about ``most_bytes``, cut by a hash of the key, so keys need not be dense; a query set within that bound is one
+    block and one pass over the rows. Each batch of rows is compared with a block by one matrix product and keeps k candidates per query, so the shuffle holds
+    k rows per query and batch. Rows without a vector are left out; equal cosines fall by key.
     """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
     asked = rows.where(F.col("k") % every == 0)
-    blocks = asked.select(F.floor(F.col("k") / (every * block)).alias("b")).distinct().orderBy("b")
+    size = asked.agg(F.sum(F.size("v") * 8 + 8).alias("bytes")).first()["bytes"] or 0
+    blocks = -(-size // most_bytes)
     out = None
-    for b in (r["b"] for r in blocks.toLocalIterator()):
-        part = asked.where(F.floor(F.col("k") / (every * block)) == b).collect()
-        q_keys = [r["k"] for r in part]
-        q = np.array([r["v"] for r in part])
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect()
+        if not part:
+            continue
+        names = np.array([r["k"] for r in part], np.int64)
+        q = np.array([r["v"] for r in part]).reshape(len(part), -1)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        sent = df.sparkSession.sparkContext.broadcast((q_keys, q))
+        sent = df.sparkSession.sparkContext.broadcast((names, q))
 
         def make(sent=sent):
             names, matrix = sent.value
 
             def work(keys, vectors):
-                x = np.array(vectors)
+                x, ids = np.array(vectors), np.array(keys, np.int64)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                sims, found, ids = x @ matrix.T, [], np.array(keys)
-                for j, name in enumerate(names):
-                    order = np.lexsort((ids, -np.round(sims[:, j], 9)))[: k + 1]
-                    found += [(name, int(ids[i]), float(sims[i, j])) for i in order if ids[i] != name]
-                return [*zip(*found)] or [[]] * 3
+                sims = matrix @ x.T
+                shown = np.round(sims, 9)
+                shown[names[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(shown, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                row, col = np.nonzero((shown >= least[:, None]) & np.isfinite(shown))
+                # Of equal candidates at the edge, those with the smaller keys stay.
+                order = np.lexsort((ids[col], -shown[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+                row, col = row[place < k], col[place < k]
+                return [names[row].tolist(), ids[col].tolist(), sims[row, col].tolist()]
 
             return work
 
@@ -75,6 +85,42 @@ def nearest(df: DataFrame, key: str, vector: str, every: int = 50, k: int = 10,
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query", "rank", "neighbour", "cosine")
 
 
+def rank_of_own(df: DataFrame, key: str, query: str, vector: str, every: int = 50, most_bytes: int = 128_000_000) -> DataFrame:
+    """(key, rank): where a row's own vector stands when its query vector is compared with all rows, ties sharing the middle; for keys divisible by ``every``.
+
+    Each batch counts, per query, the rows above the own cosine and equal to it; only these counts are shuffled. Rows without a vector are left out.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(query).cast("array<double>").alias("q"))
+    asked = rows.where((F.col("k") % every == 0) & F.col("q").isNotNull())
+    size = asked.agg(F.sum(F.size("q") * 8 + 16).alias("bytes")).first()["bytes"] or 0
+    blocks = -(-size // most_bytes)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    out = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect()
+        if not part:
+            continue
+        names = [r["k"] for r in part]
+        q, own = (unit(np.array([r[c] for r in part]).reshape(len(part), -1)) for c in ("q", "v"))
+        sent = df.sparkSession.sparkContext.broadcast((names, q, np.round((q * own).sum(1), 9)))
+
+        def make(sent=sent):
+            names, matrix, mine = sent.value
+
+            def work(_, vectors):
+                sims = np.round(matrix @ unit(np.array(vectors)).T, 9)
+                return [names, (sims > mine[:, None]).sum(1).tolist(), (sims == mine[:, None]).sum(1).tolist()]
+
+            return work
+
+        counts = map_columns(rows.select("k", "v"), make, "k long, above long, equal long")
+        out = counts if out is None else out.unionByName(counts)
+    if out is None:
+        return df.sparkSession.createDataFrame([], f"{key} long, rank double")
+    sums = out.groupBy("k").agg(F.sum("above").alias("above"), F.sum("equal").alias("equal"))
+    return sums.select(F.col("k").alias(key), (1 + F.col("above") + (F.greatest(F.col("equal"), F.lit(1)) - 1) / 2.0).alias("rank"))
+
+
 def coherence(df: DataFrame, vector: str, by: str) -> DataFrame:
     """(by, n, mean_pair_cosine): the mean over all pairs of unit vectors, from the length of their sum alone: no pair is built."""
     unit = df.where(F.col(vector).isNotNull()).select(by, F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("l", norm(F.col("v"))).where("l > 0")

@@ -10,6 +10,7 @@ from granary.operators import retrieval as R
 from granary.plans import retrieval as plans
 from granary.plans.statistics import _LEN, _avg, _lengths
 from granary.sources.tables import table
+from granary.session import keep
 
 
 def _ko(spark, sf_dir):
@@ -27,7 +28,7 @@ def filter_funnel(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    body = R.postings(_ko(spark, sf_dir), "rec_no", F.col("ko_content_flat")).persist()
+    body = keep(R.postings(_ko(spark, sf_dir), "rec_no", F.col("ko_content_flat")))
     return R.pseudo_queries(body, R.corpus_size(_ko(spark, sf_dir), body))
 
 
@@ -67,7 +68,7 @@ def partial_correlation(spark, sf_dir):
 
 
 def mean_word_interval(spark, sf_dir):
-    return inference.mean_interval(_lengths(spark, sf_dir), "doc_id", "mean_word", rounds=400)
+    return inference.mean_interval(_lengths(spark, sf_dir), "doc_id", "mean_word", rounds=1000)
 
 
 def weight_stability(spark, sf_dir):
@@ -107,7 +108,8 @@ ORACLES = {
     "filter_funnel": r"""WITH l AS (SELECT *, coalesce(ko_content_flat, '') AS t, list_filter(regexp_split_to_array(coalesce(ko_content_flat, ''), '\r\n|\r|\n'), lambda x: regexp_matches(x, '[^\s\p{Z}]')) AS ls FROM knowledge_objects),
  s AS (SELECT CASE WHEN NOT coalesce(regexp_matches(ko_content_flat, '[^\s]'), false) THEN 'no text' WHEN length(t) < 500 THEN 'too short' WHEN coalesce(trim(ko_object_mimetype, ' '), '') = '' THEN 'no file type'
   WHEN len(list_intersect(list_transform(coalesce(languages, []), lambda x: lower(trim(x, ' '))), ['en', 'eng', 'english', 'en-gb', 'englisch'])) = 0 THEN 'other language' WHEN coalesce(trim(license, ' '), '') = '' THEN 'no licence'
-  WHEN length(trim(t, ' ')) < 200 OR len(regexp_extract_all(t, '(?i)\b(?:cookies?|login|log in|sign in|menu|share|home|search|subscribe|javascript)\b')) >= 5 OR (len(ls) >= 8 AND len(list_filter(ls, lambda x: length(x) < 25)) >= 0.7 * len(ls)) THEN 'failed extraction' ELSE 'kept' END AS step FROM l)
+  WHEN length(t) < 80 OR len(list_filter(['impressum', 'datenschutz', 'cookies', 'terms', 'richtlinien', 'youtube', 'google llc', 'sign in'], lambda m: contains(lower(t), m))) >= 2
+   OR (len(ls) >= 20 AND len(list_filter(ls, lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')) <= 18)) > 0.6 * len(ls)) THEN 'failed extraction' ELSE 'kept' END AS step FROM l)
  SELECT step, count(*) AS n FROM s GROUP BY step""",
     "field_mrr": _bundles({f: [f] for f in _BUNDLE}),
     "field_ablation": _bundles(ablation.leave_one_out(_BUNDLE)),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import behaviour as B
 from granary.operators.ranks import at_index, cumulative
+from granary.session import keep
 from granary.sources.tables import table
 
 
@@ -76,7 +77,7 @@ def aa_split(spark, sf_dir):
 
 def guardrails(spark, sf_dir):
     """Share without results, middle number of results, and middle and 95th latency of each arm, by place in the sorted values."""
-    rows = B.in_one_arm(_labelled(spark, sf_dir))
+    rows = keep(B.in_one_arm(_labelled(spark, sf_dir)))
     zero = rows.groupBy("arm").agg(F.round(F.avg((F.col("results") == 0).cast("double")), 6).alias("zero_share"))
     results, latency = cumulative(rows, "results", ["arm"]), cumulative(rows, "latency", ["arm"])
     place = lambda share: F.floor(F.col("total") * share)
@@ -95,7 +96,7 @@ _E = r"""WITH p AS (SELECT event_no, epoch_us(try_cast(regexp_replace(ts, '(Z|\+
   array_to_string(regexp_extract_all(lower(coalesce(original_query, '')), '[\p{L}\p{N}_]+'), ' ') AS query, coalesce(original_query, '') AS raw, coalesce(detected_lang, 'unknown') AS lang, coalesce(results_count, 0)::BIGINT AS results, coalesce(page, 1)::BIGINT AS page,
   nullif(trim(experiment_arm, ' '), '') AS arm, latency_ms::BIGINT AS latency, coalesce(user_agent, '') AS agent, row_number() OVER (PARTITION BY event_no ORDER BY loaded_at DESC) AS i FROM search_log),
  e AS (SELECT * EXCLUDE (a, i), coalesce(a, '') AS actor FROM p WHERE i = 1 AND t IS NOT NULL),
- h AS (SELECT * FROM e WHERE NOT regexp_matches(agent, '(?i)bot|crawl|spider|curl|wget|python|scrapy|monitor') AND actor <> '')"""
+ h AS (SELECT * FROM e WHERE NOT regexp_matches(agent, '""" + B.ROBOTS + r"""') AND actor <> '')"""
 _L = _E + r""", n AS (SELECT *, lead(t) OVER w AS nt, lead(query) OVER w AS nq FROM h WINDOW w AS (PARTITION BY actor ORDER BY t, event_no)),
  g AS (SELECT *, CASE WHEN (nt - t) / 1e6 <= 1800 THEN (nt - t) / 1e6 END AS gap, list_filter(string_split(query, ' '), lambda w: w <> '') AS m, list_filter(string_split(nq, ' '), lambda w: w <> '') AS o FROM n),
  l AS (SELECT *, CASE WHEN results = 0 THEN 'zero' WHEN gap <= 120 AND query = nq THEN 'repeat' WHEN gap <= 120 AND coalesce(len(list_intersect(m, o)) / nullif(len(list_distinct(list_concat(m, o))), 0), 0) >= 0.2 THEN 'reformulated' WHEN gap <= 120 THEN 'switched' WHEN page > 1 THEN 'page_2' ELSE 'settled' END AS outcome FROM g)"""
@@ -119,7 +120,7 @@ def _arms_sql(source: str) -> str:
  SELECT arm, actors, searches, failures, round(failures / searches, 6) AS rate, round(actors / total, 6) AS share, {_wilson('actors', 'total')} FROM s, t"""
 
 
-_SHAPE = r"CASE WHEN regexp_matches(raw, '(?i)\?$|^(how|what|why|when|where|which|can|is|are|does|do|comment|wie|c[oó]mo|hoe|wat)([^\p{L}\p{N}_]|$)') THEN 'question' WHEN regexp_matches(raw, '(^|\s)[A-ZÀ-Þ0-9][A-ZÀ-Þ0-9_\-.]{2,}(\s|$)') THEN 'entity/name' ELSE 'topical phrase' END"
+_SHAPE = f"CASE WHEN regexp_matches(raw, '{B.QUESTION}') THEN 'question' WHEN regexp_matches(raw, '{B.NAME}') THEN 'entity/name' ELSE 'topical phrase' END"
 
 ORACLES = {
     "search_events": _E + " SELECT event_no, t, actor, query, results, page, arm, latency FROM e",

@@ -9,6 +9,7 @@ from granary.functions import text as T
 from granary.operators import profiles, quality
 from granary.plans.statistics import _LEN, _lengths
 from granary.sources.tables import table
+from granary.session import keep
 
 _FIELDS = ["title", "subtitle", "description", "keywords", "languages", "license", "category", "creators", "topics", "project_id"]
 _METRICS = ["n_words", "mean_word", "ttr"]
@@ -34,7 +35,7 @@ def metric_ranges(spark, sf_dir):
 
 
 def unusual_metrics(spark, sf_dir):
-    rows = _lengths(spark, sf_dir).persist()
+    rows = keep(_lengths(spark, sf_dir))
     found = profiles.outside_ranges(rows, "doc_id", _METRICS, profiles.metric_ranges(rows, _METRICS))
     return found.where("size(unusual) > 0").select("doc_id", F.array_join(F.array_sort("unusual"), ",").alias("unusual"))
 
@@ -50,7 +51,7 @@ def stale_years(spark, sf_dir):
 
 def length_places(spark, sf_dir):
     """The place of every description's length among those of the summaries."""
-    ko = _ko(spark, sf_dir).select("rec_no", F.length("description").cast("long").alias("n"), F.length("ko_content_flat_summarised").cast("long").alias("r")).persist()
+    ko = keep(_ko(spark, sf_dir).select("rec_no", F.length("description").cast("long").alias("n"), F.length("ko_content_flat_summarised").cast("long").alias("r")))
     rows = profiles.place_in_reference(ko.select("rec_no", "n"), "n", ko, "r")
     return rows.select("rec_no", F.round("place", 6).alias("place"))
 

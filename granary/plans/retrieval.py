@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.operators import retrieval as R
 from granary.sources.tables import table
+from granary.session import keep
 
 
 def _docs(spark, sf_dir):
@@ -22,7 +23,7 @@ def _ko(spark, sf_dir):
 
 def _index(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    posted = R.postings(docs, "doc_id", F.col("text")).persist()
+    posted = keep(R.postings(docs, "doc_id", F.col("text")))
     return posted, R.corpus_size(docs, posted)
 
 
@@ -48,24 +49,23 @@ def pseudo_queries(spark, sf_dir):
 
 def _ranked(spark, sf_dir, k):
     posted, size = _index(spark, sf_dir)
-    asked = R.pseudo_queries(posted, size).persist()
-    return posted, size, asked, R.top_k(R.bm25(posted, size, asked), k)
+    asked = keep(R.pseudo_queries(posted, size))
+    return asked, R.search(_docs(spark, sf_dir), "doc_id", F.col("text"), posted, asked, k)
 
 
 def bm25_topk(spark, sf_dir):
-    *_, ranked = _ranked(spark, sf_dir, 10)
+    _, ranked = _ranked(spark, sf_dir, 10)
     return ranked.select("query", "doc", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 def known_item_rank(spark, sf_dir):
-    posted, size, asked, _ = _ranked(spark, sf_dir, 10)
-    targets = asked.select("query", F.col("query").alias("doc")).distinct()
-    ranks = R.middle_rank(R.bm25(posted, size, asked), targets, size)
+    posted, size = _index(spark, sf_dir)
+    ranks = R.own_ranks(_docs(spark, sf_dir), "doc_id", F.col("text"), posted, keep(R.pseudo_queries(posted, size)))
     return ranks.select("query", "rank", F.round(1 / F.log2(1 + F.col("rank")), 4).alias("gain"))
 
 
 def mrr_hit(spark, sf_dir):
-    *_, asked, ranked = _ranked(spark, sf_dir, 10)
+    asked, ranked = _ranked(spark, sf_dir, 10)
     targets = asked.select("query", F.col("query").alias("doc")).distinct()
     per_query = R.reciprocal_rank(ranked, targets, 10)
     return per_query.agg(F.count("*").alias("n"), F.round(F.avg("rr"), 4).alias("mrr"), F.round(F.avg("hit"), 4).alias("hit1"))
@@ -74,9 +74,9 @@ def mrr_hit(spark, sf_dir):
 def rrf_fusion(spark, sf_dir):
     """BM25 over the whole text and over its first line, fused."""
     docs = _docs(spark, sf_dir)
-    posted, size, asked, ranked = _ranked(spark, sf_dir, 20)
-    titles = R.postings(docs, "doc_id", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))).persist()
-    by_title = R.top_k(R.bm25(titles, R.corpus_size(docs, titles), asked), 20)
+    asked, ranked = _ranked(spark, sf_dir, 20)
+    title = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))
+    by_title = R.search(docs, "doc_id", title, keep(R.postings(docs, "doc_id", title)), asked, 20)
     fused = R.fuse([ranked, by_title], 10)
     return fused.select("query", "doc", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -84,7 +84,7 @@ def rrf_fusion(spark, sf_dir):
 def ndcg_judgments(spark, sf_dir):
     """Titles of the records searched with the judged queries, against the panel's grades."""
     ko = _ko(spark, sf_dir).select("rec_no", "_orig_id", "title", "description")
-    posted = R.postings(ko, "rec_no", F.concat_ws(" ", "title", "description")).persist()
+    posted = keep(R.postings(ko, "rec_no", F.concat_ws(" ", "title", "description")))
     judged = table(spark, sf_dir, "judgments")
     asked = judged.select(F.col("query_no").alias("query"), F.explode(F.array_distinct(T.words(F.col("query")))).alias("term")).distinct()
     scores = R.bm25(posted, R.corpus_size(ko, posted), asked)
@@ -105,10 +105,10 @@ def graded_qrels(spark, sf_dir):
 def graded_pool(spark, sf_dir):
     """Grades by shared project and subjects of the 20 best records for every 50th record's query."""
     ko = _ko(spark, sf_dir)
-    body = R.postings(ko, "rec_no", F.col("ko_content_flat")).persist()
+    body = keep(R.postings(ko, "rec_no", F.col("ko_content_flat")))
     asked = R.pseudo_queries(body, R.corpus_size(ko, body))
-    posted = R.postings(ko, "rec_no", F.concat_ws(" ", "title", "description")).persist()
-    pool = R.top_k(R.bm25(posted, R.corpus_size(ko, posted), asked), 20)
+    both = F.concat_ws(" ", "title", "description")
+    pool = R.search(ko, "rec_no", both, keep(R.postings(ko, "rec_no", both)), asked, 20)
     grades = R.shared_key_grades(pool, ko, "rec_no", ["project_id", "project_acronym"], ["themes", "topics", "subcategories"])
     return grades.withColumn("grade", F.col("grade").cast("long"))
 
@@ -116,7 +116,7 @@ def graded_pool(spark, sf_dir):
 def query_term_leakage(spark, sf_dir):
     """How many words of queries made from the text stand in the title of the same record."""
     ko = _ko(spark, sf_dir)
-    body = R.postings(ko, "rec_no", F.col("ko_content_flat")).persist()
+    body = keep(R.postings(ko, "rec_no", F.col("ko_content_flat")))
     asked = R.pseudo_queries(body, R.corpus_size(ko, body))
     leak = R.term_leakage(asked, R.postings(ko, "rec_no", F.col("title")))
     return leak.select("n_queries", F.round("leakage", 4).alias("leakage"))

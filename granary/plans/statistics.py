@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.operators import ranks, statistics, vectors
 from granary.sources.tables import table
+from granary.session import keep
 
 
 def _t(spark, sf_dir, name):
@@ -38,23 +39,23 @@ def _lengths(spark, sf_dir):
 
 def length_bias(spark, sf_dir):
     """Rank correlation of text measures with the number of words."""
-    rows = _lengths(spark, sf_dir).persist()
+    rows = keep(_lengths(spark, sf_dir))
     out = [ranks.spearman(rows, m, "n_words").select(F.lit(m).alias("metric"), "n", F.round("rho", 4).alias("rho")) for m in ("mean_word", "ttr")]
     return out[0].unionByName(out[1])
 
 
 def calibration_bins(spark, sf_dir):
-    rows = statistics.calibration_bins(_lengths(spark, sf_dir).persist(), "mean_word", "is_en", 10, 30)
+    rows = statistics.calibration_bins(keep(_lengths(spark, sf_dir)), "mean_word", "is_en", 10, 30)
     return rows.select("bin", "low", "high", "n", F.round("p", 6).alias("p"))
 
 
 def area_under_curve(spark, sf_dir):
-    return _r(statistics.area_under_curve(_lengths(spark, sf_dir).persist(), "mean_word", "is_en"), "auc")
+    return _r(statistics.area_under_curve(keep(_lengths(spark, sf_dir)), "mean_word", "is_en"), "auc")
 
 
 def drift_ks(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").select("value", (F.col("ts") >= "2024-01-16").cast("long").alias("is_new"))
-    return _r(statistics.drift(rows.persist(), "value", "is_new"), "ks")
+    return _r(statistics.drift(keep(rows), "value", "is_new"), "ks")
 
 
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -116,9 +116,24 @@ def test_bm25_against_brute_force(spark):
         if s:
             want[7, d] = s
     assert got == pytest.approx(want)
-    targets = spark.createDataFrame([(7, 3), (8, 1)], "query long, doc long")
-    ranks_ = {r["query"]: r["rank"] for r in retrieval.middle_rank(retrieval.bm25(posted, retrieval.corpus_size(df, posted), queries), targets, retrieval.corpus_size(df, posted)).collect()}
-    assert ranks_ == {7: 1 + 2 + 2 / 2, 8: 5.0}
+    asked = spark.createDataFrame([(3, "soil"), (3, "crop"), (1, "none"), (4, "crop"), (4, "soil")], "query long, term string")
+    for block in (1, 100):
+        ranks_ = {r["query"]: r["rank"] for r in retrieval.own_ranks(df, "doc_id", F.col("text"), posted, asked, block=block).collect()}
+        assert ranks_ == {3: 1 + 2 + 2 / 2, 1: 5.0, 4: 1.0}
+        found = {(r["query"], r["doc"]): (r["score"], r["rank"]) for r in retrieval.search(df, "doc_id", F.col("text"), posted, queries, 5, block=block).collect()}
+        assert {k: v[0] for k, v in found.items()} == pytest.approx(want) and found[7, 4][1] == 1
+
+
+def test_search_keeps_the_best_of_many_ties(spark):
+    rows = [(i, "soil", "x") for i in range(3000)] + [(5000, "soil crop", "y"), (5001, None, "y"), (5002, "soil", "y")]
+    df = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, text string, source string, score double").repartition(5)
+    posted = retrieval.postings(df, "doc_id", F.col("text"), "source")
+    asked = spark.createDataFrame([(q, "soil") for q in range(6)], "query long, term string")
+    got = retrieval.search(df, "doc_id", F.col("text"), posted, asked, 4, part="source").collect()
+    for q in range(6):
+        assert sorted((r["rank"], r["doc"]) for r in got if r["part"] == "x" and r["query"] == q) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+        assert sorted((r["rank"], r["doc"]) for r in got if r["part"] == "y" and r["query"] == q) == [(1, 5002), (2, 5000)]
+    assert retrieval.search(df, "doc_id", F.col("text"), posted, asked.limit(0), 4).collect() == []
 
 
 def test_graded_measures(spark):
@@ -245,9 +260,9 @@ def test_nearest_equals_brute_force(spark):
     x = rng.normal(size=(120, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None)], "id long, v array<double>").repartition(5)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    for block in (1, 1000):
+    for bytes_ in (100, 10**8):
         got = {}
-        for r in vectors.nearest(df, "id", "v", every=40, k=5, block=block).collect():
+        for r in vectors.nearest(df, "id", "v", every=40, k=5, most_bytes=bytes_).collect():
             got.setdefault(r["query"], []).append((r["rank"], r["neighbour"]))
         for q in (0, 40, 80):
             order = [i for i in np.argsort(-(unit @ unit[q]), kind="stable") if i != q][:5]
@@ -255,6 +270,19 @@ def test_nearest_equals_brute_force(spark):
     assert vectors.nearest(df.limit(0), "id", "v").collect() == []
 
 
+def test_rank_of_own_vector(spark):
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(60, 6)), rng.normal(size=(60, 6))
+    x[1] = x[0]
+    df = spark.createDataFrame([(i, x[i].tolist(), q[i].tolist()) for i in range(60)], "id long, v array<double>, q array<double>").repartition(4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for bytes_ in (100, 10**8):
+        got = {r["id"]: r["rank"] for r in vectors.rank_of_own(df, "id", "q", "v", every=20, most_bytes=bytes_).collect()}
+        for i in (0, 20, 40):
+            s = np.round(unit @ (q[i] / np.linalg.norm(q[i])), 9)
+            assert got[i] == 1 + (s > s[i]).sum() + ((s == s[i]).sum() - 1) / 2
+
+
 def test_coherence_equals_all_pairs(spark):
     x = np.random.default_rng(1).normal(size=(20, 4))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)

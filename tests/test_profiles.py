@@ -9,20 +9,24 @@ from granary.operators import ablation, filters, inference, profiles, retrieval,
 from granary.sources import writers
 
 
-def test_sentences_mind_abbreviations():
-    assert sentences.split_sentences("Use approx. Ten kg, e.g. Rye. The farm (see p. 9) gains. Next one!") == ["Use approx.", "Ten kg, e.g. Rye.", "The farm (see p. 9) gains.", "Next one!"]
-    assert sentences.split_sentences("") == [] and sentences.split_sentences("no stop") == ["no stop"]
+def test_sentences_mind_abbreviations(spark):
+    texts = ["Use approx. Ten kg, e.g. Rye. The farm (see p. 9) gains. Next one!", "", "no stop", None, " \n", "Ask (Dr. Ohm) now?  «Yes.» He did... Then 5 more."]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(sentences.split_sentences(F.col("t"))).collect()]
+    assert got[0] == ["Use approx.", "Ten kg, e.g. Rye.", "The farm (see p. 9) gains.", "Next one!"]
+    assert got[1:5] == [[], ["no stop"], [], []] and got[5] == ["Ask (Dr. Ohm) now?", "«Yes.»", "He did...", "Then 5 more."]
 
 
-def test_pack_keeps_every_word():
+def test_pack_keeps_every_word(spark):
     parts = ["a b c.", "d e.", "f " * 11]
-    chunks = sentences.pack(parts, 5)
-    assert " ".join(chunks).split() == " ".join(parts).split() and all(len(c.split()) <= 5 for c in chunks)
+    df = spark.createDataFrame([(parts,), ([],)], "p array<string>")
+    chunks, none = [r[0] for r in df.select(sentences.pack(F.transform("p", lambda x: F.trim(x)), 5)).collect()]
+    assert " ".join(chunks).split() == " ".join(parts).split() and all(len(c.split()) <= 5 for c in chunks) and chunks[0] == "a b c. d e." and none == []
 
 
 def test_acronyms():
-    found, open_ = sentences.acronyms("Common Agricultural Policy (CAP), TERRA, Food and Agriculture Organization FAO")
-    assert found == ["CAP", "TERRA", "FAO"] and open_ == ["TERRA"]
+    found, open_ = sentences.acronyms("Common Agricultural Policy (CAP), TERRA, Food and Agriculture Organization FAO, ABCDEFGHIJKLM, G20 B2")
+    assert found == ["CAP", "TERRA", "FAO", "ABCDEFGHIJKLM"] and open_ == ["TERRA", "ABCDEFGHIJKLM"]
+    assert sentences.explained("AB", ["a", *["of"] * 4, "b"]) and not sentences.explained("AB", ["a", *["of"] * 5, "b"]) and not sentences.explained("AB", ["a", "long", "b"])
 
 
 def test_funnel(spark):
