@@ -281,8 +281,13 @@ def key_terms(posted: DataFrame, n_docs: DataFrame, k: int, most_share: float =
 
     Words of at least three letters; words that over ``most_share`` of all documents have count as function words and are left out.
     """
+    return key_terms_by(posted, document_frequency(posted), n_docs, k, most_share)
+
+
+def key_terms_by(posted: DataFrame, frequency: DataFrame, n_docs: DataFrame, k: int, most_share: float = 0.2) -> DataFrame:
+    """As key_terms, by document frequencies (term, df) that may come from another corpus; terms that it lacks are left out."""
     words = posted.where(F.regexp_like("term", F.lit(r"^\p{L}{3,}$")))
-    freq = document_frequency(words).crossJoin(F.broadcast(n_docs)).where(F.col("df") <= most_share * F.col("n_docs"))
+    freq = frequency.crossJoin(F.broadcast(n_docs.select("n_docs"))).where(F.col("df") <= most_share * F.col("n_docs"))
     scored = words.join(freq, "term").withColumn("w", F.round((1 + F.ln("tf")) * F.ln((F.col("n_docs") + 1) / (F.col("df") + 1)), 6))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("w"), "term")))
     return ranked.where(F.col("rank") <= k).select("doc", "rank", "term")

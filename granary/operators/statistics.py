@@ -198,7 +198,7 @@ def wasserstein(df: DataFrame, value: str, is_new: str) -> DataFrame:
     """One row: the area between the two samples' cumulative shares. Values are counted up in two levels and joined to the next greater one."""
     rows = df.where(F.col(value).isNotNull())
     counts = rows.groupBy(value).agg(F.sum(F.col(is_new).cast("long")).alias("x"), F.count("*").alias("c"))
-    up = cumulative_sum(counts, value, "x").join(cumulative_sum(counts, value, "c"), value)
+    up = cumulative_sum(counts, value, "x").join(cumulative_sum(counts, value, "c").withColumnRenamed("x_up_to", "c_up_to"), value)
     total = rows.agg(F.sum(F.col(is_new).cast("long")).alias("n_new"), F.count("*").alias("n"))
     # The area is the sum over values v of v times how much the distance changes there, in two runs: after the value and before it.
     gap = lambda x, c: F.abs(x / F.col("n_new") - (c - x) / (F.col("n") - F.col("n_new")))
@@ -221,10 +221,11 @@ def principal_weights(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def redundant_pairs(df: DataFrame, columns: list[str], cut: float = 0.9) -> DataFrame:
     """(a, b, corr): pairs of columns whose correlation is at least ``cut`` either way, and (a, null, null) for a column that does not vary."""
-    found = correlations(df, columns).where(F.abs("corr") >= cut)
-    spread = df.agg(*[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(c) for c in columns])
-    flat = spread.select(F.inline(F.array(*[F.struct(F.lit(c).alias("a"), F.col(c).alias("flat")) for c in columns]))).where("flat")
-    return found.unionByName(flat.select("a", F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("corr")))
+    row = df.agg(*[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(c) for c in columns]).first()
+    flat = [c for c in columns if row[c]]
+    varied = [c for c in columns if not row[c]]
+    alone = df.sparkSession.createDataFrame([(c, None, None) for c in flat], "a string, b string, corr double")
+    return correlations(df, varied).where(F.abs("corr") >= cut).unionByName(alone) if len(varied) > 1 else alone
 
 
 def problem_raters(votes: DataFrame, items: list[str], rater: str, vote: str, least_share: float = 0.6) -> DataFrame:

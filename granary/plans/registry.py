@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("packed", "quality", "retrieval", "behaviour", "records", "statistics", "composites", "audit", "profiles")
+MODULES = ("packed", "quality", "retrieval", "behaviour", "records", "statistics", "composites", "audit", "profiles", "fields")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
