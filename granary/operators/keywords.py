@@ -1,8 +1,8 @@
 """Problem 7: several values packed in one field.
 
 Which signs separate values is inferred for each source and field from the whole table: a candidate counts
-by how regularly it cuts strings into several pieces, and by how many of the pieces also stand elsewhere as whole
-values. Then every string is cut at the signs of its source, outside quotes, and exploded with position.
+by how consistently it cuts strings into several pieces, by how regular the pieces' type is, and by how many of the pieces
+also stand elsewhere as whole values. Then every string is cut at the signs of its source, outside quotes, and exploded with position.
 """
 
 from __future__ import annotations
@@ -110,6 +110,18 @@ def clean_value(value: str) -> str:
     return value
 
 
+_text_like = re.compile(r"[^\W\d_][\w '’&/().-]*").fullmatch
+_number_like = re.compile(r"[\d.,%+-]+").fullmatch
+
+
+def piece_type(piece: str) -> str:
+    """What a piece looks like: text of one word, of a few words, or of many, a number, or anything else."""
+    if _text_like(piece):
+        n = piece.count(" ")
+        return "word" if not n else "phrase" if n < 6 else "prose"
+    return "number" if _number_like(piece) else "other"
+
+
 def _key(value: str) -> str:
     return clean_value(value).lower()
 
@@ -124,11 +136,15 @@ def _fields(df: DataFrame, key: str, fields: tuple[str, ...], source: str | None
     return df.select(F.col(key).alias("k"), name.alias("s"), F.inline(F.array(*each))).where("items IS NOT NULL")
 
 
+#: Types that count as one when regularity is measured.
+_TYPES = (("word", "phrase"), ("prose",), ("number",), ("other",))
+
+
 def infer_separators(df: DataFrame, key: str, fields: tuple[str, ...], source: str | None, threshold: float = 0.25, prior: float = 8.0) -> DataFrame:
-    """(s, f, separator, n_strings, several, known, score, accepted) for each source, field and candidate that occurs.
+    """(s, f, separator, n_strings, several, regular, known, score, accepted) for each source, field and candidate that occurs.
 
-    ``several`` is the share of strings that the candidate cuts into at least two non-empty pieces (consistency), ``known`` the share of pieces
-    that are whole values somewhere in the table (regularity); a sign is accepted where their product reaches the threshold. ``prior`` pieces of the
+    ``several`` is the share of strings that the candidate cuts into at least two non-empty pieces (consistency), ``regular`` the share of pieces of the
+    commonest types, words and phrases being one, ``known`` the share of pieces that are whole values somewhere in the table; a sign is accepted where their product reaches the threshold. ``prior`` pieces of the
     usual behaviour of the sign are added, so that rare ones keep it. Pieces are counted per batch before they are shuffled, by piece, so neither a
     source nor a value that has a third of all rows goes through one task row by row.
     """
@@ -152,6 +168,7 @@ def infer_separators(df: DataFrame, key: str, fields: tuple[str, ...], source: s
                         seen[s, f, name, "\x01several" if len(pieces) > 1 else "\x01one"] += 1
                         for p in pieces if len(pieces) > 1 else ():
                             seen[s, f, name, p] += 1
+                            seen[s, f, name, "\x02" + piece_type(p)] += 1
                     if not marked:
                         seen["", "", "", _key(item)] += 1
             return [*map(list, zip(*seen)), list(seen.values())] if seen else [[]] * 5
@@ -162,17 +179,20 @@ def infer_separators(df: DataFrame, key: str, fields: tuple[str, ...], source: s
     counts = keep(counts.groupBy("piece", "s", "f", "c").agg(F.sum("n").alias("n")))
     whole = counts.where("c = ''").select("piece").distinct().withColumn("whole", F.lit(True))
     judged = counts.where("c <> ''").join(whole, "piece", "left")
-    is_piece = ~F.startswith("piece", F.lit("\x01"))
+    is_piece = F.col("piece") >= "\x03"
     sums = judged.groupBy("s", "f", "c").agg(
-        F.coalesce(F.sum(F.when(~is_piece, F.col("n"))), F.lit(0)).alias("n_strings"),
+        F.coalesce(F.sum(F.when(F.startswith("piece", F.lit("\x01")), F.col("n"))), F.lit(0)).alias("n_strings"),
         F.coalesce(F.sum(F.when(F.col("piece") == "\x01several", F.col("n"))), F.lit(0)).alias("n_several"),
         F.coalesce(F.sum(F.when(is_piece, F.col("n"))), F.lit(0)).alias("n_pieces"),
         F.coalesce(F.sum(F.when(is_piece & F.col("whole"), F.col("n"))), F.lit(0)).alias("n_known"),
+        *[F.coalesce(F.sum(F.when(F.col("piece").isin(*["\x02" + t for t in types]), F.col("n"))), F.lit(0)).alias(f"n_{types[0]}") for types in _TYPES],
     )
     usual = F.col("c").isin([c for c, (_, yes) in CANDIDATES.items() if yes]).cast("double")
     several = (F.col("n_several") + prior) / (F.col("n_strings") + prior)
     known = (F.col("n_known") + prior * usual) / (F.col("n_pieces") + prior)
-    return sums.select("s", "f", F.col("c").alias("separator"), "n_strings", several.alias("several"), known.alias("known"), (several * known).alias("score"), (several * known >= threshold).alias("accepted"))
+    regular = (F.greatest(*[F.col(f"n_{types[0]}") for types in _TYPES]) + prior) / (F.col("n_pieces") + prior)
+    score = several * regular * known
+    return sums.select("s", "f", F.col("c").alias("separator"), "n_strings", several.alias("several"), regular.alias("regular"), known.alias("known"), score.alias("score"), (score >= threshold).alias("accepted"))
 
 
 def split_values(
