@@ -9,9 +9,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from granary.functions.arrow import map_columns
 
@@ -127,3 +130,19 @@ def ngram_repetition(df: DataFrame, key: str, text: str) -> DataFrame:
 
     schema = f"k {kind}, " + ", ".join(f"{n} double" for n in names)
     return map_columns(df.select(F.col(key).alias("k"), F.col(text).alias("t")), make, schema).withColumnRenamed("k", key)
+
+
+def with_ngram_flags(df: DataFrame, text: str, top: dict[int, float], cover: dict[int, float]) -> DataFrame:
+    """The rows with ``top_ngrams_high`` and ``cover_ngrams_high``: whether the share of any size of n-gram is over its limit. Batches pass through, nothing is shuffled."""
+    schema = StructType([*df.schema.fields, StructField("top_ngrams_high", BooleanType()), StructField("cover_ngrams_high", BooleanType())])
+    names = [f.name for f in schema.fields]
+    limits = [top[n] for n in TOP_SIZES], [cover[n] for n in COVER_SIZES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = [ngram_shares(t) for t in batch[text].to_pylist()]
+            cut = len(TOP_SIZES)
+            flags = [pa.array([any(x > y for x, y in zip(part(s), of)) for s in shares], pa.bool_()) for part, of in ((lambda s: s[:cut], limits[0]), (lambda s: s[cut:], limits[1]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *flags], names=names)
+
+    return df.mapInArrow(run, schema)

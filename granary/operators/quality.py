@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.operators.lexical import with_ngram_flags
+from granary.operators.retrieval import postings
 
 # Published thresholds of web-text filters.
-QUALITY = {"min_words": 50, "max_words": 100_000, "min_mean_word": 3, "max_mean_word": 10, "max_symbols": 0.1, "max_bullets": 0.9, "max_ellipses": 0.3, "min_alpha": 0.8}
+QUALITY = {"min_words": 50, "max_words": 100_000, "min_mean_word": 3, "max_mean_word": 10, "max_symbols": 0.1, "max_bullets": 0.9, "max_ellipses": 0.3, "min_alpha": 0.8, "min_stop_words": 2}
 REPETITION = {"dup_lines": 0.3, "dup_paragraphs": 0.3, "dup_line_chars": 0.2, "dup_paragraph_chars": 0.2}
 TOP_NGRAMS = {2: 0.20, 3: 0.18, 4: 0.16}
 COVER_NGRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -62,13 +64,35 @@ def word_statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def filter_flags(df: DataFrame, key: str, text: str) -> DataFrame:
+def frequent_words(df: DataFrame, text: str, lang: str, n: int = 8) -> dict[str, list[str]]:
+    """The ``n`` words of letters alone that each language's texts use most; of equals the first in order. One short list per language is collected.
+
+    Words are counted where they are read, by batch, so a language that a third of all texts have sends one row per word and batch.
+    """
+    counts = postings(df, lang, F.col(text)).groupBy("doc", "term").agg(F.sum("tf").alias("n")).where(F.regexp_like("term", F.lit(r"^\p{L}+$")))
+    ranked = counts.withColumn("i", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("n"), "term"))).where(F.col("i") <= n)
+    out: dict[str, list[str]] = {}
+    for r in ranked.where(F.col("doc").isNotNull()).orderBy("doc", "i").collect():
+        out.setdefault(r["doc"], []).append(r["term"])
+    return out
+
+
+def filter_flags(df: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
     """(key, statistics, one boolean per filter, n_raised).
 
-    Null and empty texts count as texts without words. The measures are one projection; the flags read them, so nothing is computed twice and nothing is shuffled.
+    Null and empty texts count as texts without words. The measures are one projection and one pass of batches; the flags read them, so nothing is computed
+    twice and nothing is shuffled. Fewer than two of its language's most frequent words raise ``stop_words_low``; without ``lang``, or for a null one, it is not raised.
     """
     t = F.col(text)
-    wide = df.select(F.col(key), *[c.alias(n) for n, c in (word_statistics(t) | line_statistics(t)).items()], F.lower(F.coalesce(t, F.lit(""))).alias("_low"))
+    stops = F.lit(None).cast("array<string>")
+    if lang:
+        known = frequent_words(df, text, lang)
+        pairs = [x for name, words in known.items() for x in (F.lit(name), F.array(*[F.lit(w) for w in words]))]
+        stops = F.try_element_at(F.create_map(*pairs), F.col(lang)) if pairs else stops
+    few_stops = F.coalesce(F.size(F.array_intersect(T.words(t), stops)) < QUALITY["min_stop_words"], F.lit(False))
+    flagged = with_ngram_flags(df.select(F.col(key), F.col(text).alias("_text"), few_stops.alias("_few_stops")), "_text", TOP_NGRAMS, COVER_NGRAMS)
+    t = F.col("_text")
+    wide = flagged.select(F.col(key), *[c.alias(n) for n, c in (word_statistics(t) | line_statistics(t)).items()], F.lower(F.coalesce(t, F.lit(""))).alias("_low"), "_few_stops", "top_ngrams_high", "cover_ngrams_high")
     c = F.col
     some = c("n_words") > 0
     several = c("n_lines") > 1
@@ -80,10 +104,13 @@ def filter_flags(df: DataFrame, key: str, text: str) -> DataFrame:
         "bullets_high": c("bullet_lines") > QUALITY["max_bullets"],
         "ellipses_high": c("ellipsis_lines") > QUALITY["max_ellipses"],
         "alpha_low": some & (c("alpha_words") < QUALITY["min_alpha"]),
+        "stop_words_low": c("_few_stops"),
         "dup_lines_high": c("dup_lines") > REPETITION["dup_lines"],
         "dup_paragraphs_high": c("dup_paragraphs") > REPETITION["dup_paragraphs"],
         "dup_line_chars_high": c("dup_line_chars") > REPETITION["dup_line_chars"],
         "dup_paragraph_chars_high": c("dup_paragraph_chars") > REPETITION["dup_paragraph_chars"],
+        "top_ngrams_high": c("top_ngrams_high"),
+        "cover_ngrams_high": c("cover_ngrams_high"),
         "web_few_punctuated": several & (c("punctuated_lines") <= WEB["punctuated"]),
         "web_dup_chars": c("dup_line_chars") >= WEB["dup_chars"],
         "web_short_lines": several & (c("short_lines") >= WEB["short_lines"]),
@@ -91,13 +118,14 @@ def filter_flags(df: DataFrame, key: str, text: str) -> DataFrame:
         "curly_bracket": F.contains("_low", F.lit("{")),
         "javascript": F.contains("_low", F.lit("javascript")),
     }
-    out = wide.select("*", *[f.alias(n) for n, f in flags.items()]).drop("_low")
+    kept = [n for n in wide.columns if n not in flags and n not in ("_low", "_few_stops")]
+    out = wide.select(*kept, *[f.alias(n) for n, f in flags.items()])
     return out.withColumn("n_raised", sum((c(n).cast("long") for n in flags), F.lit(0).cast("long")))
 
 
 FLAGS = (
-    "few_words many_words mean_word_out symbols_high bullets_high ellipses_high alpha_low dup_lines_high dup_paragraphs_high dup_line_chars_high "
-    "dup_paragraph_chars_high web_few_punctuated web_dup_chars web_short_lines lorem_ipsum curly_bracket javascript"
+    "few_words many_words mean_word_out symbols_high bullets_high ellipses_high alpha_low stop_words_low dup_lines_high dup_paragraphs_high dup_line_chars_high "
+    "dup_paragraph_chars_high top_ngrams_high cover_ngrams_high web_few_punctuated web_dup_chars web_short_lines lorem_ipsum curly_bracket javascript"
 ).split()
 
 

@@ -51,7 +51,8 @@ def _rounded(df, places=6):
 
 
 def quality_filters(spark, sf_dir):
-    return _rounded(quality.filter_flags(_docs(spark, sf_dir), "doc_id", "text"))
+    docs = _docs(spark, sf_dir).withColumn("lang", F.lower(F.trim("lang")))
+    return _rounded(quality.filter_flags(docs, "doc_id", "text", "lang"))
 
 
 def repetition_lines(spark, sf_dir):
@@ -64,8 +65,8 @@ def ngram_repetition(spark, sf_dir):
 
 
 def filter_summary_by_lang(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", "text", F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"))
-    flagged = quality.filter_flags(docs.withColumn("both", F.struct("doc_id", "lang")), "both", "text").withColumn("lang", F.col("both.lang"))
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), F.lower(F.trim("lang")).alias("label"))
+    flagged = quality.filter_flags(docs.withColumn("both", F.struct("doc_id", "lang")), "both", "text", "label").withColumn("lang", F.col("both.lang"))
     return _rounded(quality.flag_summary(flagged, "lang"))
 
 
@@ -110,8 +111,8 @@ f AS (SELECT doc_id, n_chars, n_words, mean_word, symbol_share, alpha_words, n_l
   n_words < 50 AS few_words, n_words > 100000 AS many_words, n_words > 0 AND NOT (mean_word BETWEEN 3 AND 10) AS mean_word_out, n_words > 0 AND symbol_share > 0.1 AS symbols_high, bullet_lines > 0.9 AS bullets_high,
   ellipsis_lines > 0.3 AS ellipses_high, n_words > 0 AND alpha_words < 0.8 AS alpha_low, dup_lines > 0.3 AS dup_lines_high, dup_paragraphs > 0.3 AS dup_paragraphs_high, dup_line_chars > 0.2 AS dup_line_chars_high,
   dup_paragraph_chars > 0.2 AS dup_paragraph_chars_high, n_lines > 1 AND punctuated_lines <= 0.12 AS web_few_punctuated, dup_line_chars >= 0.1 AS web_dup_chars, n_lines > 1 AND short_lines >= 0.67 AS web_short_lines,
-  contains(lower(text), 'lorem ipsum') AS lorem_ipsum, contains(text, '{') AS curly_bracket, contains(lower(text), 'javascript') AS javascript FROM s)
-"""
+  contains(lower(text), 'lorem ipsum') AS lorem_ipsum, contains(text, '{') AS curly_bracket, contains(lower(text), 'javascript') AS javascript FROM s),
+w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM d), """
 _STATS = "n_chars n_words mean_word symbol_share alpha_words n_lines n_paragraphs dup_lines dup_line_chars dup_paragraphs dup_paragraph_chars bullet_lines ellipsis_lines punctuated_lines short_lines".split()
 _SHOWN = ", ".join(s if s.startswith("n_") else f"round({s}, 6) AS {s}" for s in _STATS)
 _RAISED = " + ".join(f"{f}::BIGINT" for f in quality.FLAGS)
@@ -138,6 +139,15 @@ _NGRAMS = (
     + " FROM w " + " ".join(f"LEFT JOIN b{n} ON b{n}.doc_id = w.doc_id" for n in range(2, 11))
 )
 
+_LINES += ", ".join([_top(n) for n in lexical.TOP_SIZES] + [_cover(n) for n in lexical.COVER_SIZES])
+_over = lambda limits: " OR ".join(f"coalesce(b{n}.x, 0) / greatest(length(text), 1) > {x}" for n, x in limits.items())
+_LINES += (
+    rf""", v AS (SELECT w.doc_id, lower(trim(lang, ' ')) AS lang, ws FROM w JOIN documents USING (doc_id)), y AS (SELECT lang, unnest(ws) AS t FROM v WHERE lang IS NOT NULL), z AS (SELECT lang, t, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, t) AS i FROM y WHERE regexp_matches(t, '^\p{{L}}+$') GROUP BY lang, t),
+ q AS (SELECT lang, list(t) AS stops FROM z WHERE i <= 8 GROUP BY lang), o AS (SELECT doc_id, CASE WHEN stops IS NULL THEN false ELSE len(list_intersect(ws, stops)) < 2 END AS stop_words_low FROM v LEFT JOIN q USING (lang)),
+ n3 AS (SELECT w.doc_id, {_over(quality.TOP_NGRAMS)} AS top_ngrams_high, {_over(quality.COVER_NGRAMS)} AS cover_ngrams_high FROM w {" ".join(f"LEFT JOIN b{n} ON b{n}.doc_id = w.doc_id" for n in range(2, 11))}),
+ fl AS (SELECT * FROM f JOIN o USING (doc_id) JOIN n3 USING (doc_id)) """
+)
+
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 QUERIES = {
@@ -160,10 +170,10 @@ ORACLES = {
     "flesch": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:''[a-z0-9]+)?') AS ws FROM documents),
  c AS (SELECT doc_id, len(ws) AS n, greatest(1, len(regexp_extract_all(t, '[.!?]+(\s|$)'))) AS s, list_sum(list_transform(ws, lambda w: greatest(1, len(regexp_extract_all(w, '[aeiouy]+')) - CASE WHEN regexp_matches(w, '[^aeiouy]e$') AND len(regexp_extract_all(w, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END))) AS y FROM d)
  SELECT doc_id, CASE WHEN n > 0 THEN round(206.835::DOUBLE - 1.015::DOUBLE * n / s - 84.6::DOUBLE * y / n, 4) END AS flesch FROM c""",
-    "quality_filters": _LINES + f"SELECT doc_id, {_SHOWN}, {', '.join(quality.FLAGS)}, {_RAISED} AS n_raised FROM f",
-    "repetition_lines": _LINES + "SELECT doc_id, round(dup_lines, 6) AS dup_lines, round(dup_line_chars, 6) AS dup_line_chars, round(dup_paragraphs, 6) AS dup_paragraphs, round(dup_paragraph_chars, 6) AS dup_paragraph_chars FROM f",
+    "quality_filters": _LINES + f"SELECT doc_id, {_SHOWN}, {', '.join(quality.FLAGS)}, {_RAISED} AS n_raised FROM fl",
+    "repetition_lines": _LINES + "SELECT doc_id, round(dup_lines, 6) AS dup_lines, round(dup_line_chars, 6) AS dup_line_chars, round(dup_paragraphs, 6) AS dup_paragraphs, round(dup_paragraph_chars, 6) AS dup_paragraph_chars FROM fl",
     "ngram_repetition": _NGRAMS,
-    "filter_summary_by_lang": _LINES + f""", u AS (UNPIVOT (SELECT doc_id, {', '.join(f'{f}::BIGINT AS {f}' for f in quality.FLAGS)} FROM f) ON {', '.join(quality.FLAGS)} INTO NAME flag VALUE v), g AS (SELECT doc_id, coalesce(lower(trim(lang)), '') AS lang FROM documents), n AS (SELECT lang, count(*) AS total FROM g GROUP BY lang)
+    "filter_summary_by_lang": _LINES + f""", u AS (UNPIVOT (SELECT doc_id, {', '.join(f'{f}::BIGINT AS {f}' for f in quality.FLAGS)} FROM fl) ON {', '.join(quality.FLAGS)} INTO NAME flag VALUE v), g AS (SELECT doc_id, coalesce(lower(trim(lang)), '') AS lang FROM documents), n AS (SELECT lang, count(*) AS total FROM g GROUP BY lang)
  SELECT lang, flag, sum(v)::BIGINT AS n, round(sum(v) / any_value(total), 6) AS share FROM u JOIN g USING (doc_id) JOIN n USING (lang) GROUP BY lang, flag HAVING sum(v) > 0""",
     "sentence_stats": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]\s+'), lambda x: regexp_matches(x, '[^\s\p{Z}]')) AS ss FROM documents),
  n AS (SELECT doc_id, list_transform(ss, lambda s: len(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(s), 'https?://\S+|www\.\S+', ' ', 'g'), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda t: length(t) >= 2))) AS n FROM d)
