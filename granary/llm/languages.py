@@ -302,22 +302,61 @@ def sampled_units(text: str | None, keywords: list[str] | None, per_row: int) ->
     return cut + [(False, u) for u in drawn([w for _, w in Units.of_keywords(keywords or [])])]
 
 
+def of_own_label(rows: list[tuple[list[tuple[bool, list[str]]], str]]) -> set[tuple[int, bool]]:
+    """(row number, prose?) of what is written in the language of its row's label, of (units, code) rows.
+
+    Each word votes for labels as all units of the sample have it, in two rounds, of prose first and then of what agreed; what has no known word stays. This
+    has to come before any balance of the languages, which gives a common language's texts under a rare language's label more weight than under their own.
+    """
+    number: dict[str, int] = {}
+    group: dict[tuple[int, bool], int] = {}
+    words, at = [], []
+    for n, (cut, _) in enumerate(rows):
+        for form, unit in cut:
+            g = group.setdefault((n, form), len(group))
+            for w in unit:
+                words.append(number.setdefault(w, len(number)))
+                at.append(g)
+    if not words:
+        return set()
+    words, at = np.array(words, np.int64), np.array(at, np.int64)
+    y = np.array([LANGUAGES.index(rows[n][1]) for n, _ in group])
+    prose = np.array([form for _, form in group])
+    used = prose | ~np.isin(y, y[prose])
+    for _ in range(2):
+        seen = used[at]
+        counts = np.bincount(y[at[seen]] * len(number) + words[seen], minlength=len(LANGUAGES) * len(number)).reshape(len(LANGUAGES), -1)
+        share = counts / np.maximum(counts.sum(0), 1)
+        votes = np.stack([np.bincount(at, s[words], len(group)) for s in share])
+        used = (votes.argmax(0) == y) | (votes.max(0) == 0)
+    return {g for g, own in zip(group, used) if own}
+
+
 def units_of_sample(rows: list[tuple[list[tuple[bool, list[str]]], list[str]]], most_units: int) -> tuple[list, list, list, list]:
-    """Units with label, row number and style, of (units, labels) rows: a third of each language's share are keywords, the style of lists."""
+    """Units with label, row number and style, of (units, labels) rows: a third of each language's share are keywords, the style of lists.
+
+    Rows whose units are not in the language of their label give none; of the others, each gives its first before any gives its second.
+    """
+    coded = [(cut, codes[0]) for cut, labels in rows if len(codes := [c for c in label_codes(labels) if c in FAMILIES]) == 1]
+    own = of_own_label(coded)
+    turns = []
+    for number, (cut, code) in enumerate(coded):
+        nth = {True: 0, False: 0}
+        for form, words in cut:
+            if (number, form) in own:
+                turns.append((nth[form], number, form, words, code))
+                nth[form] += 1
+    turns.sort(key=lambda x: x[:2])
     units, langs, numbers, prose = [], [], [], []
     share = most_units // len(LANGUAGES)
     room = {(lang, form): share * part // 3 for lang in LANGUAGES for form, part in ((True, 2), (False, 1))}
-    for number, (cut, labels) in enumerate(rows):
-        codes = [c for c in label_codes(labels) if c in FAMILIES]
-        if len(codes) != 1:
-            continue
-        for form, words in cut:
-            if room[codes[0], form] > 0:
-                room[codes[0], form] -= 1
-                units.append(words)
-                langs.append(codes[0])
-                numbers.append(number)
-                prose.append(form)
+    for _, number, form, words, code in turns:
+        if room[code, form] > 0:
+            room[code, form] -= 1
+            units.append(words)
+            langs.append(code)
+            numbers.append(number)
+            prose.append(form)
     return units, langs, numbers, prose
 
 

@@ -95,6 +95,27 @@ def test_pair_machines_on_held_out_text():
         assert languages.judge(units, lab.scores([w for _, w in units]), "prose")[0].lang == lang
 
 
+def test_common_language_under_labels_of_a_rare_one():
+    """Half of the Italian labels stand on English texts of a kind that comes late in the English share."""
+    learned = "The microbial decomposition dynamics substantiates the institutional preconditions. The bioeconomic optimisation model conditions the heterogeneous infiltration capacity. "
+    plain = [(SAMPLES["en"] * 2, ["en"])] * 15
+    labelled = [*plain, *[(learned, ["en"])] * 20, *plain * 3, *[(SAMPLES[x] * 2, [x]) for x in SAMPLES if x != "en"] * 4, *[(learned, ["it"])] * 4]
+    rows = [(languages.sampled_units(t, None, 6), l) for t, l in labelled]
+    units, langs, _, _ = languages.units_of_sample(rows, 420)
+    assert not [u for u, x in zip(units, langs) if x == "it" and "microbial" in u]
+    assert [u for u, x in zip(units, langs) if x == "en" and "microbial" in u]
+    lab = languages.Labeller(languages.train(*languages.units_of_sample(rows, 420)))
+    for text, want in ((learned, ["en"]), (SAMPLES["it"], ["it"]), (SAMPLES["en"] + " " + learned, ["en"])):
+        cut = languages.Units.of_text(text, False)
+        assert [f.lang for f in languages.judge(cut, lab.scores([w for _, w in cut]), "prose")] == want
+
+
+def test_own_label_without_prose_or_rows():
+    assert languages.units_of_sample([], 700) == ([], [], [], []) and languages.of_own_label([]) == set()
+    rows = [([(False, ["soil", "health"])], "en"), ([(False, ["santé", "sol"])], "fr"), ([], "de")]
+    assert languages.of_own_label(rows) == {(0, False), (1, False)}
+
+
 def test_passages_stand_where_they_are_in_the_text(spark):
     text = SAMPLES["fr"] * 12 + " " + SAMPLES["pl"] + " " + SAMPLES["pl"] + " (" + "note " * 20 + ") H e l l o.\n"
     df = spark.createDataFrame([*corpus(), (900, text, None, ["fr"])], "rec_no long, ko_content_flat string, keywords array<string>, languages array<string>")
