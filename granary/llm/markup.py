@@ -15,7 +15,7 @@ import html
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html.entities import html5
 
@@ -380,23 +380,37 @@ class Pattern:
 LEAST_CONSTANT, LEAST_WORDS = 0.5, 3
 
 
-def match(a: Pattern, b: Node) -> tuple[float, list[tuple[Pattern, Node]]]:
+def _alike(a: Pattern, b: Node) -> float:
+    """The share of words that two leaves have in common, if that makes them one leaf of a template."""
+    head, tail, share = a.common(b.words())
+    return share if share == 1 or share >= LEAST_CONSTANT and head + tail >= LEAST_WORDS else 0.0
+
+
+def _fitting(a: Pattern, b: Node) -> float:
+    return _alike(a, b) if fits(a, b) else 0.0
+
+
+def _equal(a: Pattern, b: Pattern) -> float:
+    return float((a.before, a.after, a.slot) == (b.before, b.after, b.slot))
+
+
+def match(a: Pattern, b: Node | Pattern, weigh: Callable[[Pattern, Node | Pattern], float] = _alike) -> tuple[float, list[tuple[Pattern, Node | Pattern]]]:
     """Simple tree matching: the heaviest order-preserving mapping of nodes of the same kind, and its pairs.
 
-    Two leaves weigh as much as the share of words they have in common, at least ``LEAST_CONSTANT``; inner nodes weigh what their children weigh, and are
-    matched only through these.
+    Two leaves weigh as much as the share of words they have in common, at least ``LEAST_CONSTANT``, or what ``weigh`` says; inner nodes weigh what their
+    children weigh, and are matched only through these.
     """
     if a.kind != b.kind:
         return 0.0, []
     if b.kind in _BLOCKS:
-        head, tail, share = a.common(b.words())
-        return (share, [(a, b)]) if share == 1 or share >= LEAST_CONSTANT and head + tail >= LEAST_WORDS else (0.0, [])
+        share = weigh(a, b)
+        return (share, [(a, b)]) if share else (0.0, [])
     n, m = len(a.children), len(b.children)
     score = [[0.0] * (m + 1) for _ in range(n + 1)]
     inner: dict[tuple[int, int], tuple[float, list]] = {}
     for i in range(1, n + 1):
         for j in range(1, m + 1):
-            w = inner[i, j] = match(a.children[i - 1], b.children[j - 1])
+            w = inner[i, j] = match(a.children[i - 1], b.children[j - 1], weigh)
             score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + w[0])
     pairs, i, j = [], n, m
     while i and j:
@@ -410,7 +424,7 @@ def match(a: Pattern, b: Node) -> tuple[float, list[tuple[Pattern, Node]]]:
     return (score[n][m], [(a, b), *pairs]) if pairs else (0.0, [])
 
 
-def _merge(wrapper: Pattern, page: Node, of: dict[int, Pattern], room: bool) -> None:
+def _merge(wrapper: Pattern, page: Node | Pattern, of: dict[int, Pattern], room: bool) -> None:
     """Add to a wrapper what its page has more, in order; ``of`` maps page nodes to the wrapper nodes they are aligned with."""
     at = 0
     for c in page.children:
@@ -420,19 +434,36 @@ def _merge(wrapper: Pattern, page: Node, of: dict[int, Pattern], room: bool) ->
             if c.kind not in _BLOCKS:
                 _merge(mine, c, of, room)
         elif room:
-            wrapper.children.insert(at, Pattern.of(c))
+            wrapper.children.insert(at, Pattern.of(c) if isinstance(c, Node) else c)
             at += 1
 
 
-def induce(pages: list[str], share: float = 0.5) -> Pattern | None:
-    """The wrapper of different pages of one host: all are aligned, one after the other, with what those before have in common.
+def _constants(node: Node) -> list[tuple]:
+    """What of a leaf can be constant at the least: ``LEAST_WORDS`` words at its two ends, in each division; of fewer words, all."""
+    words = node.words()
+    if len(words) < LEAST_WORDS:
+        return [(node.kind, *words)]
+    return [(node.kind, i, *words[:i], *words[len(words) - LEAST_WORDS + i :]) for i in range(LEAST_WORDS + 1)]
 
-    Leaves that can no longer stand on ``share`` of the pages are not added, and dropped at the end. None where nothing is left.
-    """
+
+def _recurring(pages: list[Node], least: float) -> list[Node]:
+    """The pages without the leaves of which nothing can be constant on ``least`` of them."""
+    pages_with = Counter(key for page in pages for key in {k for leaf in page.leaves() for k in _constants(leaf)})
+
+    def rest(node: Node) -> Node | None:
+        if node.kind in _BLOCKS:
+            return node if any(pages_with[k] >= least for k in _constants(node)) else None
+        kept = [k for c in node.children if (k := rest(c))]
+        return Node(node.kind, node.text, node.languages, kept) if kept or node.kind == "root" else None
+
+    return [rest(p) for p in pages]
+
+
+def _align(pages: list[Node], share: float) -> Pattern | None:
+    """The wrapper of pages aligned one after the other with what those before have in common."""
     least = max(2, share * len(pages))
     wrapper = Pattern("root")
-    for n, text in enumerate(pages):
-        page = parse(text)
+    for n, page in enumerate(pages):
         _, pairs = match(wrapper, page)
         of = {}
         for a, b in pairs:
@@ -447,6 +478,38 @@ def induce(pages: list[str], share: float = 0.5) -> Pattern | None:
     return wrapper.without({id(x) for x in wrapper.leaves() if x.hits >= least})
 
 
+def join(wrappers: Iterable[Pattern | None]) -> Pattern:
+    """One wrapper with the leaves of all, equal ones once, in an order that all agree with as far as they do."""
+    out = Pattern("root")
+    for w in wrappers:
+        if w:
+            _merge(out, w, {id(b): a for a, b in match(out, w, _equal)[1]}, room=True)
+    return out
+
+
+def standing(wrapper: Pattern, page: Node) -> set[int]:
+    """Numbers of the wrapper's leaves that stand on a page."""
+    leaves = list(page.leaves())
+    return {j for j, a in enumerate(wrapper.leaves()) if any(a.kind == b.kind and _fitting(a, b) for b in leaves)}
+
+
+def induce(pages: list[str], share: float = 0.5, together: int = 12) -> Pattern | None:
+    """The wrapper of different pages of one host: the leaves that stand on ``share`` of them. None where nothing is left.
+
+    All pages are aligned, ``together`` at a time. A leaf on ``share`` of all pages stands on as many of the pages of some alignment, so the leaves that
+    come out of any of them are all there can be; then they are counted over all pages.
+    """
+    least = max(2, share * len(pages))
+    trees = _recurring([parse(t) for t in pages], least)
+    n = max(1, -(-len(trees) // together))
+    parts = [_align(trees[i::n], share) for i in range(n)]
+    if n == 1:
+        return parts[0]
+    wrapper = join(parts)
+    hits = Counter(j for page in trees for j in standing(wrapper, page))
+    return wrapper.without({id(x) for j, x in enumerate(wrapper.leaves()) if hits[j] >= least})
+
+
 def content(root: Node, wrapper: Pattern | None) -> tuple[Node, list[str]]:
     """(the page's tree without what is constant, the values of its slots).
 
@@ -454,7 +517,7 @@ def content(root: Node, wrapper: Pattern | None) -> tuple[Node, list[str]]:
     """
     if wrapper is None:
         return root, []
-    of = {id(b): a for a, b in match(wrapper, root)[1] if a.kind in _BLOCKS and fits(a, b)}
+    of = {id(b): a for a, b in match(wrapper, root, _fitting)[1] if a.kind in _BLOCKS}
     slots: list[str] = []
 
     def rest(node: Node) -> Node | None:
@@ -540,64 +603,53 @@ class Wrappers:
         return self.made[w]
 
 
-def learn_wrappers(df: DataFrame, key: str, fields: tuple[str, ...], host: str, share: float = 0.5, sample: int = 12, least: int = 4, most_bytes: int = 8_000_000) -> DataFrame:
+def learn_wrappers(df: DataFrame, key: str, fields: tuple[str, ...], host: str, share: float = 0.5, group: int = 512, least: int = 4, most_bytes: int = 8_000_000) -> DataFrame:
     """(h, f, w): the wrapper of each host and field that has one, as JSON.
 
-    Wrappers are induced from ``sample`` different pages of the host, the first in the order of a hash; with fewer than ``least`` different pages nothing
-    can be told constant. Which of their leaves are template is then counted over all pages with markup: each is aligned with its host's wrapper, and
-    leaves that at least ``share`` of the pages have stay. Hashes are thinned to ``sample`` per host and batch before they are shuffled, and hits are
-    counted per batch, so a host that has a third of all pages sends a few rows per batch.
+    All different pages with markup take part; with fewer than ``least`` of them nothing can be told constant. They are dealt by their hash into groups of
+    about ``group``, so a host that has a third of all pages is spread over tasks. What is template on ``share`` of a host's pages is so in some group:
+    wrappers are induced from each group, joined, and their leaves counted over all pages of the host; those on at least ``share`` of them stay.
     """
     marked = _rows(df, key, fields, host).where(F.col("h") != "").where(F.regexp_like("t", F.lit(_SIGNS))).withColumn("x", F.xxhash64("t"))
-
-    def thin():
-        def work(hosts, names, hashes):
-            of: dict[tuple[str, str], set[int]] = {}
-            for h, f, x in zip(hosts, names, hashes):
-                of.setdefault((h, f), set()).add(x)
-            rows = [(h, f, x) for (h, f), xs in of.items() for x in sorted(xs)[:sample]]
-            return list(zip(*rows))
-
-        return work
-
-    chosen = map_columns(marked.select("h", "f", "x"), thin, "h string, f string, x long").distinct()
-    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("h", "f").orderBy("x"))).where(F.col("n") <= sample).drop("n")
-    chosen = keep(chosen)
-    # A few short rows per host; the texts stay where they are as long as these fit.
-    size = chosen.agg(F.sum(F.octet_length("h") + 24).alias("n")).first()["n"] or 0
-    pages = marked.join(F.broadcast(chosen) if size <= most_bytes else chosen, ["h", "f", "x"]).dropDuplicates(["h", "f", "x"]).groupBy("h", "f").agg(F.sort_array(F.collect_list(F.struct("x", "t"))).alias("p"))
+    sizes = keep(marked.select("h", "f", "x").distinct().groupBy("h", "f").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    size = sizes.agg(F.sum(F.octet_length("h") + 24).alias("n")).first()["n"] or 0
+    dealt = marked.join(F.broadcast(sizes) if size <= most_bytes else sizes, ["h", "f"]).withColumn("g", F.pmod("x", F.ceil(F.col("n") / group)).cast("long"))
+    pages = keep(dealt.groupBy("h", "f", "g").agg(F.sort_array(F.collect_set("t")).alias("p")))
 
     def learn():
         def work(hosts, names, groups):
             rows = []
-            for h, f, group in zip(hosts, names, groups):
-                made = induce([g["t"] for g in group], share) if len(group) >= least else None
-                if made:
+            for h, f, texts in zip(hosts, names, groups):
+                if made := induce(texts, share):
                     rows.append((h, f, json.dumps(made.to_list(), ensure_ascii=False)))
             return list(zip(*rows)) or [[]] * 3
 
         return work
 
-    drafts = keep(map_columns(pages, learn, "h string, f string, w string"))
-    rows, known = _wrapped(marked.select("k", "h", "f", "t"), drafts, most_bytes)
-    if not known and "w" not in rows.columns:
+    def unite():
+        def work(hosts, names, parts):
+            return [hosts, names, [json.dumps(join(Pattern.from_list(json.loads(w)) for w in ws).to_list(), ensure_ascii=False) for ws in parts]]
+
+        return work
+
+    found = map_columns(pages.select("h", "f", "p"), learn, "h string, f string, w string").groupBy("h", "f").agg(F.sort_array(F.collect_set("w")).alias("ws"))
+    drafts = keep(map_columns(found, unite, "h string, f string, w string"))
+    size = drafts.agg(F.sum(F.octet_length("w") + F.octet_length("h")).alias("n")).first()["n"] or 0
+    if not size:
         return drafts
-    rows = rows.where("w IS NOT NULL") if "w" in rows.columns else rows.join(F.broadcast(drafts.select("h", "f")), ["h", "f"], "left_semi").select("k", "h", "f", "t")
-    shared = df.sparkSession.sparkContext.broadcast(known)
+    rows = pages.join(F.broadcast(drafts) if size <= most_bytes else drafts, ["h", "f"]).select("h", "f", "p", "w")
 
     def count():
-        of = Wrappers(shared.value)
+        of = Wrappers({})
 
-        def work(_, hosts, names, texts, joined=None):
+        def work(hosts, names, groups, drafted):
             seen: Counter = Counter()
-            for i, (h, f, t) in enumerate(zip(hosts, names, texts)):
-                wrapper = of(h, f, joined and joined[i])
-                number = {id(x): j for j, x in enumerate(wrapper.leaves())}
-                seen[h, f, -1] += 1  # counts pages
-                for a, b in match(wrapper, parse(t))[1]:
-                    if a.kind in _BLOCKS and fits(a, b):
-                        seen[h, f, number[id(a)]] += 1
-            return [*map(list, zip(*seen)), list(seen.values())] if seen else [[]] * 4
+            for h, f, texts, w in zip(hosts, names, groups, drafted):
+                wrapper = of(h, f, w)
+                seen[h, f, -1] += len(texts)  # counts pages
+                for t in texts:
+                    seen.update((h, f, j) for j in standing(wrapper, parse(t)))
+            return [*map(list, zip(*seen)), list(seen.values())]
 
         return work
 

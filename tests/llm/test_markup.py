@@ -96,6 +96,32 @@ def test_templates_of_a_host_are_dropped(spark):
     assert (101, "description_llm", "html") in marked and not any(k[0] == 102 for k in marked)
 
 
+def test_templates_are_learnt_from_all_pages(spark):
+    """The pages that are first in the order of their hashes lack what 85 % of the host's pages share."""
+    texts = [f"<p>page {i}</p><p>content {i * i}</p>" for i in range(100)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").selectExpr("i", "t", "t || '<p>Imprint of the farm office</p><p>Printed on day ' || i || ' by the farm office</p>' AS s")
+    low = {r.i for r in df.selectExpr("i", "xxhash64(t) AS a").orderBy("a").limit(15).collect()}
+    edge = max(r.a for r in df.selectExpr("i", "xxhash64(t) AS a").collect() if r.i in low)
+    shared = [(r.i, r.s) for r in df.where(f"xxhash64(s) > {edge}").collect() if r.i not in low]
+    rows = [(i, t, f"https://h.example/{i}") for i, t in [*shared, *((i, texts[i]) for i in low)]]
+    pages = spark.createDataFrame(rows, "rec_no long, description string, ko_content_url string")
+    assert len(shared) > 2 * len(low)
+    got = {r.rec_no: r for r in markup.clean(pages, fields=("description",)).collect()}
+    for i, _ in shared:
+        assert "office" not in got[i].clean_text and got[i].slots == [str(i)] and f"content {i * i}" in got[i].clean_text
+    parts = markup.learn_wrappers(pages, "rec_no", ("description",), "ko_content_url", group=10).collect()
+    assert [r.w for r in parts] == [r.w for r in markup.learn_wrappers(pages, "rec_no", ("description",), "ko_content_url").collect()]
+
+
+def test_special_and_general_leaves_of_a_wrapper():
+    special, general = markup.Pattern("text", "Home of the farm office".split()), markup.Pattern("text", "Home of the".split(), ["office"], True)
+    wrapper = markup.join([markup.Pattern("root", children=[markup.Pattern("passage", children=[x])]) for x in (special, general, special)])
+    assert len(list(wrapper.leaves())) == 2
+    for words, slots in (("farm", []), ("shop", ["shop"])):
+        page = markup.parse(f"<p>Home of the {words} office</p><p>own</p>")
+        assert markup.content(page, wrapper)[1] == slots and "own" in markup.write(markup.content(page, wrapper)[0])
+
+
 def test_languages_of_a_template_count(spark):
     """A field whose only markup is what its host's pages share still has that language."""
     rows = [(i, f"content {i}\n\n<p>Welcome to us</p>", None, f"https://h.example/{i}") for i in range(40)]
