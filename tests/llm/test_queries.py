@@ -29,3 +29,12 @@ def test_query_runs_over_its_tables(spark, name):
     assert sorted(result.columns) == sorted(df.columns)
     at = [result.columns.index(c) for c in df.columns]
     assert sorted((tuple(r) for r in rows), key=repr) == sorted((tuple(r[i] for i in at) for r in result.fetchall()), key=repr)
+
+
+def test_documents_found_by_their_share_need_no_thresholds(spark, monkeypatch):
+    text = "the farm feeds the soil of the whole village in dry years "
+    docs = spark.createDataFrame([(1, text * 9, "en", "a"), (2, text, "en", "a"), (3, None, None, None), (4, text * 9, "fr", "b")], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(queries, "_docs", lambda *_: docs)
+    assert sorted(r.doc_id for r in queries.p10_repetition(spark, SF).collect()) == [1, 4]
+    monkeypatch.setattr(queries.repetition, "group_thresholds", lambda *_: pytest.fail("thresholds are learnt that decide nothing"))
+    assert sorted(r.doc_id for r in queries.p10_found(spark, SF).collect()) == [1, 4]
