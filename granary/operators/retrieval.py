@@ -170,12 +170,13 @@ def _scan(df: DataFrame, doc: str, text: Column, part: str | None, block: _Block
     return rows.mapInArrow(run, parsed)
 
 
-def search(df: DataFrame, doc: str, text: Column, posted: DataFrame, queries: DataFrame, k: int, part: str | None = None, block: int = 4096, places: int = 6) -> DataFrame:
+def search(df: DataFrame, doc: str, text: Column, posted: DataFrame, queries: DataFrame, k: int, part: str | None = None, block: int = 4096, places: int = 6, repeated: bool = False) -> DataFrame:
     """(part, query, doc, score, rank): the k documents that BM25 scores best for each query, exhaustively; of equal scores (to ``places`` decimals) the smaller documents.
 
     Queries (query, term) go round in blocks; each task reads its documents once, scores them against a whole block and keeps k a query, so the shuffle
     holds k rows per query and task instead of all scored pairs. ``posted`` are the postings of the same documents, for frequencies. With ``part``, each
-    part of the corpus is searched on its own; without, the column is null.
+    part of the corpus is searched on its own; without, the column is null. With ``repeated``, a document may have several rows, of which the best counts;
+    as what stands above a document in the task of its best row does so everywhere, k different documents a task suffice there too.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in (doc, *([part] if part else []))}
     query_kind = queries.schema["query"].dataType.simpleString()
@@ -187,12 +188,21 @@ def search(df: DataFrame, doc: str, text: Column, posted: DataFrame, queries: Da
 
             def prune(p):
                 q, d, s = (np.concatenate(c) for c in zip(*best[p]))
-                order = np.lexsort((np.array(d.tolist()), -np.round(s, places), q))
+                shown = np.array(d.tolist())
+                order = np.lexsort((shown, -np.round(s, places), q))
+                if repeated:
+                    code = np.unique(shown, return_inverse=True)[1].astype(np.int64)
+                    order = order[np.sort(np.unique((q * (code.max() + 1) + code)[order], return_index=True)[1])]
                 q, d, s = q[order], d[order], s[order]
                 place = np.arange(len(q)) - np.searchsorted(q, q, "left")
                 best[p] = [(q[place < k], d[place < k], s[place < k])]
 
             def take(p, docs, scores):
+                if repeated and len(at := {d: i for i, d in enumerate(sorted(set(docs)))}) < len(docs):
+                    column = np.array([at[d] for d in docs])
+                    order = np.argsort(column, kind="stable")
+                    scores = np.maximum.reduceat(scores[:, order], np.searchsorted(column[order], np.arange(len(at))), axis=1)
+                    docs = list(at)
                 n = min(k, scores.shape[1])
                 shown = np.round(scores, places)
                 least = np.partition(shown, -n, axis=1)[:, -n]
@@ -217,6 +227,8 @@ def search(df: DataFrame, doc: str, text: Column, posted: DataFrame, queries: Da
         out = found if out is None else out.unionByName(found)
     if out is None:
         return df.sparkSession.createDataFrame([], f"part {kinds.get(part, 'string')}, query {query_kind}, doc {kinds[doc]}, score double, rank int")
+    if repeated:
+        out = out.groupBy("part", "query", "doc").agg(F.max("score").alias("score"))
     w = Window.partitionBy("part", "query").orderBy(F.round("score", places).desc(), "doc")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

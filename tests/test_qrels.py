@@ -33,3 +33,29 @@ def test_every_related_document_is_graded(spark):
 
 def test_query_is_registered():
     assert "graded_qrels" in registry.queries() and "graded_qrels" in registry.oracles()
+
+
+def test_best_export_of_a_record_without_all_pairs(spark, tmp_path, monkeypatch):
+    """ndcg_judgments keeps k records a task: it scores no pairs in a join, and still equals its SQL where records have many exports or no id."""
+    import random
+
+    import duckdb
+
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    ko = [(i, None if i % 17 == 0 else f"r{i % (7 if i % 3 else 40):02}", " ".join(draw.choices(words, k=4)), draw.choice([None, "w1 w2", "x"])) for i in range(900)]
+    judged = [(i, " ".join(draw.sample(words, 2)), {f"r{draw.randrange(40):02}": draw.randrange(4) for _ in range(4)}) for i in range(30)] + [(30, "", {"r01": 2}), (31, "w1", {})]
+    spark.createDataFrame(ko, "rec_no long, _orig_id string, title string, description string").repartition(5).write.parquet(f"{tmp_path}/knowledge_objects.parquet")
+    spark.createDataFrame(judged, "query_no long, query string, relevant map<string,long>").write.parquet(f"{tmp_path}/judgments.parquet")
+
+    def never(*_, **__):
+        raise AssertionError("all pairs are scored")
+
+    monkeypatch.setattr(retrieval, "bm25", never)
+    df = registry.queries()["ndcg_judgments"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("knowledge_objects", "judgments"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.oracles()['ndcg_judgments']})").fetchall()
+    got = [tuple(float(x) for x in r) for r in df.collect()]
+    assert len(got) > 25 and sorted(got) == sorted(tuple(float(x) for x in r) for r in want)
