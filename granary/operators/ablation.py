@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from granary.functions import text as T
 from granary.functions.arrow import map_columns
@@ -52,35 +56,50 @@ def tfidf_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
 def tfidf_phrase_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, cosine) as tfidf_pairs, over words of at least two signs without stop words, and pairs of successive such words; all terms count.
 
-    ``key`` is unique. Both texts of a row are counted where it is read; a term leaves its batch once, with all its documents there.
+    ``key`` is unique. Both texts of a row are counted where it is read, at most 4,096 rows at once; a term leaves them once, with all its documents there.
     """
     stops = frozenset(T.STOP_WORDS)
-    kind = df.schema[key].dataType.simpleString()
+    schema = f"term string, df int, doc array<{df.schema[key].dataType.simpleString()}>, x array<int>, y array<int>"
+    kinds = [f.type for f in to_arrow_schema(_parse_datatype_string(schema))]
 
     def make():
-        def terms(text):
-            words = [w for w in _words(text) if w not in stops]
-            return Counter(words) + Counter(f"{x} {y}" for x, y in zip(words, words[1:]))
-
-        def work(keys, left, right):
-            at: dict[str, tuple[list, list, list]] = {}
-            for k, s, t in zip(keys, left, right):
-                x, y = terms(s), terms(t)
-                for w in x.keys() | y.keys():
-                    docs, xs, ys = at.get(w) or at.setdefault(w, ([], [], []))
-                    docs.append(k)
-                    xs.append(x.get(w, 0))
-                    ys.append(y.get(w, 0))
-            return [list(at), *(list(c) for c in zip(*at.values()))] if at else [[]] * 4
+        def count(keys, left, right):
+            names: dict[str, int] = {}
+            flat, sizes = [], []
+            for t in (*left, *right):
+                flat += (found := [names.setdefault(w, len(names)) for w in _words(t) if w not in stops])
+                sizes.append(len(found))
+            n, v, word = len(keys), len(names), np.array(flat, np.int64)
+            text = np.repeat(np.arange(2 * n), sizes)
+            follows = text[1:] == text[:-1]
+            code = np.concatenate([word, (v + word[:-1] * v + word[1:])[follows]])  # below v a word, from there on a pair
+            text = np.concatenate([text, text[1:][follows]])
+            seen = np.sort((code * n + text % n) * 2 + text // n)  # by term, document and side
+            cell = seen >> 1
+            at = np.flatnonzero(np.diff(cell, prepend=-1))
+            y = np.add.reduceat(seen & 1, at) if len(at) else at
+            x = np.diff(at, append=len(seen)) - y
+            term, doc = cell[at] // n, cell[at] % n
+            first = np.flatnonzero(np.diff(term, prepend=-1))
+            sides = np.add.reduceat((x > 0).astype(np.int32) + (y > 0), first) if len(first) else first
+            every = list(names)
+            shown = [every[c] if c < v else f"{every[c // v - 1]} {every[c % v]}" for c in term[first].tolist()]
+            offsets = pa.array(np.append(first, len(at)), pa.int32())
+            lists = (pa.array(keys, kinds[2].value_type).take(pa.array(doc)), pa.array(x, pa.int32()), pa.array(y, pa.int32()))
+            return [pa.array(shown, kinds[0]), pa.array(sides, kinds[1]), *[pa.ListArray.from_arrays(offsets, c, type=kind) for c, kind in zip(lists, kinds[2:])]]
+
+        def work(*columns):
+            parts = [count(*(c[i : i + 4096] for c in columns)) for i in range(0, len(columns[0]), 4096)]
+            return [pa.concat_arrays(c) for c in zip(*parts)]
 
         return work
 
     lower = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    counted = keep(map_columns(df.select(F.col(key).alias("k"), lower(a).alias("a"), lower(b).alias("b")), make, f"term string, doc array<{kind}>, x array<int>, y array<int>"))
+    counted = keep(map_columns(df.select(F.col(key).alias("k"), lower(a).alias("a"), lower(b).alias("b")), make, schema))
     n = df.agg((2 * F.count("*")).alias("n"))
-    sides = lambda c: F.size(F.filter(c, lambda v: v > 0))
-    freq = counted.groupBy("term").agg(F.sum(sides("x") + sides("y")).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    freq = counted.groupBy("term").agg(F.sum("df").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = F.col("idf") * F.col("idf")
-    each = counted.join(freq, "term").select("idf", F.inline(F.arrays_zip("doc", "x", "y")))
+    # Postings are planned by their columns' default sizes, a small part of what they hold; without the hint Spark would broadcast them.
+    each = counted.join(freq.hint("merge"), "term").select("idf", F.inline(F.arrays_zip("doc", "x", "y")))
     sums = each.groupBy("doc").agg(F.sum(w * F.col("x") * F.col("y")).alias("xy"), F.sum(w * F.col("x") * F.col("x")).alias("xx"), F.sum(w * F.col("y") * F.col("y")).alias("yy"))
     return df.select(F.col(key)).join(sums.select(F.col("doc").alias(key), F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("cosine")), key, "left")

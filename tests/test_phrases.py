@@ -14,3 +14,15 @@ def test_word_order_counts_and_stop_words_do_not(spark):
     words = same + balance
     assert abs(got[1] - words / math.sqrt((words + soil_water + once) * (words + 2 * once))) < 1e-9
     assert abs(got[2] - 1) < 1e-9 and got[3] is None and got[4] is None and got[5] is None
+
+
+def test_postings_of_phrases_are_not_broadcast(spark, tmp_path):
+    """Few bytes on disk hold many postings: the plan must not take them for a small side. Counts hold whatever the batches are."""
+    texts = [(i, f"soil water {i % 7} balance", f"water soil balance field{i % 11} soil") for i in range(300)]
+    spark.createDataFrame(texts, "k long, x string, y string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = ablation.tfidf_phrase_pairs(df, "k", "x", "y")
+    assert "BroadcastHashJoin [term" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {r.k: r.cosine for r in got.collect()}
+    other = {r.k: r.cosine for r in ablation.tfidf_phrase_pairs(df.repartition(7), "k", "x", "y").collect()}
+    assert len(rows) == 300 and all(abs(rows[k] - other[k]) < 1e-9 for k in rows)
