@@ -47,7 +47,8 @@ def tfidf_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     posted = keep(R.postings(texts, "k", F.col("text"), "side"))
     n = texts.agg(F.count("*").alias("n"))
     freq = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    wide = posted.join(freq, "term").groupBy("doc", "term", "idf").agg(F.sum(F.when(F.col("side") == "a", F.col("tf")).otherwise(0)).alias("x"), F.sum(F.when(F.col("side") == "b", F.col("tf")).otherwise(0)).alias("y"))
+    # As below: postings are planned by their columns' default sizes, and without the hint Spark would broadcast them.
+    wide = posted.join(freq.hint("merge"), "term").groupBy("doc", "term", "idf").agg(F.sum(F.when(F.col("side") == "a", F.col("tf")).otherwise(0)).alias("x"), F.sum(F.when(F.col("side") == "b", F.col("tf")).otherwise(0)).alias("y"))
     w = F.col("idf") * F.col("idf")
     sums = wide.groupBy("doc").agg(F.sum(w * F.col("x") * F.col("y")).alias("xy"), F.sum(w * F.col("x") * F.col("x")).alias("xx"), F.sum(w * F.col("y") * F.col("y")).alias("yy"))
     return df.select(F.col(key)).join(sums.select(F.col("doc").alias(key), F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("cosine")), key, "left")

@@ -26,3 +26,10 @@ def test_postings_of_phrases_are_not_broadcast(spark, tmp_path):
     rows = {r.k: r.cosine for r in got.collect()}
     other = {r.k: r.cosine for r in ablation.tfidf_phrase_pairs(df.repartition(7), "k", "x", "y").collect()}
     assert len(rows) == 300 and all(abs(rows[k] - other[k]) < 1e-9 for k in rows)
+
+
+def test_postings_of_words_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(i, f"soil water {i % 7}", f"water soil {i % 11}") for i in range(300)], "k long, x string, y string").write.parquet(f"{tmp_path}/t")
+    got = ablation.tfidf_pairs(spark.read.parquet(f"{tmp_path}/t"), "k", "x", "y")
+    assert "BroadcastHashJoin [term" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 300
