@@ -37,18 +37,21 @@ def _items(df: DataFrame, column: str) -> Column:
     return F.col(column) if kind.startswith("array") else F.when(T.not_blank(F.col(column)), F.array(column))
 
 
-def long_fields(df: DataFrame, key: str, suffixes: dict[str, str] | None = None, project: str = "project_id", file_name: str = "ko_object_name") -> DataFrame:
+def long_fields(df: DataFrame, key: str, suffixes: dict[str, str] | None = None, project: str = "project_id", file_name: str = "ko_object_name", only: tuple[str, ...] = FIELDS, more_columns: dict[str, Column] | None = None, others: bool = True) -> DataFrame:
     """(key, project, file, variant, field, raw, items, found, text, title, others): one row per variant and field of every record, empty ones included.
 
     ``text`` is the field in one line, '' where empty; ``others`` are the variant's other texts in lower case, keywords aside; ``items`` the keywords as kept, ``found`` one by one.
+    ``only`` names the fields that get rows, ``more_columns`` are carried along; without ``others``, that and ``title`` are left empty and only the named fields are read.
     """
-    wide, each = {}, []
+    wide, each, more_columns = {}, [], more_columns or {}
+    read = FIELDS if others else only
     for variant, suffix in (suffixes or {"original": "", "improved": "_llm"}).items():
         column = {f: f"{f}{suffix}" if f"{f}{suffix}" in df.columns else f for f in FIELDS}
         name = lambda f, what, v=variant: f"_{v}_{f}_{what}"
-        wide |= {name(f, "raw"): F.col(column[f]) for f in FIELDS if f not in ("description", "keywords")}
-        wide |= {name("description", "raw"): T.rich_to_plain(F.col(column["description"])), name("keywords", "items"): _items(df, column["keywords"])}
-    first = df.select(F.col(key).alias("key"), F.trim(F.coalesce(F.col(project), F.lit(""))).alias("project"), F.coalesce(F.col(file_name), F.lit("")).alias("file"), *[c.alias(n) for n, c in wide.items()])
+        wide |= {name(f, "raw"): F.col(column[f]) for f in read if f not in ("description", "keywords")}
+        wide |= {name("description", "raw"): T.rich_to_plain(F.col(column["description"]))} if "description" in read else {}
+        wide |= {name("keywords", "items"): _items(df, column["keywords"])} if "keywords" in only else {}
+    first = df.select(F.col(key).alias("key"), F.trim(F.coalesce(F.col(project), F.lit(""))).alias("project"), F.coalesce(F.col(file_name), F.lit("")).alias("file"), *[c.alias(n) for n, c in (more_columns | wide).items()])
     more = {}
     for n in wide:
         more |= {n.replace("_items", "_found"): terms(F.col(n))} if n.endswith("_items") else {n.replace("_raw", "_text"): T.one_line(F.col(n))}
@@ -57,11 +60,12 @@ def long_fields(df: DataFrame, key: str, suffixes: dict[str, str] | None = None,
     for variant in suffixes or {"original": "", "improved": "_llm"}:
         at = lambda f, what, v=variant: F.col(f"_{v}_{f}_{what}")
         joined = F.array_join(at("keywords", "found"), ", ")
-        for f in FIELDS:
+        for f in only:
             mine = (joined, at(f, "items"), at(f, "found"), joined) if f == "keywords" else (at(f, "raw"), none, none, at(f, "text"))
-            others = F.array(*[F.lower(at(o, "text")) for o in FIELDS if o not in (f, "keywords")])
-            each.append(F.struct(F.lit(variant).alias("variant"), F.lit(f).alias("field"), *[c.alias(n) for c, n in zip(mine, ("raw", "items", "found", "text"))], at("title", "text").alias("title"), others.alias("others")))
-    return first.select("key", "project", "file", F.inline(F.array(*each)))
+            rest = F.array(*[F.lower(at(o, "text")) for o in FIELDS if o not in (f, "keywords")]) if others else F.array().cast("array<string>")
+            title = at("title", "text") if others else F.lit("")
+            each.append(F.struct(F.lit(variant).alias("variant"), F.lit(f).alias("field"), *[c.alias(n) for c, n in zip(mine, ("raw", "items", "found", "text"))], title.alias("title"), rest.alias("others")))
+    return first.select("key", "project", "file", *more_columns, F.inline(F.array(*each)))
 
 
 def _share(checks: list[Column | None]) -> Column:
@@ -74,15 +78,16 @@ def _letters_only(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
 
 
-def completeness(rows: DataFrame) -> DataFrame:
+def completeness(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``completeness``: 0 for an empty field, else the share of checks that hold: no file name, no copy of another field, not shared by several
     projects, and for titles no internal reference and not the file's name; for keywords that there are any.
 
     Texts of several projects are found by one aggregate over (variant, field, text); only those are joined back.
+    With ``among``, they are found there instead of in the rows.
     """
     low = F.lower("text")
     shared = (
-        rows.where((F.col("text") != "") & (F.col("field") != "keywords") & (F.col("project") != ""))
+        (rows if among is None else among).where((F.col("text") != "") & (F.col("field") != "keywords") & (F.col("project") != ""))
         .groupBy("variant", "field", low.alias("low")).agg((F.min("project") != F.max("project")).alias("shared")).where("shared")
     )
     rows = rows.withColumn("low", low).join(shared, ["variant", "field", "low"], "left")
@@ -213,6 +218,13 @@ def shared_with_text(rows: DataFrame, key_words: DataFrame) -> DataFrame:
     return joined.withColumn("consistency", F.when(F.size("ref") > 0, F.try_divide(F.size(F.array_intersect(own, "ref")), F.size(own)))).drop("ref")
 
 
+def noise(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``noise``: the share of tokens that are no debris; null without tokens."""
+    tokens = F.filter(F.split(T.one_line(F.col("raw")), " "), lambda x: x != "")
+    debris = F.size(F.filter(tokens, lambda x: F.regexp_like(x, F.lit(r"<[^>]+>|&[A-Za-z]+;|&#\d+;|(?i)https?://|www\.|\S+@\S+\.\w+|\x{fffd}|Ã[\x{80}-\x{bf}]|â€|^[^\p{L}\p{N}]{2,}$"))))
+    return rows.withColumn("noise", F.when(F.size(tokens) > 0, 1 - debris / F.size(tokens)))
+
+
 SUBSCORES = ("length", "completeness", "noise", "formatting", "consistency", "density", "clarity", "usefulness")
 
 
@@ -235,23 +247,25 @@ def field_scores(df: DataFrame, key: str, reference: str, suffixes: dict[str, st
     rows = length_fit(formatting(completeness(rows)))
     context = F.concat_ws(" ", "_ref", F.array_join("others", " "))
     rows = clarity(rows.join(text, "key", "left").withColumn("context", context).drop("_ref")).drop("context")
-    tokens = F.filter(F.split(T.one_line(F.col("raw")), " "), lambda x: x != "")
-    debris = F.size(F.filter(tokens, lambda x: F.regexp_like(x, F.lit(r"<[^>]+>|&[A-Za-z]+;|&#\d+;|(?i)https?://|www\.|\S+@\S+\.\w+|\x{fffd}|Ã[\x{80}-\x{bf}]|â€|^[^\p{L}\p{N}]{2,}$"))))
-    rows = rows.withColumn("noise", F.when(F.size(tokens) > 0, 1 - debris / F.size(tokens)))
+    rows = noise(rows)
     rows = density(shared_with_text(usefulness(rows, best), words), None if corpus is df else long_fields(corpus, key, suffixes))
     return rows.select("key", "variant", "field", *SUBSCORES)
 
 
-def defects(df: DataFrame, key: str, generic: list[str], donors: int = 40) -> DataFrame:
+def _pool(df: DataFrame, key: str, donors: int) -> DataFrame:
+    """One row: the donors of texts for defects, the first by a hash of those that have all fields."""
+    pool = df.where(T.not_blank(F.col("title")) & T.not_blank(F.col("description")) & (F.size("keywords") > 0))
+    return pool.orderBy(F.xxhash64(key), key).limit(donors).agg(F.collect_list(F.struct(F.col("project_id").alias("p"), F.col("title").alias("t"), F.col("description").alias("d"), F.col("keywords").alias("k"))).alias("_pool"))
+
+
+def defects(df: DataFrame, key: str, generic: list[str], donors: int = 40, only: set[str] | None = None, pool: DataFrame | None = None) -> DataFrame:
     """The records once per deliberate defect, with ``defect``, ``sub`` and ``defect_field``, which name it, the sub-score it aims at and the field it is in.
 
     Donors of texts from another project are drawn from ``donors`` records, the first by a hash, which bounds what is broadcast; a record without a donor of
-    another project has no such defect. ``generic`` are words that say nothing.
+    another project has no such defect. ``generic`` are words that say nothing. ``only`` names the defects that are made, ``pool`` gives donors that are drawn already.
     """
     title, about = T.one_line(F.col("title")), T.one_line(T.rich_to_plain(F.col("description")))
-    pool = df.where(T.not_blank(F.col("title")) & T.not_blank(F.col("description")) & (F.size("keywords") > 0))
-    pool = pool.orderBy(F.xxhash64(key), key).limit(donors).agg(F.collect_list(F.struct(F.col("project_id").alias("p"), F.col("title").alias("t"), F.col("description").alias("d"), F.col("keywords").alias("k"))).alias("_pool"))
-    rows = df.crossJoin(F.broadcast(pool))  # one row
+    rows = df.crossJoin(F.broadcast(_pool(df, key, donors) if pool is None else pool))  # one row
     other = F.filter("_pool", lambda x: ~x["p"].eqNullSafe(F.col("project_id")))
     rows = rows.withColumn("_donor", F.when(F.size(other) > 0, F.get(other, F.pmod(F.xxhash64(key), F.size(other)).cast("int"))))
     words, parts = F.split(title, " "), F.split(about, " ")
@@ -260,11 +274,11 @@ def defects(df: DataFrame, key: str, generic: list[str], donors: int = 40) -> Da
     nothing = F.lit(None).cast("array<string>")
 
     def one(defect, sub, field, value):
-        return F.struct(
+        return defect, F.struct(
             F.lit(defect).alias("defect"), F.lit(sub).alias("sub"), F.lit(field).alias("defect_field"), (none if field == "keywords" else value).alias("value"), (value if field == "keywords" else nothing).alias("values")
         )
 
-    each = F.array(
+    each = (
         one("padded", "length", "title", F.repeat(F.concat(title, F.lit(" ")), F.greatest(F.lit(2), F.expr("0") + F.ceil(320 / F.greatest(F.lit(1), F.length(title))).cast("int") + 1))),
         one("file name", "completeness", "title", F.concat(F.array_join(F.slice(words, 1, 3), "_"), F.lit("_final.pdf"))),
         one("debris", "noise", "description", F.concat(about, F.lit(" &amp;amp; http://example.org/x �� ####"))),
@@ -275,38 +289,99 @@ def defects(df: DataFrame, key: str, generic: list[str], donors: int = 40) -> Da
         one("other keywords", "usefulness", "keywords", F.col("_donor.k")), one("doubled keywords", "usefulness", "keywords", F.concat(terms(F.col("keywords")), capital)),
         one("other title for coverage", "usefulness", "title", F.col("_donor.t")), one("copied title", "completeness", "subtitle", F.when(T.not_blank(F.col("subtitle")), title)),
     )
-    made = rows.where(T.not_blank(F.col("title")) & T.not_blank(F.col("description")) & (F.size(terms(F.col("keywords"))) > 0)).withColumn("_d", F.explode(each)).where("_d.value IS NOT NULL OR _d.values IS NOT NULL")
+    made = rows.where(T.not_blank(F.col("title")) & T.not_blank(F.col("description")) & (F.size(terms(F.col("keywords"))) > 0)).withColumn("_d", F.explode(F.array(*[d for name, d in each if only is None or name in only]))).where("_d.value IS NOT NULL OR _d.values IS NOT NULL")
     put = lambda f: F.when(F.col("_d.defect_field") == f, F.col("_d.values" if f == "keywords" else "_d.value")).otherwise(F.col(f)).alias(f)
     kept = [put(c) if c in FIELDS else F.col(c) for c in df.columns]
     return made.select(*kept, "_d.defect", "_d.sub", "_d.defect_field")
 
 
+def _outcome() -> Column:
+    change = F.col("after") - F.col("before")
+    return (
+        F.when(change.isNull(), "not_evaluable").when(change < -1e-9, "dropped").when(change > 1e-9, "rose").when(F.col("before") <= 1e-9, "unchanged_at_floor").otherwise("unchanged")
+    )
+
+
 def verdicts(before: DataFrame, after: DataFrame) -> DataFrame:
     """(key, defect, sub, field, before, after, outcome) of (key, sub, field, value) and (key, defect, sub, field, value): dropped, unchanged, unchanged_at_floor, rose, or
     not_evaluable where either is null."""
     both = after.withColumnRenamed("value", "after").join(before.withColumnRenamed("value", "before"), ["key", "sub", "field"])
-    change = F.col("after") - F.col("before")
-    outcome = (
-        F.when(change.isNull(), "not_evaluable").when(change < -1e-9, "dropped").when(change > 1e-9, "rose").when(F.col("before") <= 1e-9, "unchanged_at_floor").otherwise("unchanged")
-    )
-    return both.select("key", "defect", "sub", "field", "before", "after", outcome.alias("outcome"))
+    return both.select("key", "defect", "sub", "field", "before", "after", _outcome().alias("outcome"))
 
 
-def commonest_words(df: DataFrame, key: str, n: int = 20) -> list[str]:
-    """The ``n`` words that most fields of the table have."""
-    rows = long_fields(df, key, {"original": ""}).where("text <> ''").select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    return [r["term"] for r in rows.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(n).collect()]
+# The defects by the sub-score that they aim at, with the fields they are in.
+_AIMS = {
+    "length": {"padded": "title"}, "completeness": {"file name": "title", "copied title": "subtitle"}, "noise": {"debris": "description"}, "formatting": {"capitals": "title"},
+    "consistency": {"other description": "description", "other title": "title"}, "density": {"common words": "title"}, "clarity": {"cut off": "description"},
+    "usefulness": {"other keywords": "keywords", "doubled keywords": "keywords", "other title for coverage": "title"},
+}
 
 
 def self_test(df: DataFrame, key: str, reference: str) -> DataFrame:
-    """(key, defect, sub, field, before, after, outcome): every record's defects and what they do to the sub-score they aim at. ``key`` is unique."""
-    generic = commonest_words(df, key)
-    bad = keep(defects(df, key, generic).withColumn("_own", F.col(key)).withColumn(key, F.concat_ws("\u0001", F.col(key).cast("string"), "defect")))
-    long = lambda scores: scores.unpivot(["key", "variant", "field"], list(SUBSCORES), "sub", "value").select("key", "sub", "field", "value")
-    only = {"original": ""}
-    text = df.withColumn(key, F.col(key).cast("string"))
-    before = long(field_scores(text, key, reference, only))
-    after = long(field_scores(bad.drop("defect", "sub", "defect_field", "_own"), key, reference, only, text))
-    aimed = bad.select(F.col(key).alias("key"), "defect", "sub", F.col("defect_field").alias("field"), F.col("_own").cast("string").alias("own"))
-    after = after.join(aimed, ["key", "sub", "field"]).select(F.col("own").alias("key"), "defect", "sub", "field", "value")
-    return verdicts(before, after)
+    """(key, defect, sub, field, before, after, outcome): every record's defects and what they do to the sub-score they aim at. ``key`` is unique.
+
+    Each sub-score is made for the fields that its defects are in and for nothing else; values are those of field_scores over all records, and over all defects with
+    the corpus as it was. Altered records are made anew for each sub-score, so no copies of texts are kept or shuffled.
+    """
+    plain = df.withColumn(key, F.col(key).cast("string"))
+    ref = T.one_line(F.col(reference))
+    whole = {"original": ""}
+    fields = long_fields(plain, key, whole, others=False).where("text <> ''")
+    freq = keep(fields.select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    generic = [r["term"] for r in freq.orderBy(F.desc("df"), "term").limit(20).collect()]
+    pool = keep(_pool(df, key, 40))
+
+    def altered(names: set[str], only: tuple[str, ...], **more) -> DataFrame:
+        made = defects(df, key, generic, only=names, pool=pool).withColumn(key, F.col(key).cast("string"))
+        carried = {"defect": F.col("defect"), "aim": F.col("defect_field")} | more.pop("more_columns", {})
+        return long_fields(made, key, whole, only=only, more_columns=carried, **more)
+
+    def rows(sub: str, **more) -> tuple[DataFrame, DataFrame]:
+        """The records' rows of a sub-score, and those with its defects."""
+        only = tuple(f for f in FIELDS if f in _AIMS[sub].values())
+        none = {"defect": F.lit(None).cast("string"), "aim": F.lit(None).cast("string")}
+        more = {"others": False, "more_columns": {}} | more
+        return long_fields(plain, key, whole, only=only, **(more | {"more_columns": none | more["more_columns"]})), altered(set(_AIMS[sub]), only, **more).where("field = aim")
+
+    def both(sub: str, **more) -> DataFrame:
+        before, after = rows(sub, **more)
+        return before.unionByName(after)
+
+    scores = {"length": length_fit(both("length")), "noise": noise(both("noise")), "formatting": formatting(both("formatting"))}
+    # Texts of several projects: among the records, and among all that defects make of them. Those of other fields leave titles as they are, as doubled keywords do.
+    before, after = rows("completeness", others=True)
+    titles = {d for of in _AIMS.values() for d, f in of.items() if f in ("title", "subtitle")} | {"doubled keywords"}
+    among = altered(titles, ("title", "subtitle"), others=False)
+    scores["completeness"] = completeness(before).unionByName(completeness(after, among))
+    own = F.array_distinct(F.filter(T.words(F.col("text")), lambda w: F.length(w) > 3))
+    told = both("consistency", more_columns={"ref": F.array_distinct(T.words(ref))})
+    scores["consistency"] = told.withColumn("consistency", F.when(F.size("ref") > 0, F.try_divide(F.size(F.array_intersect(own, "ref")), F.size(own))))
+    read = both("clarity", others=True, more_columns={"_ref": ref}).withColumn("context", F.concat_ws(" ", "_ref", F.array_join("others", " ")))
+    scores["clarity"] = clarity(read.select("key", "defect", "field", "text", "context"))
+    scores["density"] = _density_of_titles(both("density"), fields, freq)
+    posted = keep(R.postings(plain, key, F.col(reference)))
+    ranked = R.key_terms_by(posted, R.document_frequency(posted), df.agg(F.count("*").alias("n_docs")), 10)
+    scores["usefulness"] = usefulness(both("usefulness"), ranked.groupBy(F.col("doc").alias("key")).agg(F.collect_list("term").alias("terms")))  # ten a record
+    every = None
+    for sub, of in scores.items():
+        part = of.select("key", F.lit(sub).alias("sub"), "field", "defect", F.col(sub).alias("value"))
+        every = part if every is None else every.unionByName(part)
+    joined = every.groupBy("key", "sub", "field").agg(
+        F.max(F.when(F.col("defect").isNull(), F.col("value"))).alias("before"), F.collect_list(F.when(F.col("defect").isNotNull(), F.struct("defect", F.col("value").alias("after")))).alias("of")
+    )  # at most three a field
+    return joined.select("key", "sub", "field", "before", F.inline("of")).select("key", "defect", "sub", "field", "before", "after", _outcome().alias("outcome"))
+
+
+def _density_of_titles(rows: DataFrame, fields: DataFrame, freq: DataFrame) -> DataFrame:
+    """``rows`` with ``density``, as there: ``fields`` are the corpus' rows that have text and ``freq`` the frequencies of their words. Titles alone have such a defect."""
+    n = fields.agg(F.count("*").alias("n"))  # one row
+
+    def means(of: DataFrame, *more: str) -> DataFrame:
+        found = of.select("key", "field", *more, F.explode(T.words(F.col("text"))).alias("term")).join(freq.hint("merge"), "term", "left").crossJoin(F.broadcast(n))
+        return found.groupBy("key", "field", *more).agg(F.avg(R.specificity(F.coalesce("df", F.lit(0)), F.col("n"))).alias("mean"))
+
+    anchors = quantiles(means(fields.where("field = 'title'")), "mean", ["field"], {"lo": 0.05, "hi": 0.95}).drop("n")  # one row
+    value = F.when(F.col("hi") > F.col("lo"), clamp((F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(0.5)
+    scored = means(rows.withColumn("defect", F.coalesce("defect", F.lit(""))), "defect").join(F.broadcast(anchors), "field").select("key", "defect", value.alias("density"))
+    named = rows.withColumn("_d", F.coalesce("defect", F.lit(""))).join(scored.withColumnRenamed("defect", "_d"), ["key", "_d"], "left")
+    return named.drop("_d")

@@ -85,3 +85,28 @@ def test_searches_of_people(spark):
     df = spark.createDataFrame([(q, a, i * 86_400_000_000) for i, (q, a) in enumerate(rows)], "raw string, agent string, t long")
     assert [r["raw"] for r in behaviour.typed_by_people(df).collect()] == ["soil health", "boden"]
     assert behaviour.span_days(df).first()["days"] == 5.0 and F is not None
+
+
+def test_self_test_equals_all_scores_of_all_defects_at_less_work(spark, tmp_path):
+    """Each sub-score is made for the fields it is aimed at alone, as if all scores of all altered records were made."""
+    texts = ["Soil water balance in fields", "SOIL report", "a b c.pdf", "Shared Title of projects", "Crop rotation and NPK (nitrogen) use ..."]
+    rows = [
+        (i, texts[i % 5], texts[i % 3] if i % 4 else None, f"About <p>soil {i % 6} and water</p> of CAP farms, {'so it ends' if i % 2 else 'end.'}", ["soil", f"water {i % 4}; crops"] if i % 7 else None, f"p{i % 3}" if i % 5 else None, "f/a b c.pdf", f"Soil water text {i % 6} with crops and CAP" if i % 6 else None)
+        for i in range(24)
+    ]
+    spark.createDataFrame(rows, "rec_no long, title string, subtitle string, description string, keywords array<string>, project_id string, ko_object_name string, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = fields.self_test(df, "rec_no", "text")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 30
+    plain = df.withColumn("rec_no", df["rec_no"].cast("string"))
+    common = fields.long_fields(plain, "rec_no", {"original": ""}).where("text <> ''").selectExpr("explode(array_distinct(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]+', 0))) AS w")
+    top = [r["w"] for r in common.groupBy("w").count().orderBy(F.desc("count"), "w").limit(20).collect()]
+    bad = fields.defects(df, "rec_no", top).withColumn("own", F.col("rec_no").cast("string")).withColumn("rec_no", F.concat_ws("|", F.col("rec_no").cast("string"), "defect")).persist()
+    long = lambda scores: scores.unpivot(["key", "variant", "field"], list(fields.SUBSCORES), "sub", "value").select("key", "sub", "field", "value")
+    after = long(fields.field_scores(bad.drop("defect", "sub", "defect_field", "own"), "rec_no", "text", {"original": ""}, plain))
+    aimed = bad.select(F.col("rec_no").alias("key"), "defect", "sub", F.col("defect_field").alias("field"), "own")
+    after = after.join(aimed, ["key", "sub", "field"]).select(F.col("own").alias("key"), "defect", "sub", "field", "value")
+    want = fields.verdicts(long(fields.field_scores(plain, "rec_no", "text", {"original": ""})), after)
+    shown = lambda rows: sorted(((r["key"], r["defect"], r["sub"], r["field"], *(None if r[c] is None else round(r[c], 9) for c in ("before", "after")), r["outcome"]) for r in rows), key=repr)
+    rows = got.collect()
+    assert len({r["defect"] for r in rows}) == 12 and shown(rows) == shown(want.collect())
